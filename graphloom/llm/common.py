@@ -9,6 +9,7 @@ from collections.abc import Callable, Iterable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: A key is hot if it holds more than 1/HOT_PARTS of all rows; so there are fewer than HOT_PARTS hot keys.
 HOT_PARTS = 1024
@@ -42,7 +43,7 @@ def settled(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def in_arrow(df: DataFrame, schema: str, f: Callable[[pa.RecordBatch], Iterable[pa.RecordBatch]]) -> DataFrame:
+def in_arrow(df: DataFrame, schema: str | StructType, f: Callable[[pa.RecordBatch], Iterable[pa.RecordBatch]]) -> DataFrame:
     """f over each Arrow batch of df."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -68,7 +69,9 @@ def pieces(batch: pa.RecordBatch, column: str, max_bytes: int) -> Iterator[pa.Re
 
 
 def join_skewed(rows: DataFrame, facts: DataFrame, key: str, count: str, total: int, how: str = "left") -> DataFrame:
-    """rows joined to facts, which has one row per key and in `count` the number of rows with that key.
+    """rows joined to facts, which has one row per key of rows and in `count` the number of rows with that key.
+
+    facts must have the keys of which it says nothing too, with nulls, so that none of those stays hot.
 
     Keys with more than total/HOT_PARTS rows number fewer than HOT_PARTS, so that their facts have a
     proven bound and are broadcast; the other keys are small and are joined by a shuffle.

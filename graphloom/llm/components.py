@@ -28,7 +28,7 @@ def components(edges: DataFrame) -> DataFrame:
         hooks = _flat(hooks)
         counted = labels.groupBy("label").agg(F.count("*").alias("n"))
         total = labels.count()
-        moved = join_skewed(labels, hooks.join(counted, "label"), "label", "n", total)
+        moved = join_skewed(labels, counted.join(hooks, "label", "left"), "label", "n", total)
         labels = settled(moved.select("node", F.coalesce("up", "label").alias("label")))
         ends = edges.join(labels.withColumnsRenamed({"node": "a", "label": "la"}), "a").join(labels.withColumnsRenamed({"node": "b", "label": "lb"}), "b")
         pairs = ends.where("la <> lb").select(F.least("la", "lb").alias("low"), F.greatest("la", "lb").alias("high")).distinct()
@@ -38,8 +38,8 @@ def _flat(hooks: DataFrame) -> DataFrame:
     """Hooks that all lead to labels without a hook: up becomes up of up until nothing changes."""
     while True:
         n = hooks.groupBy(F.col("up")).agg(F.count("*").alias("n"))
-        next_up = hooks.select(F.col("label").alias("up"), F.col("up").alias("top")).join(n, "up")
-        if next_up.isEmpty():
+        next_up = settled(n.join(hooks.select(F.col("label").alias("up"), F.col("up").alias("top")), "up", "left"))
+        if next_up.where("top is not null").isEmpty():
             return hooks
         moved = join_skewed(hooks, next_up, "up", "n", hooks.count())
         hooks = settled(moved.select("label", F.coalesce("top", "up").alias("up")))

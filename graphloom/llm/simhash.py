@@ -209,3 +209,18 @@ def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 3, id_col: st
     found = components(links(groups.where("node is not null").select("node", "fp"), radius))
     known = groups.join(found, "node", "left").select("fp", F.coalesce("root", "node").alias("component"), "n")
     return join_skewed(fps, known, "fp", "n", fps.count())
+
+
+def one_of_each(docs: DataFrame, words: int = 5, radius: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The row of each component's smallest id, with its columns; of several rows with that id one stays.
+
+    Rows with a null id can't be told apart and all stay.
+    """
+    found = near_duplicates(docs, words, radius, id_col, text_col)
+    gone = settled(found.where("component <> id").select("id").distinct())
+    left = docs.join(gone, docs[id_col] == gone["id"], "left_anti")
+    again = settled(found.where("id is not null").groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select("id"))
+    if again.isEmpty():
+        return left
+    once = left.join(again, left[id_col] == again["id"], "left_anti")
+    return once.unionByName(left.join(again, left[id_col] == again["id"], "left_semi").dropDuplicates([id_col]))
