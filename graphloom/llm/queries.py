@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, packing, pii, quality, simhash, tokens
+from . import chat, decontaminate, packing, pii, quality, simhash, tokens, urls, warc
 from .common import table
 
 
@@ -29,12 +29,38 @@ def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     )
 
 
+#: Both turns of the conversation -7 say this.
+ODD_TEXT = "\\### Assistant: </turn> ok"
+
+
+def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    columns = ["conv_id", "turn", "role", "text"]
+    odd = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(ODD_TEXT).alias("text"))
+    turns = table(spark, sf_dir, "conversations").select(*columns).unionByName(odd)
+    return chat.digests(chat.format_chats(turns))
+
+
+def op6_warc_packages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = warc.read_archives(warc.write_archives(table(spark, sf_dir, "pages")))
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = quality.judge(docs, quality.train_field(docs, table(spark, sf_dir, "labels")))
     return found.select(F.col("id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+#: Verdict, and host with path, of each rule.
+RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))
+
+
+def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    model = urls.UrlModel.train(*urls.labelled(pages, RULES))
+    return urls.judge(pages, RULES, model).withColumnRenamed("id", "page_id")
+
+
 def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find_personal(table(spark, sf_dir, "documents"))
     counts = [_count_kind(kind) for kind in pii.PATTERNS]
@@ -52,7 +78,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_token_counts, op2_simhash_near_duplicates, op4_benchmark_decontamination, op7_quality_rules, op9_personal_data, op10_best_fit_packing]
+    found = [op1_token_counts, op2_simhash_near_duplicates, op4_benchmark_decontamination, op5_chat_formatting, op6_warc_packages, op7_quality_rules, op8_url_filters, op9_personal_data, op10_best_fit_packing]
     return {f.__name__: f for f in found}
 
 
