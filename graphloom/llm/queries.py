@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, packing, pii, quality, simhash, tokens, urls, warc
+from . import chat, decontaminate, packing, pii, quality, simhash, substrings, tokens, urls, warc
 from .common import table
 
 
@@ -22,6 +22,13 @@ def op2_simhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), digits.alias("fingerprint"), F.col("component").alias("component_id"))
 
 
+def op3_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substrings.dedup(table(spark, sf_dir, "documents"), length=100)
+    n_bytes, left = F.octet_length("text").cast("long"), F.octet_length("kept").cast("long")
+    n_spans = F.when(F.col("spans").isNull(), 0).otherwise(F.size("spans")).cast("long")
+    return found.select(F.col("id").alias("doc_id"), n_bytes.alias("n_bytes"), (n_bytes - left).alias("n_removed"), n_spans.alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.judged(decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), width=13))
     return found.select(
@@ -78,7 +85,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_token_counts, op2_simhash_near_duplicates, op4_benchmark_decontamination, op5_chat_formatting, op6_warc_packages, op7_quality_rules, op8_url_filters, op9_personal_data, op10_best_fit_packing]
+    found = [op1_token_counts, op2_simhash_near_duplicates, op3_suffix_array_dedup, op4_benchmark_decontamination, op5_chat_formatting, op6_warc_packages, op7_quality_rules, op8_url_filters, op9_personal_data, op10_best_fit_packing]
     return {f.__name__: f for f in found}
 
 
