@@ -1,11 +1,368 @@
-"""All queries over the star-schema tables, by name."""
+"""Queries that apply the operators to the star-schema tables, and DuckDB SQL with the same results.
+
+Names ending in _ext go beyond what the reference computes.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..functions.constants import BUILTINS, TOLERANCES, UNITS, profile_operations
+from ..functions.identity import is_digest, stable_uuid
+from ..operators import contracts, graph, resolve, trust
+
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+
+
+def _query(sql: str | None = None):
+    def register(f: Query) -> Query:
+        _QUERIES[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
+
+    return register
+
+
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(_SQL)
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+# References: parts as candidates, every brand, type and size as a query
+
+
+def _part_references(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Queries for each brand, type and size from 1 to 50; candidates from parts."""
+    part = _table(spark, sf_dir, "part")
+    kinds = part.select("p_brand").distinct().join(part.select("p_type").distinct())  # a few of each, whatever the size
+    asked = kinds.withColumn("size", F.explode(F.sequence(F.lit(1), F.lit(50))))
+    wanted = asked.select(
+        F.concat_ws("|", "p_brand", "p_type", F.col("size").cast("string")).alias("query_id"), F.lit("part").alias("kind"), F.col("p_brand").alias("producer"), F.col("p_type").alias("role"),
+        F.create_map(F.lit("size"), F.col("size").cast("string")).alias("signature"), F.array().cast("array<string>").alias("adjacent_to"),
+    )
+    found = part.select(
+        F.col("p_partkey").cast("string").alias("identity"), F.lit("part").alias("kind"), F.col("p_brand").alias("producer"), F.col("p_type").alias("role"),
+        F.create_map(F.lit("size"), F.col("p_size").cast("string")).alias("signature"), F.array().cast("array<string>").alias("adjacency"),
+    )
+    return wanted, found
+
+
+_ASKED = """WITH asked AS (SELECT b.p_brand, t.p_type, s.size FROM (SELECT DISTINCT p_brand FROM part) b, (SELECT DISTINCT p_type FROM part) t, (SELECT unnest(range(1, 51)) AS size) s),
+hits AS (SELECT a.p_brand || '|' || a.p_type || '|' || a.size AS query_id, count(p.p_partkey) AS n_candidates, coalesce(string_agg(CAST(p.p_partkey AS VARCHAR), ',' ORDER BY CAST(p.p_partkey AS VARCHAR)), '') AS listed
+FROM asked a LEFT JOIN part p ON p.p_brand = a.p_brand AND p.p_type = a.p_type AND p.p_size = a.size GROUP BY 1) """
+
+
+@_query(_ASKED + "SELECT query_id, CASE n_candidates WHEN 0 THEN 'missing' WHEN 1 THEN 'unique' ELSE 'ambiguous' END AS status, n_candidates FROM hits")
+def resolve_part_reference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resolve.resolve(*_part_references(spark, sf_dir)).select("query_id", "status", "n_candidates")
+
+
+@_query(_ASKED + "SELECT query_id, listed AS candidates FROM hits")
+def resolve_candidates_listed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resolve.resolve(*_part_references(spark, sf_dir)).select("query_id", F.array_join("candidates", ",").alias("candidates"))
+
+
+@_query(_ASKED + "SELECT query_id, listed AS entity FROM hits WHERE n_candidates = 1")
+def unique_entity_only(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resolve.unique_entities(resolve.resolve(*_part_references(spark, sf_dir)))
+
+
+@_query("""WITH near AS (SELECT l_partkey, list(DISTINCT CAST(l_suppkey AS VARCHAR)) AS suppliers FROM lineitem GROUP BY 1),
+c AS (SELECT p.p_partkey, p.p_brand, coalesce(n.suppliers, []) AS suppliers FROM part p LEFT JOIN near n ON n.l_partkey = p.p_partkey),
+q AS (SELECT b.p_brand, s.s FROM (SELECT DISTINCT p_brand FROM part) b, (SELECT unnest(range(1, 11)) AS s) s)
+SELECT q.p_brand || '|' || q.s AS query_id, CASE count(c.p_partkey) WHEN 0 THEN 'missing' WHEN 1 THEN 'unique' ELSE 'ambiguous' END AS status, count(c.p_partkey) AS n_candidates
+FROM q LEFT JOIN c ON c.p_brand = q.p_brand AND list_has_all(c.suppliers, [CAST(q.s AS VARCHAR), CAST(q.s + 1 AS VARCHAR)]) GROUP BY 1, q.p_brand, q.s""")
+def resolve_with_adjacency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts of a brand that two given suppliers both deliver."""
+    part, lines = _table(spark, sf_dir, "part"), _table(spark, sf_dir, "lineitem")
+    pairs = lines.select("l_partkey", F.col("l_suppkey").cast("string").alias("s")).distinct()
+    near = pairs.groupBy("l_partkey").agg(F.collect_list("s").alias("adjacency"))
+    found = part.join(near, part["p_partkey"] == near["l_partkey"], "left").select(
+        F.col("p_partkey").cast("string").alias("identity"), F.lit("part").alias("kind"), F.col("p_brand").alias("producer"), F.lit("any").alias("role"), F.lit(None).cast("map<string,string>").alias("signature"), "adjacency"
+    )
+    asked = part.select("p_brand").distinct().withColumn("s", F.explode(F.sequence(F.lit(1), F.lit(10))))
+    wanted = asked.select(
+        F.concat_ws("|", "p_brand", F.col("s").cast("string")).alias("query_id"), F.lit("part").alias("kind"), F.col("p_brand").alias("producer"), F.lit("any").alias("role"),
+        F.lit(None).cast("map<string,string>").alias("signature"), F.array(F.col("s").cast("string"), (F.col("s") + 1).cast("string")).alias("adjacent_to"),
+    )
+    return resolve.resolve(wanted, found).select("query_id", "status", "n_candidates")
+
+
+# Rules as relational queries
+
+
+@_query("SELECT p_partkey, p_brand, p_type, p_size, rn AS occurrence FROM (SELECT *, row_number() OVER (PARTITION BY p_brand, p_type, p_size ORDER BY p_partkey) AS rn FROM part) WHERE rn > 1")
+def duplicate_declarations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = F.row_number().over(Window.partitionBy("p_brand", "p_type", "p_size").orderBy("p_partkey"))
+    return _table(spark, sf_dir, "part").withColumn("occurrence", n.cast("long")).where("occurrence > 1").select("p_partkey", "p_brand", "p_type", "p_size", "occurrence")
+
+
+@_query("""SELECT 'events.user_id' AS rule, CAST(user_id AS VARCHAR) AS ref, count(*) AS n FROM events e WHERE NOT EXISTS (SELECT 1 FROM customer c WHERE c.c_custkey = e.user_id) GROUP BY 2
+UNION ALL SELECT 'lineitem.l_orderkey', CAST(l_orderkey AS VARCHAR), count(*) FROM lineitem l WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_orderkey = l.l_orderkey) GROUP BY 2
+UNION ALL SELECT 'documents.doc_id', CAST(doc_id AS VARCHAR), count(*) FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id) GROUP BY 2""")
+def unknown_references(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = lambda name: _table(spark, sf_dir, name)
+    checks = [("events", "user_id", "customer", "c_custkey"), ("lineitem", "l_orderkey", "orders", "o_orderkey"), ("documents", "doc_id", "labels", "doc_id")]
+    found = None
+    for rows, key, owner, own in checks:
+        unknown = t(rows).select(F.col(key).alias("ref")).join(t(owner).select(F.col(own).alias("ref")), "ref", "left_anti")
+        one = unknown.groupBy("ref").agg(F.count("*").alias("n")).select(F.lit(f"{rows}.{key}").alias("rule"), F.col("ref").cast("string").alias("ref"), "n")
+        found = one if found is None else found.unionByName(one)
+    return found
+
+
+def _edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = lambda name: _table(spark, sf_dir, name)
+    tag = lambda kind, c: F.concat(F.lit(kind), F.col(c).cast("string"))
+    parts = [
+        t("orders").select(tag("c", "o_custkey").alias("src"), F.concat(F.lit("s"), "o_orderstatus").alias("dst")),
+        t("customer").select(tag("c", "c_custkey").alias("src"), tag("n", "c_nationkey").alias("dst")),
+        t("nation").select(tag("n", "n_nationkey").alias("src"), tag("r", "n_regionkey").alias("dst")),
+        t("region").select(tag("r", "r_regionkey").alias("src"), F.lit("world").alias("dst")),
+    ]
+    found = parts[0]
+    for p in parts[1:]:
+        found = found.unionByName(p)
+    return found.distinct()
+
+
+_EDGES = """WITH RECURSIVE e AS (SELECT DISTINCT 'c' || o_custkey AS src, 's' || o_orderstatus AS dst FROM orders UNION SELECT 'c' || c_custkey, 'n' || c_nationkey FROM customer
+UNION SELECT 'n' || n_nationkey, 'r' || n_regionkey FROM nation UNION SELECT 'r' || r_regionkey, 'world' FROM region)"""
+
+
+@_query(_EDGES + " SELECT src, dst FROM e")
+def reference_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _edges(spark, sf_dir)
+
+
+@_query(_EDGES + ", p AS (SELECT src, dst FROM e UNION SELECT p.src, e.dst FROM p JOIN e ON e.src = p.dst) SELECT src, dst FROM p")
+def dependency_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.closure(_edges(spark, sf_dir))
+
+
+@_query(_EDGES + ", w AS (SELECT dst AS node, 0 AS level FROM e WHERE dst NOT IN (SELECT src FROM e) UNION SELECT e.src, w.level + 1 FROM w JOIN e ON e.dst = w.node) SELECT node, max(level) AS level FROM w GROUP BY node")
+def dependency_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.levels(_edges(spark, sf_dir))
+
+
+# Which event type asks for which operation, and under which profile a user works.
+_OPERATIONS = [("signup", "extrude"), ("view", "thread"), ("purchase", "sweep"), ("error", "weld"), ("click", "fillet")]
+_VALUES = lambda rows: ", ".join("(" + ", ".join(f"'{x}'" if isinstance(x, str) else str(x) for x in r) + ")" for r in rows)
+
+
+@_query(f"""WITH ops(event_type, op) AS (VALUES {_VALUES(_OPERATIONS)}), allowed(profile, rank, op) AS (VALUES {_VALUES(profile_operations())})
+SELECT event_id, 'P' || (1 + user_id % 4) AS profile, ops.op AS operation FROM events JOIN ops USING (event_type)
+WHERE NOT EXISTS (SELECT 1 FROM allowed a WHERE a.rank = 1 + user_id % 4 AND a.op = ops.op)""")
+def profile_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ops = F.broadcast(spark.createDataFrame(_OPERATIONS, "event_type string, operation string"))
+    allowed = F.broadcast(spark.createDataFrame([(p, o) for p, _, o in profile_operations()], "profile string, operation string"))
+    asked = _table(spark, sf_dir, "events").join(ops, "event_type").withColumn("profile", F.concat(F.lit("P"), (1 + F.col("user_id") % 4).cast("string")))
+    return asked.join(allowed, ["profile", "operation"], "left_anti").select("event_id", "profile", "operation")
+
+
+_PRIORITIES = "CASE o_orderpriority WHEN '1-URGENT' THEN 'kernel_tolerance' WHEN '2-HIGH' THEN 'gdt_zone' WHEN '3-MEDIUM' THEN 'dimensional_tolerance' WHEN '5-LOW' THEN NULL ELSE o_orderpriority END"
+
+
+@_query(f"SELECT o_orderkey, {_PRIORITIES} AS tolerance FROM orders WHERE coalesce({_PRIORITIES} NOT IN ({', '.join(repr(t) for t in TOLERANCES)}), true)")
+def tolerance_category(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kind = F.expr(_PRIORITIES)
+    return _table(spark, sf_dir, "orders").select("o_orderkey", kind.alias("tolerance")).where(~F.coalesce(F.col("tolerance").isin(*TOLERANCES), F.lit(False)))
+
+
+@_query("SELECT d.doc_id, d.lang FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id WHERE d.lang IN ('fr', 'es') AND l.doc_id IS NULL")
+def missing_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    return docs.where(F.col("lang").isin("fr", "es")).join(labels.select("doc_id"), "doc_id", "left_anti").select("doc_id", "lang")
+
+
+@_query(f"""SELECT 'E101' AS code, CAST(p_partkey AS VARCHAR) AS subject FROM (SELECT p_partkey, row_number() OVER (PARTITION BY p_brand, p_type, p_size ORDER BY p_partkey) AS rn FROM part) WHERE rn > 1
+UNION ALL SELECT 'E140', CAST(o_orderkey AS VARCHAR) FROM orders WHERE coalesce({_PRIORITIES} NOT IN ({', '.join(repr(t) for t in TOLERANCES)}), true)
+UNION ALL SELECT 'E150', CAST(d.doc_id AS VARCHAR) FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id WHERE d.lang IN ('fr', 'es') AND l.doc_id IS NULL""")
+def rule_diagnostics_union(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sources = [("E101", duplicate_declarations, "p_partkey"), ("E140", tolerance_category, "o_orderkey"), ("E150", missing_evidence, "doc_id")]
+    found = [q(spark, sf_dir).select(F.lit(code).alias("code"), F.col(key).cast("string").alias("subject")) for code, q, key in sources]
+    return found[0].unionByName(found[1]).unionByName(found[2])
+
+
+_NAMES = [("width", 1), ("mm", 1), ("mm.x", 2), ("origin", 1), ("world.xy", 2), ("missing", 1), ("missing.top", 2), ("BUILDING", 1), ("AUTOMOBILE.faces", 2)]
+
+
+@_query(f"""WITH refs(path, n) AS (VALUES {_VALUES(_NAMES)}), builtin(name) AS (VALUES {_VALUES([(b,) for b in BUILTINS])}), units(name) AS (VALUES {_VALUES([(u,) for u in UNITS])})
+SELECT path FROM refs r WHERE split_part(path, '.', 1) NOT IN (SELECT DISTINCT c_mktsegment FROM customer) AND split_part(path, '.', 1) NOT IN (SELECT name FROM units)
+AND NOT EXISTS (SELECT 1 FROM builtin b WHERE b.name = split_part(r.path, '.', 1) AND (r.n = 1 OR b.name = 'world'))""")
+def unknown_names_theta(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The side condition on built-in names as an anti-join with a theta condition."""
+    refs = spark.createDataFrame(_NAMES, "path string, n int").withColumn("root", F.substring_index("path", ".", 1))
+    symbols = _table(spark, sf_dir, "customer").select(F.col("c_mktsegment").alias("root")).distinct()
+    builtin = spark.createDataFrame([(b,) for b in BUILTINS], "name string")
+    free = refs.join(symbols, "root", "left_anti").where(~F.col("root").isin(*UNITS))
+    known = (F.col("name") == F.col("root")) & ((F.col("n") == 1) | (F.col("name") == "world"))
+    return free.join(F.broadcast(builtin), known, "left_anti").select("path")
+
+
+# Trust
+
+
+_SEVERITY = "CASE event_type WHEN 'error' THEN 'error' WHEN 'purchase' THEN 'warning' ELSE 'info' END"
+
+
+@_query(f"SELECT user_id AS register_id, count(*) AS n_records, bool_or({_SEVERITY} IN ('error', 'fatal')) AS blocks_commit FROM events GROUP BY 1")
+def loss_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = _table(spark, sf_dir, "events").select(F.col("user_id").alias("register_id"), F.expr(_SEVERITY).alias("severity"))
+    return trust.roll_up(records.select("register_id").distinct(), records)
+
+
+@_query("SELECT doc_id, sha256(text) AS digest, regexp_full_match(sha256(text), '[0-9a-f]{64}') AS valid FROM documents UNION ALL SELECT doc_id, upper(sha256(text)), regexp_full_match(upper(sha256(text)), '[0-9a-f]{64}') FROM documents")
+def evidence_digest_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    digests = _table(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("digest"))
+    both = digests.unionByName(digests.withColumn("digest", F.upper("digest")))
+    return both.withColumn("valid", is_digest(F.col("digest")))
+
+
+_DECISIONS = """SELECT doc_id, CASE WHEN toxic = 1 THEN 'rejected' WHEN quality = 1 THEN 'accepted' ELSE 'proposed' END AS status, CAST(doc_id % 13 - 1 AS DOUBLE) / 10 AS confidence,
+doc_id % 3 AS n_evidence, CASE WHEN doc_id % 5 = 0 THEN '' ELSE 'reviewer' END AS actor FROM labels"""
+
+
+@_query(f"""WITH d AS ({_DECISIONS}) SELECT doc_id, concat_ws(',', CASE WHEN confidence < 0 OR confidence > 1 THEN 'confidence' END, CASE WHEN status = 'accepted' AND n_evidence = 0 THEN 'evidence' END,
+CASE WHEN status = 'accepted' AND actor = '' THEN 'actor' END, CASE WHEN status = 'proposed' THEN 'status' END) AS violations FROM d""")
+def decision_constraints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = _table(spark, sf_dir, "labels")
+    status = F.when(F.col("toxic") == 1, "rejected").when(F.col("quality") == 1, "accepted").otherwise("proposed")
+    ids = F.when(F.col("doc_id") % 3 == 0, F.array().cast("array<string>")).otherwise(F.array_repeat(F.lit("e"), (F.col("doc_id") % 3).cast("int")))
+    decisions = labels.select("doc_id", status.alias("status"), ((F.col("doc_id") % 13 - 1) / 10).alias("confidence"), ids.alias("evidence_ids"), F.when(F.col("doc_id") % 5 == 0, "").otherwise("reviewer").alias("decided_by"))
+    return trust.check_decisions(decisions).select("doc_id", F.array_join("violations", ",").alias("violations"))
+
+
+# Identities
+
+
+_UUID = """substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-5' || substr(h, 14, 3) || '-' || substr('89ab', 1 + instr('0123456789abcdef', substr(h, 17, 1)) % 4 - CASE WHEN instr('0123456789abcdef', substr(h, 17, 1)) % 4 = 0 THEN -3 ELSE 1 END, 1)
+|| substr(h, 18, 3) || '-' || substr(h, 21, 12)"""
+
+
+@_query(f"""WITH p AS (SELECT 'local/' || r_name AS path FROM region UNION ALL SELECT 'local/' || r_name || '/' || n_name FROM nation JOIN region ON r_regionkey = n_regionkey),
+h AS (SELECT path, sha1(unhex('22b8aa1ea0375d7b89f8b7af0c8fc2ad') || encode(path)) AS h FROM p) SELECT path, {_UUID} AS id FROM h""")
+def stable_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    region, nation = _table(spark, sf_dir, "region"), _table(spark, sf_dir, "nation")
+    tops = region.select(F.concat(F.lit("local/"), "r_name").alias("path"))
+    below = nation.join(F.broadcast(region), F.col("r_regionkey") == F.col("n_regionkey")).select(F.concat(F.lit("local/"), "r_name", F.lit("/"), "n_name").alias("path"))
+    return tops.unionByName(below).select("path", stable_uuid(F.col("path")).alias("id"))
+
+
+@_query("SELECT c_custkey, sha256(concat_ws('#', CAST(c_custkey AS VARCHAR), c_mktsegment, c_name, CAST(c_nationkey AS VARCHAR))) AS digest FROM customer")
+def canonical_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fields = ["c_custkey", "c_mktsegment", "c_name", "c_nationkey"]  # by name
+    return _table(spark, sf_dir, "customer").select("c_custkey", F.sha2(F.concat_ws("#", *fields), 256).alias("digest"))
+
+
+# Revisions
+
+
+@_query("SELECT user_id, event_id, row_number() OVER w - 1 AS number, lag(event_id) OVER w AS base_event FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)")
+def revision_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    return _table(spark, sf_dir, "events").select("user_id", "event_id", (F.row_number().over(w) - 1).cast("long").alias("number"), F.lag("event_id").over(w).alias("base_event"))
+
+
+@_query("SELECT user_id, event_id FROM (SELECT user_id, event_id, event_type, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM events) WHERE before IS NOT NULL AND before <> event_type")
+def revision_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    before = F.lag("event_type").over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
+    return _table(spark, sf_dir, "events").withColumn("before", before).where("before <> event_type").select("user_id", "event_id")
+
+
+@_query("SELECT user_id AS store_id, event_id, event_type AS message FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn FROM events) WHERE rn = 1")
+def current_revision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    latest = F.max_by(F.struct("event_id", "event_type"), F.struct("ts", "event_id")).alias("r")
+    return _table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("store_id")).agg(latest).select("store_id", F.col("r.event_id").alias("event_id"), F.col("r.event_type").alias("message"))
+
+
+# Sources: one small document per part, parsed and checked
+
+
+def _sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = _table(spark, sf_dir, "part")
+    text = F.format_string('lang 0.1;\nmodel m%d [profile = "P1"] {\n  parameter size: length = %d mm;\n  parameter twice: length = size + size;\n  feature f: %s { distance = twice; }\n}\n', "p_partkey", "p_size", F.when(F.col("p_size") > 40, "sweep").otherwise("extrude"))
+    return part.select(F.col("p_partkey").cast("string").alias("doc_id"), F.lit(None).cast("string").alias("uri"), text.alias("source_text"))
+
+
+@_query("SELECT CAST(p_partkey AS VARCHAR) AS doc_id, 'LANG-E120' AS code FROM part WHERE p_size > 40")
+def document_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..api import check
+
+    return check(_sources(spark, sf_dir)).diagnostics.select("doc_id", "code")
+
+
+@_query("SELECT CAST(p_partkey AS VARCHAR) AS doc_id, p_size <= 40 AS ok FROM part")
+def document_validity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..api import check
+
+    return check(_sources(spark, sf_dir)).validity
+
+
+@_query("SELECT CAST(p_partkey AS VARCHAR) AS doc_id, x.src, x.dst FROM part, (VALUES ('twice', 'size'), ('f', 'twice')) x(src, dst)")
+def document_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators.rules import edges
+    from ..sources.documents import parse_documents
+
+    return edges(parse_documents(_sources(spark, sf_dir)).persist()).select("doc_id", "src", "dst")
+
+
+@_query("SELECT CAST(p_partkey AS VARCHAR) AS doc_id, CAST(40 AS BIGINT) AS n_tokens FROM part")
+def document_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..sources.documents import tokens
+
+    return tokens(_sources(spark, sf_dir)).groupBy("doc_id").agg(F.count("*").alias("n_tokens"))
+
+
+@_query()
+def document_graphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests and contract checks of canonical graphs; byte-exact JSON has no SQL."""
+    from ..sources.documents import parse_documents
+
+    parsed = parse_documents(_sources(spark, sf_dir))
+    return contracts.check_graphs(parsed).select("doc_id", "semantic_sha256", F.array_join("violations", ",").alias("violations"))
+
+
+# Beyond the reference
+
+
+@_query("SELECT d.lang, count(*) AS n, CAST(sum(l.quality) AS BIGINT) AS passed, CAST(sum(l.quality) * 100 >= 95 * count(*) AS BOOLEAN) AS gate FROM documents d JOIN labels l ON l.doc_id = d.doc_id GROUP BY 1")
+def gate_pass_rates_ext(spark: SparkSession, sf_dir: str) -> DataFrame:
+    joined = _table(spark, sf_dir, "documents").select("doc_id", "lang").join(_table(spark, sf_dir, "labels"), "doc_id")
+    by = joined.groupBy("lang").agg(F.count("*").alias("n"), F.sum("quality").cast("long").alias("passed"))
+    return by.withColumn("gate", F.col("passed") * 100 >= 95 * F.col("n"))
+
+
+@_query("SELECT DISTINCT source, lang FROM documents t WHERE doc_id % 7 = 0 AND EXISTS (SELECT 1 FROM documents o WHERE o.source = t.source AND o.lang = t.lang AND o.doc_id % 7 <> 0)")
+def split_leakage_ext(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Families (source and language) that stand on both sides of a split by id."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "source", "lang")
+    test, train = docs.where("doc_id % 7 = 0").select("source", "lang").distinct(), docs.where("doc_id % 7 <> 0").select("source", "lang").distinct()
+    return test.join(train, ["source", "lang"], "left_semi")
+
 
-def queries() -> dict:
-    return {}
+@_query("SELECT p_partkey, CASE WHEN p_partkey % 7 = 0 THEN 'removed' ELSE 'changed' END AS change FROM part WHERE p_partkey % 7 = 0 OR p_size > 45")
+def drift_compare_ext(spark: SparkSession, sf_dir: str) -> DataFrame:
+    old = _table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_size")
+    new = old.where("p_partkey % 7 <> 0").withColumn("p_size", F.when(F.col("p_size") > 45, 0).otherwise(F.col("p_size")))
+    return contracts.drift(old, new, ["p_partkey"])
 
 
-def oracle_sql() -> dict:
-    return {}
+@_query("SELECT x.backend, x.operation FROM (SELECT DISTINCT c_mktsegment AS backend, o_orderpriority AS operation FROM customer JOIN orders ON o_custkey = c_custkey) x WHERE NOT (length(x.backend) >= 9 OR x.operation LIKE '1%')")
+def unsupported_operations_ext(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders, customers = _table(spark, sf_dir, "orders"), _table(spark, sf_dir, "customer")
+    asked = orders.join(customers, F.col("o_custkey") == F.col("c_custkey")).select(F.col("c_mktsegment").alias("backend"), F.col("o_orderpriority").alias("operation")).distinct()
+    return contracts.unsupported(asked, asked.where("length(backend) >= 9 OR operation LIKE '1%'"))
