@@ -44,6 +44,13 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     given = parser.parse_args(argv)
     spark = spark or SparkSession.builder.master("local[*]").config("spark.ui.enabled", "false").getOrCreate()
     checked = validate_files(spark, given.source)
+    try:
+        return _run(given, checked)
+    finally:
+        checked.parsed.unpersist()
+
+
+def _run(given: argparse.Namespace, checked: Checked) -> int:
     ok = checked.validity.where("not ok").isEmpty()
     _report(given.source, checked, ok, given.command == "validate" and given.json)
     if not ok:
