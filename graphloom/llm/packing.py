@@ -252,11 +252,11 @@ def pack_sizes(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray
 def pack(items: DataFrame, capacity: int = 2048, share: int = 50_000) -> DataFrame:
     """items with two columns more: sequence_id and offset, so that no sequence exceeds `capacity`.
 
-    items has a column `length` (1 to capacity). Shares of about `share` rows are dealt out evenly and
+    items has a column `length` (1 to capacity); columns that have the new ones' names give way to them. Shares of about `share` rows are dealt out evenly and
     packed each by itself: a share's last, partly filled sequences are its only loss, and its size
     bounds a task's memory at any number of rows. Rows aren't ordered; repeated rows are packed each.
     """
-    items = settled(items)
+    items = settled(items.drop("sequence_id", "offset"))
     n = items.count()
     names = items.columns
     kinds = ", ".join(f"`{c}` {t}" for c, t in items.dtypes)

@@ -158,16 +158,17 @@ def mask(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     Of overlapping spans the first is named and all are covered. Null text stays null.
     """
     found = find_personal(docs, id_col, text_col).where((F.size("base") > 0) | (F.size("learned") > 0))
-    found = found.groupBy("id", "text_hash").agg(F.first(F.array_sort(F.concat("base", "learned"))).alias("_spans"))
-    keyed = docs.withColumn("_hash", F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
-    joined = keyed.join(found, keyed[id_col].eqNullSafe(found["id"]) & (keyed["_hash"] == found["text_hash"]), "left")
+    found = found.groupBy("id", "text_hash").agg(F.first(F.array_sort(F.concat("base", "learned"))).alias("spans"))
+    keyed = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).alias("own"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("hash"), F.col(text_col).alias("text"))
+    joined = keyed.join(found, keyed["own"].eqNullSafe(found["id"]) & (keyed["hash"] == found["text_hash"]), "left")
     start = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
 
     def step(sofar: Column, s: Column) -> Column:
-        gap = F.substring(F.col(text_col), (sofar["at"] + 1).cast("int"), (s["start"] - sofar["at"]).cast("int"))
+        gap = F.substring(F.col("text"), (sofar["at"] + 1).cast("int"), (s["start"] - sofar["at"]).cast("int"))
         named = F.concat(sofar["out"], gap, F.lit("["), F.upper(s["kind"]), F.lit("]"))
         inside = s["start"] < sofar["at"]
         return F.struct(F.greatest(sofar["at"], s["end"]).alias("at"), F.when(inside, sofar["out"]).otherwise(named).alias("out"))
 
-    whole = F.aggregate("_spans", start, step, lambda s: F.concat(s["out"], F.substring(F.col(text_col), (s["at"] + 1).cast("int"), F.length(text_col))))
-    return joined.withColumn(text_col, F.when(F.col("_spans").isNotNull(), whole).otherwise(F.col(text_col))).select(*docs.columns)
+    whole = F.aggregate("spans", start, step, lambda s: F.concat(s["out"], F.substring(F.col("text"), (s["at"] + 1).cast("int"), F.length("text"))))
+    masked = F.when(F.col("spans").isNotNull(), whole).otherwise(F.col("text"))
+    return joined.select(*(masked.alias(c) if c == text_col else F.col("row")[c].alias(c) for c in docs.columns))
