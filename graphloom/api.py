@@ -31,7 +31,7 @@ def check(documents: DataFrame) -> Checked:
     """Checks (doc_id, uri, source_text); the parsed table is persisted, as every rule reads it."""
     parsed = parse_documents(documents).persist()
     found = diagnostics(parsed).orderBy("doc_id", "model", "phase", "symbol", "rule", "ref")
-    return Checked(documents, parsed, found, validity(parsed, found))
+    return Checked(documents, parsed, found, validity(parsed))
 
 
 def validate_files(spark: SparkSession, path: str) -> Checked:

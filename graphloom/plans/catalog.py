@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 from ..functions.constants import BUILTINS, TOLERANCES, UNITS, profile_operations
 from ..functions.identity import is_digest, stable_uuid
-from ..operators import contracts, graph, resolve, trust
+from ..operators import contracts, graph, resolve, rules, trust
+from ..sources.documents import parse_documents, tokens
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -300,38 +301,27 @@ def _sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query("SELECT CAST(p_partkey AS VARCHAR) AS doc_id, 'LANG-E120' AS code FROM part WHERE p_size > 40")
 def document_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from ..api import check
-
-    return check(_sources(spark, sf_dir)).diagnostics.select("doc_id", "code")
+    return rules.diagnostics(parse_documents(_sources(spark, sf_dir))).select("doc_id", "code")
 
 
 @_query("SELECT CAST(p_partkey AS VARCHAR) AS doc_id, p_size <= 40 AS ok FROM part")
 def document_validity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from ..api import check
-
-    return check(_sources(spark, sf_dir)).validity
+    return rules.validity(parse_documents(_sources(spark, sf_dir)))
 
 
 @_query("SELECT CAST(p_partkey AS VARCHAR) AS doc_id, x.src, x.dst FROM part, (VALUES ('twice', 'size'), ('f', 'twice')) x(src, dst)")
 def document_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from ..operators.rules import edges
-    from ..sources.documents import parse_documents
-
-    return edges(parse_documents(_sources(spark, sf_dir)).persist()).select("doc_id", "src", "dst")
+    return rules.edges(parse_documents(_sources(spark, sf_dir))).select("doc_id", "src", "dst")
 
 
 @_query("SELECT CAST(p_partkey AS VARCHAR) AS doc_id, CAST(40 AS BIGINT) AS n_tokens FROM part")
 def document_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from ..sources.documents import tokens
-
     return tokens(_sources(spark, sf_dir)).groupBy("doc_id").agg(F.count("*").alias("n_tokens"))
 
 
 @_query()
 def document_graphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests and contract checks of canonical graphs; byte-exact JSON has no SQL."""
-    from ..sources.documents import parse_documents
-
     parsed = parse_documents(_sources(spark, sf_dir))
     return contracts.check_graphs(parsed).select("doc_id", "semantic_sha256", F.array_join("violations", ",").alias("violations"))
 

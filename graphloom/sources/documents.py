@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from ..functions.constants import DECLARATIONS, PROFILES
 from ..functions.typing import infer, plain_type
 from . import canonical
 from .grammar import expressions, read_source, references
@@ -22,10 +23,11 @@ PARSED = f"""doc_id string, error struct<code: string, message: string, span: {_
     models array<struct<model: int, name: string, id: string, profile: string, dependency_order: array<string>, span: {_SPAN}>>,
     nodes array<struct<model: int, node: int, parent: int, ord: int, depth: int, kind: string, name: string, type: string, path: string, id: string, span: {_SPAN},
         locals: array<string>, value: string, attributes: map<string, string>, status: string, has_evidence: boolean, value_span: {_SPAN}, expected: string, actual: string, certain: boolean,
-        is_select: boolean, cardinality: string, n_arguments: int, keywords: array<string>>>,
-    refs array<struct<model: int, node: int, ref: int, path: string, root: string, n_parts: int, span: {_SPAN}>>,
+        is_select: boolean, cardinality: string, n_arguments: int, keywords: array<string>, declares: boolean, first: boolean, profile: string>>,
+    refs array<struct<model: int, node: int, ref: int, path: string, root: string, n_parts: int, span: {_SPAN}, owner: string, symbol: boolean, local: boolean>>,
+    cycles array<struct<model: int, ord: int, at: string, cycle: array<string>, span: {_SPAN}>>,
     canonical_json string, semantic_sha256 string"""
-_FIELDS = ("doc_id", "error", "language", "version", "namespace", "span", "imports", "models", "nodes", "refs", "canonical_json", "semantic_sha256")
+_FIELDS = ("doc_id", "error", "language", "version", "namespace", "span", "imports", "models", "nodes", "refs", "cycles", "canonical_json", "semantic_sha256")
 
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
@@ -45,7 +47,10 @@ def _span(span: Span | None) -> dict | None:
 
 def _node_rows(tree: dict, m: int, model: dict) -> Iterator[dict]:
     """A model's nodes from top to bottom; only nodes of its own body get what the rules ask for."""
-    symbols = {name: node["type"] for name, node in canonical.declared(model).items()}
+    known = canonical.declared(model)
+    symbols = {name: node["type"] for name, node in known.items()}
+    profile = canonical.literal_text(dict(model["attributes"]).get("profile"))
+    profile = profile if profile in PROFILES else next(iter(PROFILES))
     space = tree["namespace"] or "local"
     stack = [(node, None, k, 0, f"{space}/{model['name']}") for k, node in reversed(list(enumerate(model["body"])))]
     number = 0
@@ -56,6 +61,8 @@ def _node_rows(tree: dict, m: int, model: dict) -> Iterator[dict]:
         row |= {"value": value and canonical.spell(canonical.lowered(value))[:-1], "attributes": [(key, canonical.spell(canonical.lowered(e))[:-1]) for key, e in attributes.items()]}
         if depth == 0:
             row |= {"locals": sorted({n["name"] for n in node["body"] if n["name"]}), "status": canonical.literal_text(attributes.get("status")), "has_evidence": "evidence" in attributes}
+            declares = node["kind"] in DECLARATIONS and bool(node["name"])
+            row |= {"declares": declares, "first": declares and known[node["name"]] is node, "profile": profile}
             if value is not None:
                 actual, certain = infer(value, symbols)
                 select = value["kind"] == "call" and value["operation"] == "select"
@@ -70,7 +77,7 @@ def _node_rows(tree: dict, m: int, model: dict) -> Iterator[dict]:
 def parse_text(doc_id: str, text: str | None) -> dict:
     """One document's row: its parts, or the error that ended reading it (a null text is empty)."""
     row: dict = dict.fromkeys(_FIELDS)
-    row |= {"doc_id": doc_id, "imports": [], "models": [], "nodes": [], "refs": []}
+    row |= {"doc_id": doc_id, "imports": [], "models": [], "nodes": [], "refs": [], "cycles": []}
     try:
         tree = read_source(text or "")
         graph = canonical.graph_of(tree)
@@ -83,10 +90,17 @@ def parse_text(doc_id: str, text: str | None) -> dict:
         row["models"].append({"model": m, "name": model["name"], "id": graph["models"][m]["id"], "profile": profile or "P1", "dependency_order": graph["models"][m]["dependency_order"], "span": _span(model["span"])})
         nodes = list(_node_rows(tree, m, model))
         row["nodes"] += nodes
+        known, links = canonical.declared(model), {}
         tops = [n["node"] for n in nodes if n["depth"] == 0]
         for number, node in zip(tops, model["body"], strict=True):
-            found = [r for e in expressions(node) for r in references(e)]
-            row["refs"] += [{"model": m, "node": number, "ref": k, "path": r["path"], "root": r["path"].split(".")[0], "n_parts": r["path"].count(".") + 1, "span": _span(r["span"])} for k, r in enumerate(found)]
+            owner = node["name"] if known.get(node["name"]) is node else None
+            local = {part["name"] for part in node["body"]}
+            for k, r in enumerate(r for e in expressions(node) for r in references(e)):
+                root = r["path"].split(".")[0]
+                row["refs"].append({"model": m, "node": number, "ref": k, "path": r["path"], "root": root, "n_parts": r["path"].count(".") + 1, "span": _span(r["span"]), "owner": owner, "symbol": root in known, "local": root in local})
+                if owner is not None and root in known:
+                    links.setdefault(owner, set()).add(root)
+        row["cycles"] += [{"model": m, "ord": k, "at": at, "cycle": path, "span": _span(known[at]["span"])} for k, (at, path) in enumerate(canonical.find_cycles(links))]
     return row | {"canonical_json": canonical.spell(graph, 2), "semantic_sha256": graph["semantic_sha256"]}
 
 

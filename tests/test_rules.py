@@ -3,7 +3,8 @@
 import pytest
 
 from graphloom.api import validate_texts
-from graphloom.operators.rules import edges, find_cycles
+from graphloom.operators.rules import edges
+from graphloom.sources.canonical import find_cycles
 
 from .test_source import PLATE
 
