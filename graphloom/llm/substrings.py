@@ -3,11 +3,12 @@
 1. Every window (string of `length` bytes) has an anchor: the gram of least hash in it, the leftmost of
    equal ones. Equal windows have equal anchors at equal offsets, so windows whose anchor's gram stands
    nowhere else can't be repeated. Windows in a row with one anchor are a run; its bytes are its context.
-2. Runs whose gram is repeated are dealt out to shards by the gram, equal contexts once per batch.
-3. A shard builds a suffix array of its different contexts by Larsson-Sadakane refinement and common
-   prefixes by Kasai's bound; neighbours that share `length` bytes are equal windows, of which all but
-   the first are repeated. A gram with more contexts than a shard holds is dealt to several shards, which
-   are merged by binary search in their sorted windows.
+2. Keys of runs are dealt out by their gram. Each different context goes on once, under its first place,
+   and its other places are repeated whole. Grams with one context are done; the others' contexts are
+   read from the texts and dealt out to shards by the gram.
+3. A shard builds a suffix array of its contexts by Larsson-Sadakane refinement and common prefixes by
+   Kasai's bound; neighbours that share `length` bytes are equal windows, of which all but the first are
+   repeated. A task's shards of bounded size are merged by binary search in their sorted windows.
 """
 
 from __future__ import annotations
@@ -23,7 +24,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import in_arrow, pieces
-from .simhash import by_keys
 
 LENGTH, GRAM = 100, 32
 #: Bytes of text that one shard's suffix array takes.
@@ -65,6 +65,7 @@ class Runs:
         if n < length or not (sizes >= length).any():
             self.text = self.first = self.last = self.gram = np.zeros(0, np.int64)
             self.key = np.zeros(0, np.uint64)
+            self.prefix = self.inverse = np.ones(1, np.uint64)
             return
         size = 1 << max(21, (n + 1).bit_length())
         powers, self.inverse = _powers(size)
@@ -255,139 +256,159 @@ def _spans(first: np.ndarray, last: np.ndarray, length: int) -> tuple[list[int],
     return s[cut].tolist(), e[np.append(np.flatnonzero(cut)[1:] - 1, len(s) - 1)].tolist()
 
 
-_ROW = "route long, key long, context long, doc long, row long, first int, last int, raw binary"
+#: A place in one number: bits of the text's hash, the first window, and how many windows follow it in its run.
+_TEXT_BITS, _FIRST_BITS, _MORE_BITS = 27, 28, 8
 
 
-def repeated_spans(rows: DataFrame, length: int = LENGTH, gram: int = GRAM, shard_bytes: int = SHARD_BYTES) -> DataFrame:
-    """(doc, row, spans) of the rows (doc, row, text binary) with repeated windows; spans [start, end) in bytes.
+def _place(text: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    return (text << (_FIRST_BITS + _MORE_BITS)) | (first << _MORE_BITS) | (last - first)
 
-    doc orders the documents; row tells rows with one doc apart (equal for equal texts).
-    """
-    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    small = in_arrow(rows, "doc long, row long, packed binary", _pack(length))
 
-    def anchors(batch: pa.RecordBatch):
+def _first(place: np.ndarray) -> np.ndarray:
+    return (place >> _MORE_BITS) & ((1 << _FIRST_BITS) - 1)
+
+
+def _differ(*cols: np.ndarray) -> np.ndarray:
+    """Whether each row differs from the one before in any column; the first does."""
+    if not len(cols[0]):
+        return np.zeros(0, bool)
+    return np.append(True, np.logical_or.reduce([c[1:] != c[:-1] for c in cols]))
+
+
+def _later(key: np.ndarray, context: np.ndarray, doc: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(order, lead, later): rows by key, context and place in the corpus; the first of each context; and
+    rows whose place comes behind it (not the same place again)."""
+    order = np.lexsort((place, _first(place), doc, context, key))
+    key, context, doc, first = key[order], context[order], doc[order], _first(place)[order]
+    lead = _differ(key, context)
+    leader = np.flatnonzero(lead)[np.cumsum(lead) - 1] if len(order) else order
+    return order, lead, (doc != doc[leader]) | (first != first[leader])
+
+
+def _runs_of(length: int, gram: int):
+    """Batches of texts to their runs (key, context, doc, place, done); a context's later places in a batch are done."""
+
+    def run(batch: pa.RecordBatch):
         for part in pieces(batch, "text", 2 << 20):
             runs = Runs(part.column("text").to_pylist(), length, gram)
-            key, row = runs.key.view(np.int64), part.column("row").to_numpy()[runs.text]
-            by = np.lexsort((row, key))
-            key, row = key[by], row[by]
-            # Twice at most for a text: then the gram is known to be repeated.
-            keep = np.append(np.array([True, True])[: len(key)], (key[2:] != key[:-2]) | (row[2:] != row[:-2]))
-            yield pa.RecordBatch.from_arrays([pa.array(key[keep]), pa.array(row[keep])], names=["key", "row"])
-
-    def repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [b for b in batches if b.num_rows]
-        if held:
-            table = pa.Table.from_batches(held)
-            key, row = table.column("key").to_numpy(), table.column("row").to_numpy()
-            by = np.argsort(key)
-            key, row = key[by], row[by]
-            same = np.append(key[1:] == key[:-1], False)
-            several = same | np.append(False, same[:-1])
-            yield from pa.Table.from_arrays([pa.array(key[several]), pa.array(row[several])], names=["key", "row"]).to_batches(max_chunksize=100_000)
-
-    seen = in_arrow(rows, "key long, row long", anchors).repartition(n, "key").mapInArrow(repeats, "key long, row long")
-    wanted = seen.groupBy("row").agg(F.collect_set("key").alias("keys"))
-    joined = small.join(wanted, "row").select("doc", "row", "packed", "keys")
-
-    def contexts(batch: pa.RecordBatch):
+            doc, text = (part.column(c).to_numpy()[runs.text] for c in ("doc", "hash"))
+            place = _place(text, runs.first, runs.last)
+            key, context = runs.key.view(np.int64), runs.contexts(np.arange(len(runs.key))).view(np.int64)
+            order, lead, later = _later(key, context, doc, place)
+            keep = np.zeros(len(order), bool)
+            keep[order] = lead | later
+            done = np.zeros(len(order), bool)
+            done[order] = later
+            key = np.where(done, doc, key)  # spread out; only runs that aren't done are compared
+            yield pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in (key, np.where(done, 0, context), doc, place, done)], names=["key", "context", "doc", "place", "done"])
+
+    return run
+
+
+def _look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """All runs of the partition's grams: places that are repeated whole, and first places of contexts to compare."""
+    held = [b for b in batches if b.num_rows]
+    if not held:
+        return
+    table = pa.Table.from_batches(held)
+    cols = {c: table.column(c).to_numpy() for c in table.column_names}
+    rows = np.flatnonzero(~cols["done"])
+    order, lead, later = _later(*(cols[c][rows] for c in ("key", "context", "doc", "place")))
+    key = cols["key"][rows][order]
+    group = np.cumsum(_differ(key)) - 1
+    several = np.bincount(group, lead)[group] > 1 if len(group) else lead
+    again, ask = rows[order[later]], rows[order[lead & several]]
+    pick = np.concatenate([np.flatnonzero(cols["done"]), again, ask])
+    done = np.append(np.ones(len(pick) - len(ask), bool), np.zeros(len(ask), bool))
+    out = [cols["doc"][pick], cols["place"][pick] >> (_FIRST_BITS + _MORE_BITS), cols["place"][pick] & ((1 << (_FIRST_BITS + _MORE_BITS)) - 1), np.where(done, 0, cols["key"][pick])]
+    yield from pa.Table.from_arrays([pa.array(c) for c in (*out, done)], names=["doc", "hash", "place", "key", "done"]).to_batches(max_chunksize=50_000)
+
+
+_SPANS = "array<struct<start: long, end: long>>"
+_SPANS_TYPE = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+_DEALT = "route long, doc long, hash long, first long, last long, raw binary"
+
+
+def _fetch(length: int):
+    """Texts with their runs to rows of spans that are done (raw null, first and last windows), and contexts."""
+
+    def run(batch: pa.RecordBatch):
         unpack = zstandard.ZstdDecompressor().decompress
-        for part in pieces(batch, "packed", 1 << 20):
-            texts = [unpack(x) for x in part.column("packed").to_pylist()]
-            runs = Runs(texts, length, gram)
-            keys = part.column("keys").to_pylist()
-            pair = lambda text, key: _mix(key + _mix(text.astype(np.uint64)))
-            which = np.repeat(np.arange(len(keys)), [len(k) for k in keys])
-            known = np.sort(pair(which, np.array([k for ks in keys for k in ks], np.int64).view(np.uint64)))
-            mine = pair(runs.text, runs.key)
-            at = np.minimum(np.searchsorted(known, mine), len(known) - 1)
-            some = np.flatnonzero(known[at] == mine) if len(known) and len(mine) else np.zeros(0, np.int64)
-            doc, row = part.column("doc").to_numpy()[runs.text[some]], part.column("row").to_numpy()[runs.text[some]]
-            context, first, last = runs.contexts(some).view(np.int64), runs.first[some], runs.last[some]
-            key = runs.key[some].view(np.int64)
-            by = np.lexsort((first, row, doc, context, key))
-            lead = np.append(True, (key[by][1:] != key[by][:-1]) | (context[by][1:] != context[by][:-1]))[: len(by)]
-            leader = by[lead][np.cumsum(lead) - 1] if len(by) else by
-            again = (doc[by] != doc[leader]) | (first[by] != first[leader])
-            raws: list[bytes | None] = [None] * len(by)
-            for k, (i, is_first) in enumerate(zip(by.tolist(), lead.tolist(), strict=True)):
-                if is_first:
-                    raws[k] = texts[runs.text[some[i]]][first[i] : last[i] + length]
-            # Runs known to be repeated go on as they are, dealt out by their row.
-            keep = lead | again
-            route = np.where(again, row[by], key[by])
-            cols = [route, np.where(again, row[by], key[by]), context[by], doc[by], row[by]]
-            arrays = [pa.array(c[keep]) for c in cols] + [pa.array(c[by][keep].astype(np.int32)) for c in (first, last)]
-            yield pa.RecordBatch.from_arrays([*arrays, pa.array([raws[k] if not again[k] else None for k in np.flatnonzero(keep)], pa.binary())], names=["route", "key", "context", "doc", "row", "first", "last", "raw"])
-
-    dealt = in_arrow(joined, _ROW, contexts).repartition(n, "route").sortWithinPartitions("key")
-
-    def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        waiting: list[tuple] = []
-        size = 0
-        for table in by_keys(batches, ["key"]):
-            out, classes = _classes(table)
-            if out is not None:
-                yield out
-            if classes is None:
+        for part in pieces(batch, "packed", 2 << 20):
+            out: list[tuple] = []
+            for doc, text, packed, runs in zip(*(part.column(c).to_pylist() for c in ("doc", "hash", "packed", "runs")), strict=True):
+                place = np.array([r["place"] for r in runs], np.int64)
+                done = np.array([r["done"] for r in runs], bool)
+                first, last = _first(place), _first(place) + (place & ((1 << _MORE_BITS) - 1))
+                if done.any():
+                    starts, ends = _spans(first[done], last[done], length)
+                    out += [(doc, doc, text, s, e - length, None) for s, e in zip(starts, ends, strict=True)]
+                if not done.all():
+                    raw = unpack(packed)
+                    out += [(runs[i]["key"], doc, text, int(first[i]), int(last[i]), raw[first[i] : last[i] + length]) for i in np.flatnonzero(~done).tolist()]
+            kinds = [pa.int64()] * 5 + [pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=["route", "doc", "hash", "first", "last", "raw"])
+
+    return run
+
+
+def _shards(length: int, shard_bytes: int):
+    """Rows of a partition, sorted by route, to repeated windows (doc, hash, first, last)."""
+    names = ["doc", "hash", "first", "last"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        size, last_route = 0, None
+        for batch in batches:
+            done = batch.column("raw").is_null()
+            yield batch.filter(done).select(names)
+            batch = batch.filter(done.to_numpy(zero_copy_only=False) == False)  # noqa: E712
+            if not batch.num_rows:
                 continue
-            waiting.append(classes)
-            size += sum(map(len, classes[0]))
-            if size >= shard_bytes:
-                yield from _search(waiting, length, shard_bytes)
-                waiting, size = [], 0
-        if waiting:
-            yield from _search(waiting, length, shard_bytes)
+            # A shard ends between two grams.
+            route = batch.column("route").to_numpy()
+            cut = int(np.searchsorted(route, route[0], side="right")) if last_route == route[0] else 0
+            if size >= shard_bytes and cut < batch.num_rows:
+                held.append(batch.slice(0, cut))
+                yield from _search(pa.Table.from_batches(held), length, shard_bytes)
+                held, size, batch = [], 0, batch.slice(cut)
+            held.append(batch)
+            size += batch.column("raw").nbytes
+            last_route = batch.column("route")[-1].as_py()
+        if held:
+            yield from _search(pa.Table.from_batches(held), length, shard_bytes)
+
+    return run
+
+
+def repeated_spans(rows: DataFrame, packed: DataFrame, length: int = LENGTH, gram: int = GRAM, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+    """(doc, hash, spans) of the rows (doc, hash, text binary) with repeated windows; spans [start, end) in bytes.
 
-    found = dealt.mapInArrow(shards, "doc long, row long, first int, last int")
-    by = found.groupBy("doc", "row").agg(F.collect_list(F.struct("first", "last")).alias("runs"))
+    doc orders the documents; hash (27 bits of the text) tells texts with one doc apart. packed has the
+    same rows with the text compressed, to be read again.
+    """
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    runs = in_arrow(rows.select("doc", "hash", "text"), "key long, context long, doc long, place long, done boolean", _runs_of(length, gram))
+    looked = runs.repartition(n, "key").mapInArrow(_look, "doc long, hash long, place long, key long, done boolean")
+    wanted = looked.groupBy("doc", "hash").agg(F.collect_list(F.struct("place", "key", "done")).alias("runs"))
+    dealt = in_arrow(packed.join(wanted, ["doc", "hash"]), _DEALT, _fetch(length))
+    found = dealt.repartition(n, "route").sortWithinPartitions("route").mapInArrow(_shards(length, shard_bytes), "doc long, hash long, first long, last long")
+    by = found.groupBy("doc", "hash").agg(F.collect_list(F.struct("first", "last")).alias("runs"))
 
     def spans(batch: pa.RecordBatch):
         got = []
         for runs in batch.column("runs").to_pylist():
             s, e = _spans(np.array([r["first"] for r in runs], np.int64), np.array([r["last"] for r in runs], np.int64), length)
             got.append([{"start": a, "end": b} for a, b in zip(s, e, strict=True)])
-        yield pa.RecordBatch.from_arrays([batch.column("doc"), batch.column("row"), pa.array(got, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))], names=["doc", "row", "spans"])
+        yield pa.RecordBatch.from_arrays([batch.column("doc"), batch.column("hash"), pa.array(got, _SPANS_TYPE)], names=["doc", "hash", "spans"])
 
-    return in_arrow(by, "doc long, row long, spans array<struct<start: long, end: long>>", spans)
+    return in_arrow(by, f"doc long, hash long, spans {_SPANS}", spans)
 
 
-def _pack(least: int):
-    def pack(batch: pa.RecordBatch):
-        press = zstandard.ZstdCompressor(level=3).compress
-        some = [(i, press(t)) for i, t in enumerate(batch.column("text").to_pylist()) if len(t) >= least]
-        rows = pa.array([i for i, _ in some], pa.int64())
-        yield pa.RecordBatch.from_arrays([batch.column("doc").take(rows), batch.column("row").take(rows), pa.array([x for _, x in some], pa.binary())], names=["doc", "row", "packed"])
-
-    return pack
-
-
-def _classes(table: pa.Table) -> tuple[pa.RecordBatch | None, tuple | None]:
-    """Of the rows of one gram: those known to be repeated, and the different contexts if there are several."""
-    cols = {c: table.column(c).to_numpy() for c in ("context", "doc", "row", "first", "last")}
-    bare = np.array([x is None for x in table.column("raw").to_pylist()]) if table.column("raw").null_count else np.zeros(len(table), bool)
-    by = np.lexsort((cols["first"], cols["row"], cols["doc"], cols["context"], bare))
-    c, doc, first = cols["context"][by], cols["doc"][by], cols["first"][by]
-    whole = bare[by]
-    lead = np.append(True, (c[1:] != c[:-1])) & ~whole
-    leader = np.flatnonzero(np.append(True, c[1:] != c[:-1]))[np.cumsum(np.append(True, c[1:] != c[:-1])) - 1]
-    again = whole | ((doc != doc[leader]) | (first != first[leader]))
-    out = None
-    if again.any():
-        rows = by[again]
-        out = pa.RecordBatch.from_arrays([pa.array(cols[k][rows]) for k in ("doc", "row", "first", "last")], names=["doc", "row", "first", "last"])
-    keep = by[lead]
-    if len(keep) < 2:
-        return out, None
-    raws = table.column("raw").take(pa.array(keep)).to_pylist()
-    return out, (raws, cols["doc"][keep], cols["row"][keep], cols["first"][keep].astype(np.int64))
-
-
-def _search(groups: list[tuple], length: int, shard_bytes: int) -> Iterator[pa.RecordBatch]:
+def _search(table: pa.Table, length: int, shard_bytes: int) -> Iterator[pa.RecordBatch]:
     """Repeated windows among the contexts of several grams, in shards of bounded size."""
-    raws = [r for g in groups for r in g[0]]
-    doc, row, first = (np.concatenate([g[k] for g in groups]) for k in (1, 2, 3))
+    raws = table.column("raw").to_pylist()
+    doc, text, first = (table.column(c).to_numpy() for c in ("doc", "hash", "first"))
     cuts, held = [0], 0
     for i, r in enumerate(raws):
         if held and held + len(r) > 2 * shard_bytes:
@@ -407,7 +428,7 @@ def _search(groups: list[tuple], length: int, shard_bytes: int) -> Iterator[pa.R
         head = np.flatnonzero(start)
         last = at[np.append(head[1:], len(at)) - 1]
         rows = s + context[head]
-        yield pa.RecordBatch.from_arrays([pa.array(doc[rows]), pa.array(row[rows]), pa.array(at[head].astype(np.int32)), pa.array(last.astype(np.int32))], names=["doc", "row", "first", "last"])
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in (doc[rows], text[rows], at[head], last)], names=["doc", "hash", "first", "last"])
 
 
 def dedup(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", shard_bytes: int = SHARD_BYTES) -> DataFrame:
@@ -416,24 +437,25 @@ def dedup(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_co
     A byte goes if a string of `length` bytes covers it that also starts earlier: in a document with a
     smaller id (a null id is smaller than all), or earlier in the same one. Null text is empty. Rows
     with equal id and text are one document, and each has its result; rows with equal ids and different
-    texts are ordered by place only.
+    texts are told apart by 27 bits of the texts' hashes and are ordered by place only.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.encode(F.coalesce(F.col(text_col), F.lit("")), "UTF-8").alias("text"))
-    rows = rows.withColumns({"doc": F.coalesce(F.col("id").cast("long"), F.lit(-(1 << 63))), "row": F.xxhash64("id", "text")})
-    found = repeated_spans(rows.select("doc", "row", "text"), length, shard_bytes=shard_bytes)
+    rows = rows.withColumns({"doc": F.coalesce(F.col("id").cast("long"), F.lit(-(1 << 63))), "hash": F.xxhash64("text").bitwiseAND(F.lit((1 << _TEXT_BITS) - 1))})
 
     def pack(batch: pa.RecordBatch):
         press = zstandard.ZstdCompressor(level=3).compress
-        yield batch.set_column(batch.schema.get_field_index("text"), "text", pa.array([press(t) for t in batch.column("text").to_pylist()], pa.binary()))
+        packed = pa.array([press(t) for t in batch.column("text").to_pylist()], pa.binary())
+        yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("doc"), batch.column("hash"), packed], names=["id", "doc", "hash", "packed"])
 
     kind = dict(docs.dtypes)[id_col]
-    packed = in_arrow(rows, f"id {kind}, text binary, doc long, row long", pack)
-    joined = packed.join(found, ["doc", "row"], "left").select("id", "text", "spans")
+    packed = in_arrow(rows.select("id", "doc", "hash", "text"), f"id {kind}, doc long, hash long, packed binary", pack)
+    found = repeated_spans(rows, packed, length, shard_bytes=shard_bytes)
+    joined = packed.join(found, ["doc", "hash"], "left").select("id", "packed", "spans")
 
     def cut(batch: pa.RecordBatch):
         unpack = zstandard.ZstdDecompressor().decompress
-        for part in pieces(batch, "text", 1 << 20):
-            texts = [unpack(t) for t in part.column("text").to_pylist()]
+        for part in pieces(batch, "packed", 1 << 20):
+            texts = [unpack(t) for t in part.column("packed").to_pylist()]
             kept = []
             for text, spans in zip(texts, part.column("spans").to_pylist(), strict=True):
                 ends = [0, *(s["end"] for s in spans or [])]
