@@ -270,7 +270,7 @@ def test_packing(spark, docs, odd, empty):
 def test_special_strings_and_spaces():
     from tokenizers import Tokenizer
 
-    lib, ours = Tokenizer.from_file(BYTES), packing.ByteIds(BYTES, memory=100)
+    lib, ours = Tokenizer.from_file(BYTES), packing.ByteIds(BYTES)
     r = random.Random(4)
     texts = ["".join(r.choice("aab  '\n\t\rs0é中😀.,\x1c\x85\xa0　thei't") for _ in range(r.randint(0, 60))) for _ in range(1500)] + ["a <|endoftext|> b", "<|endoftext|>", ""]
     assert ours.ids(texts) == [np.array(lib.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
