@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-import struct
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -14,9 +13,6 @@ from pyspark.sql import functions as F
 
 from .common import in_arrow, pieces, settled
 
-#: The characters with Unicode's White_Space property, which the byte-level splitter calls space.
-_SPACE = "\t\n\x0b\x0c\r \x85\xa0  -     　"
-
 
 def _byte_alphabet() -> dict[str, int]:
     """The character that byte-level vocabularies write for each byte: printable bytes stand for themselves."""
@@ -49,35 +45,24 @@ def _ranked_encoder(tokenizer_file: str):
 class ByteIds:
     """Ids of whole texts as little-endian 32-bit bytes, as the tokenizers library gives them.
 
-    The byte-level splitter never joins characters over the start of a run ' ?non-space' or of white
-    space, so each such run is encoded once and its ids are kept, up to `memory` runs. Runs go through
-    a faster encoder of the same vocabulary where its ids follow the merges, else through the library.
-    Texts that hold the string of an added token are encoded whole, by the library.
+    Texts go through a faster encoder of the same vocabulary where its ids follow the merges, else
+    through the library; so do texts that hold the string of an added token.
     """
 
-    def __init__(self, tokenizer_file: str, memory: int = 600_000):
+    def __init__(self, tokenizer_file: str):
         from tokenizers import Tokenizer
 
-        self.lib, self.memory = Tokenizer.from_file(tokenizer_file), memory
+        self.lib = Tokenizer.from_file(tokenizer_file)
         fast = _ranked_encoder(tokenizer_file)
-        self.encode = fast.encode_ordinary if fast else lambda t: self.lib.encode(t, add_special_tokens=False).ids
-        self.known: dict[str, bytes] = {}
-        self.runs = re.compile(f" ?[^{_SPACE}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+").findall
+        self.encode = fast.encode_ordinary if fast else self._whole
         added = [t.content for t in self.lib.get_added_tokens_decoder().values()]
         self.added = re.compile("|".join(map(re.escape, added))).search if added else lambda text: None
 
+    def _whole(self, text: str) -> list[int]:
+        return self.lib.encode(text, add_special_tokens=False).ids
+
     def ids(self, texts: list[str]) -> list[bytes]:
-        split = [None if self.added(t) else self.runs(t) for t in texts]
-        new = {r for runs in split if runs for r in runs if r not in self.known}
-        if len(self.known) + len(new) > self.memory:
-            self.known.clear()
-            new = {r for runs in split if runs for r in runs}
-        pack = [struct.Struct(f"<{n}I").pack for n in range(64)]
-        for run in new:
-            ids = self.encode(run)
-            self.known[run] = pack[len(ids)](*ids) if len(ids) < 64 else np.array(ids, "<u4").tobytes()
-        get, whole = self.known.__getitem__, lambda t: np.array(self.lib.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
-        return [whole(t) if runs is None else b"".join(map(get, runs)) for t, runs in zip(texts, split, strict=True)]
+        return [np.array(self._whole(t) if self.added(t) else self.encode(t), "<u4").tobytes() for t in texts]
 
 
 @lru_cache(maxsize=2)
