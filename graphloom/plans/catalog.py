@@ -48,8 +48,8 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def _part_references(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Queries for each brand, type and size from 1 to 50; candidates from parts."""
     part = _table(spark, sf_dir, "part")
-    kinds = part.select("p_brand").distinct().join(part.select("p_type").distinct())  # a few of each, whatever the size
-    asked = kinds.withColumn("size", F.explode(F.sequence(F.lit(1), F.lit(50))))
+    kinds = part.agg(F.collect_set("p_brand").alias("brands"), F.collect_set("p_type").alias("types"))  # a few of each, whatever the size
+    asked = kinds.select(F.explode("brands").alias("p_brand"), "types").select("p_brand", F.explode("types").alias("p_type")).withColumn("size", F.explode(F.sequence(F.lit(1), F.lit(50))))
     wanted = asked.select(
         F.concat_ws("|", "p_brand", "p_type", F.col("size").cast("string")).alias("query_id"), F.lit("part").alias("kind"), F.col("p_brand").alias("producer"), F.col("p_type").alias("role"),
         F.create_map(F.lit("size"), F.col("size").cast("string")).alias("signature"), F.array().cast("array<string>").alias("adjacent_to"),
