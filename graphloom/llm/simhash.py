@@ -69,8 +69,8 @@ def _byte_counts(fp: np.ndarray) -> np.ndarray:
     return np.bitwise_count(fp.view(np.uint8)).reshape(-1, 8).astype(np.int16)
 
 
-def tile_links(a: np.ndarray, b: np.ndarray | None, radius: int, block: int = BLOCK) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Index pairs of a and b (of a and itself if b is None) with at most `radius` differing bits.
+def tile_links(a: np.ndarray, b: np.ndarray | None, radius: int, block: int = BLOCK) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Index pairs of a and b (of a and itself if b is None) with at most `radius` differing bits, and how many differ.
 
     Both sides are sorted by the population counts of their bytes and cut into blocks; a pair of
     blocks whose ranges of counts are further apart than the radius in sum is skipped.
@@ -99,18 +99,25 @@ def tile_links(a: np.ndarray, b: np.ndarray | None, radius: int, block: int = BL
         rows = rows[rows < len(fb)]
         for k in range(0, len(rows), 4096):
             part = rows[k : k + 4096]
-            x, y = np.nonzero(np.bitwise_count(fa[s : s + block, None] ^ fb[part][None, :]) <= radius)
-            x, y = x + s, part[y]
+            bits = np.bitwise_count(fa[s : s + block, None] ^ fb[part][None, :])
+            x, y = np.nonzero(bits <= radius)
+            bits, x, y = bits[x, y], x + s, part[y]
             if b is None:
-                x, y = x[x < y], y[x < y]
+                bits, x, y = bits[x < y], x[x < y], y[x < y]
             if len(x):
-                yield oa[x], ob[y]
+                yield oa[x], ob[y], bits
 
 
-def _forest(nodes: np.ndarray, links: Iterator[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    """Fewest edges that keep the links' components: chains through each, so that no node has many."""
+def _forest(nodes: np.ndarray, links: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]], sure: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(a, b, is sure): fewest edges that keep the components of links of up to `sure` bits, as chains through
+    each, so that no node has many; and of the wider links between them a tree of the closest ones."""
     label = np.arange(len(nodes))
-    for x, y in links:
+    wide: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    for x, y, bits in links:
+        far = (bits > sure) & (label[x] != label[y])
+        if far.any():
+            wide.append((x[far], y[far], bits[far]))
+        x, y = x[bits <= sure], y[bits <= sure]
         while True:
             p, q = label[x], label[y]
             apart = p != q
@@ -122,12 +129,35 @@ def _forest(nodes: np.ndarray, links: Iterator[tuple[np.ndarray, np.ndarray]]) -
                 label = up
     order = np.lexsort((nodes, label))
     same = np.flatnonzero(label[order][1:] == label[order][:-1])
-    return nodes[order[same]], nodes[order[same + 1]]
-
-
-def links(distinct: DataFrame, radius: int = 3, tile_rows: int = TILE_ROWS) -> DataFrame:
-    """Edges (a, b) between nodes of `distinct` (node, fp: each once) that keep the components of all
-    pairs of fingerprints with at most `radius` differing bits.
+    a, b = [nodes[order[same]]], [nodes[order[same + 1]]]
+    if wide:
+        x, y, bits = (np.concatenate(c) for c in zip(*wide, strict=True))
+        p, q = np.minimum(label[x], label[y]), np.maximum(label[x], label[y])
+        by = np.lexsort((nodes[y], nodes[x], bits, q, p))
+        by = by[(p[by] != q[by]) & np.append(True, (p[by][1:] != p[by][:-1]) | (q[by][1:] != q[by][:-1]))]
+        by = by[np.argsort(bits[by], kind="stable")]
+        up: dict[int, int] = {}
+
+        def top(k: int) -> int:
+            while k in up:
+                k = up[k]
+            return k
+
+        tree = []
+        for k, i, j in zip(by.tolist(), p[by].tolist(), q[by].tolist(), strict=True):
+            i, j = top(i), top(j)
+            if i != j:
+                up[max(i, j)] = min(i, j)
+                tree.append(k)
+        a.append(nodes[x[tree]])
+        b.append(nodes[y[tree]])
+    return np.concatenate(a), np.concatenate(b), np.repeat([True, False][: len(a)], [len(c) for c in a])
+
+
+def links(distinct: DataFrame, radius: int = 3, tile_rows: int = TILE_ROWS, sure: int | None = None) -> DataFrame:
+    """Edges (a, b, sure) between nodes of `distinct` (node, fp: each once) that keep the components of all
+    pairs of fingerprints with at most `radius` differing bits; sure tells those of at most `sure` (radius
+    if not given) from others, of which a pair of tiles gives the closest that join its components.
 
     Rows go to a tile by the population counts of their halves (at most 33 x 33 tiles; their sizes are
     all that comes to the driver), tiles of more than tile_rows rows to several chunks, and each chunk
@@ -142,7 +172,7 @@ def links(distinct: DataFrame, radius: int = 3, tile_rows: int = TILE_ROWS) -> D
     )
     sizes = rows.groupBy("p", "q").count().collect()
     if not sizes:
-        return spark.createDataFrame([], "a long, b long")
+        return spark.createDataFrame([], "a long, b long, sure boolean")
     chunks = spark.createDataFrame([(r["p"], r["q"], -(-r["count"] // tile_rows)) for r in sizes], "p int, q int, m int")
     near = [(dp, dq) for dp in range(-radius, radius + 1) for dq in range(-radius, radius + 1) if abs(dp) + abs(dq) <= radius]
     steps = F.array(*[F.struct(F.lit(dp).alias("dp"), F.lit(dq).alias("dq")) for dp, dq in near])
@@ -163,17 +193,17 @@ def links(distinct: DataFrame, radius: int = 3, tile_rows: int = TILE_ROWS) -> D
             second = table.column("second").to_numpy()
             node, fp = table.column("node").to_numpy(), table.column("fp").to_numpy().view(np.uint64)
             if table.column("one")[0] == table.column("two")[0]:
-                a, b = _forest(node, tile_links(fp, None, radius))
+                a, b, is_sure = _forest(node, tile_links(fp, None, radius), radius if sure is None else sure)
             else:
                 at = np.argsort(second, kind="stable")
                 node, fp, n = node[at], fp[at], int((~second).sum())
-                shifted = ((x, y + n) for x, y in tile_links(fp[:n], fp[n:], radius))
-                a, b = _forest(node, shifted)
+                shifted = ((x, y + n, bits) for x, y, bits in tile_links(fp[:n], fp[n:], radius))
+                a, b, is_sure = _forest(node, shifted, radius if sure is None else sure)
             if len(a):
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(is_sure)], names=["a", "b", "sure"])
 
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return placed.repartition(n, "one", "two").sortWithinPartitions("one", "two").mapInArrow(pairs, "a long, b long")
+    return placed.repartition(n, "one", "two").sortWithinPartitions("one", "two").mapInArrow(pairs, "a long, b long, sure boolean")
 
 
 def by_keys(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
@@ -196,9 +226,37 @@ def by_keys(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.T
         yield pa.Table.from_batches(held)
 
 
-def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def shingle_sets(docs: DataFrame, words: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, shingles): the different hashes of each text's shingles."""
+
+    def run(batch: pa.RecordBatch):
+        for part in pieces(batch, "text", 8 << 20):
+            sets = [np.unique(hashes(t or b"", words)).view(np.int64) for t in part.column("text").cast(pa.large_binary()).to_pylist()]
+            yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(sets, pa.list_(pa.int64()))], names=["id", "shingles"])
+
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    return in_arrow(rows, "id long, shingles array<long>", run)
+
+
+def _verified(edges: DataFrame, docs: DataFrame, words: int, similarity: float, id_col: str, text_col: str) -> DataFrame:
+    """Edges (a, b) whose documents' shingle sets have at least that Jaccard similarity."""
+    needed = edges.select(F.explode(F.array("a", "b")).alias("need")).distinct()
+    own = docs.join(needed, docs[id_col] == needed["need"], "left_semi")
+    sets = shingle_sets(own, words, id_col, text_col).dropDuplicates(["id"])
+    both = edges.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b")
+    shared = F.size(F.array_intersect("sa", "sb"))
+    return both.where(shared >= similarity * (F.size("sa") + F.size("sb") - shared)).select("a", "b")
+
+
+def near_duplicates(
+    docs: DataFrame, words: int = 3, radius: int = 3, id_col: str = "doc_id", text_col: str = "text", wide: int | None = None, similarity: float = 0.8
+) -> DataFrame:
     """(id, fp, component): component is the smallest id reachable over links of at most `radius` bits.
 
+    With `wide`, fingerprints of up to that many differing bits are compared too, and linked if the texts'
+    shingle sets have at least the Jaccard similarity; of several such links between the same two
+    components of a pair of tiles the closest is looked at.
+
     Texts without words, and null texts, have fingerprint zero and are linked like any other. Rows with
     the same id count as one document; a row with a null id takes its fingerprint's component (null if
     no row with that fingerprint has an id). Copies meet by equal fingerprints first, so a group of
@@ -206,17 +264,24 @@ def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 3, id_col: st
     """
     fps = settled(fingerprints(docs, words, id_col, text_col))
     groups = settled(fps.groupBy("fp").agg(F.min("id").alias("node"), F.count("*").alias("n")))
-    found = components(links(groups.where("node is not null").select("node", "fp"), radius))
+    edges = links(groups.where("node is not null").select("node", "fp"), wide or radius, sure=radius)
+    if wide:
+        edges = settled(edges)
+        checked = _verified(edges.where("not sure").select("a", "b").distinct(), docs, words, similarity, id_col, text_col)
+        edges = edges.where("sure").select("a", "b").unionByName(checked)
+    found = components(edges)
     known = groups.join(found, "node", "left").select("fp", F.coalesce("root", "node").alias("component"), "n")
     return join_skewed(fps, known, "fp", "n", fps.count())
 
 
-def one_of_each(docs: DataFrame, words: int = 5, radius: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def one_of_each(
+    docs: DataFrame, words: int = 5, radius: int = 3, id_col: str = "doc_id", text_col: str = "text", wide: int | None = None, similarity: float = 0.8
+) -> DataFrame:
     """The row of each component's smallest id, with its columns; of several rows with that id one stays.
 
     Rows with a null id can't be told apart and all stay.
     """
-    found = near_duplicates(docs, words, radius, id_col, text_col)
+    found = near_duplicates(docs, words, radius, id_col, text_col, wide, similarity)
     gone = settled(found.where("component <> id").select("id").distinct())
     left = docs.join(gone, docs[id_col] == gone["id"], "left_anti")
     again = settled(found.where("id is not null").groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select("id"))

@@ -122,6 +122,29 @@ def test_links_keep_components(spark, tile_rows):
     assert {i: roots.get(i, i) for i in fps} == plain_components(fps, 3)
 
 
+def test_wide_links_are_verified(spark):
+    r = random.Random(11)
+    vocab = ["w%d" % i for i in range(4000)]
+    base = [r.choice(vocab) for _ in range(150)]
+    rows, near = [], set()
+    for i in range(60):
+        w = list(base) if i % 3 == 0 else [r.choice(vocab) for _ in range(150)]
+        if i % 3 == 0:
+            for _ in range(r.randint(0, 2)):
+                w[r.randrange(150)] = r.choice(vocab)
+            near.add(i)
+        rows.append((i, " ".join(w)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    sets = {i: {tuple(t.split()[k : k + 5]) for k in range(146)} for i, t in rows}
+    fps = {i: plain_fingerprint(t, 5) for i, t in rows}
+    got = {x["id"]: x["component"] for x in simhash.near_duplicates(docs, words=5, radius=0, wide=24, similarity=0.8).collect()}
+    for i, _ in rows:
+        for j in range(i):
+            same = len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) and (fps[i] ^ fps[j]).bit_count() <= 24
+            assert not same or got[i] == got[j]
+    assert {i for i, c in got.items() if c == 0} == near and all(got[i] == i for i in got if i not in near)
+
+
 def test_components_of_long_chains(spark):
     edges = [(i, i + 1) for i in range(0, 200)] + [(500, 501), (7, 7), (None, 3)]
     got = {r["node"]: r["root"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
