@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.constants import BUILTINS, TOLERANCES, UNITS, profile_operations
 from ..functions.identity import is_digest, stable_uuid
-from ..operators import contracts, graph, resolve, rules, trust
+from ..operators import contracts, graph, quality, resolve, rules, trust
 from ..sources.documents import parse_documents, tokens
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -356,3 +356,44 @@ def unsupported_operations_ext(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders, customers = _table(spark, sf_dir, "orders"), _table(spark, sf_dir, "customer")
     asked = orders.join(customers, F.col("o_custkey") == F.col("c_custkey")).select(F.col("c_mktsegment").alias("backend"), F.col("o_orderpriority").alias("operation")).distinct()
     return contracts.unsupported(asked, asked.where("length(backend) >= 9 OR operation LIKE '1%'"))
+
+
+_OUTCOME = "CASE event_type WHEN 'error' THEN 'fail' WHEN 'click' THEN 'skipped' WHEN 'signup' THEN 'warning' WHEN 'view' THEN 'not_applicable' ELSE 'pass' END"
+
+
+@_query(f"""SELECT report_id, CASE WHEN bool_or(o = 'fail' OR (o = 'skipped' AND mandatory)) THEN 'fail' WHEN bool_or(o = 'warning') THEN 'warning' WHEN bool_or(o <> 'not_applicable') THEN 'pass' ELSE 'not_applicable' END AS verdict, count(*) AS n
+FROM (SELECT event_id // 3 AS report_id, {_OUTCOME} AS o, event_id % 2 = 0 AS mandatory FROM events) GROUP BY 1""")
+def report_verdicts_ext(spark: SparkSession, sf_dir: str) -> DataFrame:
+    checks = _table(spark, sf_dir, "events").select(F.floor(F.col("event_id") / 3).alias("report_id"), F.expr(_OUTCOME).alias("outcome"), (F.col("event_id") % 2 == 0).alias("mandatory"))
+    return quality.verdicts(checks)
+
+
+@_query("SELECT lang, source, count(*) AS n, count(*) FILTER (n_chars > 1000) AS passed, CAST(grouping(lang, source) AS BIGINT) AS level FROM documents GROUP BY CUBE (lang, source)")
+def qualification_matrix_ext(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.matrix(_table(spark, sf_dir, "documents").select("lang", "source", "n_chars"), ["lang", "source"], F.col("n_chars") > 1000)
+
+
+@_query("SELECT o_orderpriority, quantile_cont(o_custkey, 0.5) AS p50, quantile_cont(o_custkey, 0.95) AS p95, count(*) AS n FROM orders GROUP BY 1")
+def gate_percentiles_ext(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.latencies(_table(spark, sf_dir, "orders"), ["o_orderpriority"], "o_custkey")
+
+
+@_query("SELECT count(*) AS n, count(*) FILTER (hit) AS hits FROM (SELECT p_brand, bool_or(place <= 5 AND p_size > 45) AS hit FROM (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY p_retailprice DESC, p_partkey) AS place FROM part) GROUP BY 1)")
+def recall_at_five_ext(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranked = _table(spark, sf_dir, "part").select(F.col("p_brand").alias("query_id"), F.col("p_partkey").alias("identity"), F.col("p_retailprice").alias("score"), (F.col("p_size") > 45).alias("relevant"))
+    return quality.recall_at(ranked, 5)
+
+
+@_query("SELECT CAST(p_partkey AS VARCHAR) AS doc_id, 'size' AS name FROM part WHERE p_size > 40 OR p_size < 10")
+def parameter_domains_ext(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sizes in millimetres against bounds in centimetres and metres."""
+    text = F.format_string("lang 0.1;\nmodel m { parameter size: length = %d mm [min = 1 cm, max = 0.04 m]; }\n", "p_size")
+    docs = _table(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("doc_id"), text.alias("source_text"))
+    return quality.out_of_domain(parse_documents(docs)).select("doc_id", "name")
+
+
+@_query("SELECT c_custkey FROM customer WHERE c_custkey % 11 = 0 OR c_custkey % 5 = 0")
+def backend_differences_ext(spark: SparkSession, sf_dir: str) -> DataFrame:
+    one = _table(spark, sf_dir, "customer").select("c_custkey", "c_acctbal")
+    two = one.where("c_custkey % 11 <> 0").withColumn("c_acctbal", F.col("c_acctbal") + F.when(F.col("c_custkey") % 5 == 0, 1.0).otherwise(0.001))
+    return quality.differences(one, two, ["c_custkey"], "c_acctbal", 0.01).select("c_custkey")
