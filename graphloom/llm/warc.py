@@ -168,7 +168,8 @@ def decided(pages: DataFrame, least: int = REVISIT_BYTES) -> DataFrame:
     rows = pages.select("page_id", "url", F.encode(F.coalesce("html", F.lit("")), "UTF-8").alias("payload"))
     rows = rows.withColumn("digest", F.sha1("payload"))
     slim = pages.select("page_id", F.encode(F.coalesce("html", F.lit("")), "UTF-8").alias("payload")).select("page_id", F.sha1("payload").alias("digest"), F.octet_length("payload").alias("size"))
-    facts = settled(slim.where(F.col("size") >= least).groupBy("digest").agg(F.max("page_id").alias("first"), F.count("*").alias("n")).where("n > 1"))
+    first = F.when(F.max("size") >= least, F.max("page_id")).alias("first")  # small ones too, as their digest may be hot
+    facts = settled(slim.groupBy("digest").agg(first, F.count("*").alias("n")).where("n > 1"))
     joined = join_skewed(rows, facts, "digest", "n", pages.count())
     revisits = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
     return joined.select("page_id", "url", "payload", "digest", F.when(revisits, F.col("first")).alias("refers_to"))
