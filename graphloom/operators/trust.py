@@ -62,10 +62,10 @@ def roll_up(registers: DataFrame, records: DataFrame) -> DataFrame:
     return joined.drop("blocks_commit").withColumnRenamed("_blocks", "blocks_commit")
 
 
-def register_json(registers: DataFrame, records: DataFrame) -> DataFrame:
-    """(register_id, json) of each register with its records in order; nulls are kept."""
+def register_json(registers: DataFrame, records: DataFrame, language: str = "graphloom") -> DataFrame:
+    """(register_id, json) of each register with its records in order; nulls are kept. The schema bears the language's name."""
     fields = ["code", "category", "severity", "subject", "message", "source_capability", "target_capability", "mitigation", "reversible"]
     listed = records.groupBy("register_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", *fields))), lambda r: F.struct(*(r[f].alias(f) for f in fields))).alias("records"))
     whole = roll_up(registers, records).join(listed, "register_id", "left")
-    shown = F.struct("operation", "source_backend", "target_backend", "blocks_commit", F.coalesce("records", F.array().cast(dict(listed.dtypes)["records"])).alias("records"))
+    shown = F.struct(F.lit(f"{language}.loss-register/0.1").alias("schema"), "operation", "source_backend", "target_backend", "blocks_commit", F.coalesce("records", F.array().cast(dict(listed.dtypes)["records"])).alias("records"))
     return whole.select("register_id", F.to_json(shown, {"ignoreNullFields": "false"}).alias("json"))

@@ -129,7 +129,7 @@ def test_losses(spark):
     assert rolled == {"r1": (1, True, True), "r2": (0, False, False), "r3": (1, False, True)}
     assert {r["register_id"]: r["violations"] for r in trust.check_losses(recs).collect()} == {"r1": [], "r3": ["code"]}
     text = {r["register_id"]: json.loads(r["json"]) for r in trust.register_json(regs, recs).collect()}
-    assert text["r2"]["records"] == [] and text["r1"]["records"][0]["mitigation"] is None and text["r1"]["blocks_commit"]
+    assert text["r1"]["schema"] == "graphloom.loss-register/0.1" and text["r2"]["records"] == [] and text["r1"]["records"][0]["mitigation"] is None and text["r1"]["blocks_commit"]
 
 
 def test_graphs(spark):
