@@ -9,6 +9,8 @@
 3. A shard builds a suffix array of its contexts by Larsson-Sadakane refinement and common prefixes by
    Kasai's bound; neighbours that share `length` bytes are equal windows, of which all but the first are
    repeated. A task's shards of bounded size are merged by binary search in their sorted windows.
+4. A gram that many documents have (a sample of them tells which, and only where its runs go depends on
+   it) is dealt to many shards by its contexts; these shards' first windows are merged across tasks.
 """
 
 from __future__ import annotations
@@ -19,6 +21,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -212,7 +215,7 @@ class Contexts:
         return np.array(out, f"S{n + 1}")
 
 
-def merge_shards(shards: list[Contexts]) -> list[tuple[np.ndarray, np.ndarray]]:
+def merge_shards(shards: list[Contexts], alone: list | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
     """Per shard its repeated windows (context, window), those repeated in other shards too.
 
     Shards come by their documents' order. The first windows of all shards so far are one sorted array;
@@ -223,7 +226,7 @@ def merge_shards(shards: list[Contexts]) -> list[tuple[np.ndarray, np.ndarray]]:
     found: list[list[tuple[np.ndarray, np.ndarray]]] = []
     owner: np.ndarray | None = None
     for k, shard in enumerate(shards):
-        context, window, (c, w) = shard.repeated()
+        context, window, (c, w) = alone[k] if alone else shard.repeated()
         found.append([(context, window)])
         keys, doc, at = shard.bytes_of(c, w), shard.doc[c], shard.first[c] + w
         mine = np.stack([np.full(len(c), k), c, w], 1)
@@ -285,26 +288,55 @@ def _later(key: np.ndarray, context: np.ndarray, doc: np.ndarray, place: np.ndar
     return order, lead, (doc != doc[leader]) | (first != first[leader])
 
 
-def _runs_of(length: int, gram: int):
-    """Batches of texts to their runs (key, context, doc, place, done); a context's later places in a batch are done."""
+def _runs_of(length: int, gram: int, hot=None):
+    """Batches of texts to their runs (key, context, doc, place, state); a context's later places in a batch are done.
+
+    A hot gram's key is split by the context into as many as its entry in `hot` (keys, parts) says.
+    """
 
     def run(batch: pa.RecordBatch):
+        known, parts = hot.value if hot else (np.zeros(0, np.int64), np.zeros(0, np.uint64))
         for part in pieces(batch, "text", 2 << 20):
             runs = Runs(part.column("text").to_pylist(), length, gram)
             doc, text = (part.column(c).to_numpy()[runs.text] for c in ("doc", "hash"))
             place = _place(text, runs.first, runs.last)
             key, context = runs.key.view(np.int64), runs.contexts(np.arange(len(runs.key))).view(np.int64)
+            state = np.zeros(len(key), np.int32)
+            if len(known) and len(key):
+                at = np.minimum(np.searchsorted(known, key), len(known) - 1)
+                rows = np.flatnonzero(known[at] == key)
+                key = key.copy()
+                key[rows] = _mix(runs.key[rows] + _mix(context[rows].view(np.uint64) % parts[at[rows]])).view(np.int64)
+                state[rows] = _HOT
             order, lead, later = _later(key, context, doc, place)
             keep = np.zeros(len(order), bool)
             keep[order] = lead | later
-            done = np.zeros(len(order), bool)
-            done[order] = later
+            state[order[later]] = _DONE
+            done = state == _DONE
             key = np.where(done, doc, key)  # spread out; only runs that aren't done are compared
-            yield pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in (key, np.where(done, 0, context), doc, place, done)], names=["key", "context", "doc", "place", "done"])
+            yield pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in (key, np.where(done, 0, context), doc, place, state)], names=["key", "context", "doc", "place", "state"])
 
     return run
 
 
+def _hot_grams(rows: DataFrame, length: int, gram: int, one_in: int = 32, least: int = 8, per_shard: int = 500) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of grams in more than a 512th of a sample of documents (and `least` of them), and into how many
+    shards each is split. There can't be more of them than runs in 512 documents."""
+    sample = rows.where(F.pmod(F.xxhash64("doc", "hash"), F.lit(one_in)) == 0)
+
+    def keys(batch: pa.RecordBatch):
+        for part in pieces(batch, "text", 2 << 20):
+            runs = Runs(part.column("text").to_pylist(), length, gram)
+            pairs = np.unique(np.stack([runs.key.view(np.int64), runs.text], 1), axis=0)
+            key, n = np.unique(pairs[:, 0], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(n)], names=["key", "n"])
+
+    n_docs = sample.count()
+    found = in_arrow(sample, "key long, n long", keys).groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= max(least, n_docs // 512)).collect()
+    found = sorted((r["key"], r["n"]) for r in found)
+    return np.array([k for k, _ in found], np.int64), np.array([-(-n * one_in // per_shard) for _, n in found], np.uint64)
+
+
 def _look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """All runs of the partition's grams: places that are repeated whole, and first places of contexts to compare."""
     held = [b for b in batches if b.num_rows]
@@ -312,21 +344,33 @@ def _look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return
     table = pa.Table.from_batches(held)
     cols = {c: table.column(c).to_numpy() for c in table.column_names}
-    rows = np.flatnonzero(~cols["done"])
+    known = cols["state"] == _DONE
+    rows = np.flatnonzero(~known)
     order, lead, later = _later(*(cols[c][rows] for c in ("key", "context", "doc", "place")))
     key = cols["key"][rows][order]
     group = np.cumsum(_differ(key)) - 1
     several = np.bincount(group, lead)[group] > 1 if len(group) else lead
-    again, ask = rows[order[later]], rows[order[lead & several]]
-    pick = np.concatenate([np.flatnonzero(cols["done"]), again, ask])
-    done = np.append(np.ones(len(pick) - len(ask), bool), np.zeros(len(ask), bool))
-    out = [cols["doc"][pick], cols["place"][pick] >> (_FIRST_BITS + _MORE_BITS), cols["place"][pick] & ((1 << (_FIRST_BITS + _MORE_BITS)) - 1), np.where(done, 0, cols["key"][pick])]
-    yield from pa.Table.from_arrays([pa.array(c) for c in (*out, done)], names=["doc", "hash", "place", "key", "done"]).to_batches(max_chunksize=50_000)
+    again, ask = rows[order[later]], rows[order[lead & (several | (cols["state"][rows][order] == _HOT))]]
+    pick = np.concatenate([np.flatnonzero(known), again, ask])
+    state = np.append(np.full(len(pick) - len(ask), _DONE, np.int32), cols["state"][ask])
+    bits = _FIRST_BITS + _MORE_BITS
+    out = [cols["doc"][pick], cols["place"][pick] >> bits, cols["place"][pick] & ((1 << bits) - 1), np.where(state == _DONE, 0, cols["key"][pick]), state]
+    yield from pa.Table.from_arrays([pa.array(c) for c in out], names=["doc", "hash", "place", "key", "state"]).to_batches(max_chunksize=50_000)
 
 
+#: States of a run: to be compared, repeated whole, to be compared across shards too.
+_DONE, _HOT = 1, 2
 _SPANS = "array<struct<start: long, end: long>>"
 _SPANS_TYPE = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-_DEALT = "route long, doc long, hash long, first long, last long, raw binary"
+_DEALT = "route long, doc long, hash long, first long, last long, hot boolean, raw binary"
+#: Windows that are repeated (by their document), or first in their shard and hot (by 16 bytes of a digest).
+_SEEN = "route long, low long, doc long, hash long, first long, last long, hot boolean"
+
+
+def _seen(doc, text, first, last, route=None, low=None) -> pa.RecordBatch:
+    hot = np.full(len(doc), route is not None)
+    cols = (doc if route is None else route, np.zeros(len(doc), np.int64) if low is None else low, doc, text, first, last, hot)
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["route", "low", "doc", "hash", "first", "last", "hot"])
 
 
 def _fetch(length: int):
@@ -338,31 +382,31 @@ def _fetch(length: int):
             out: list[tuple] = []
             for doc, text, packed, runs in zip(*(part.column(c).to_pylist() for c in ("doc", "hash", "packed", "runs")), strict=True):
                 place = np.array([r["place"] for r in runs], np.int64)
-                done = np.array([r["done"] for r in runs], bool)
+                done = np.array([r["state"] == _DONE for r in runs], bool)
                 first, last = _first(place), _first(place) + (place & ((1 << _MORE_BITS) - 1))
                 if done.any():
                     starts, ends = _spans(first[done], last[done], length)
-                    out += [(doc, doc, text, s, e - length, None) for s, e in zip(starts, ends, strict=True)]
+                    out += [(doc, doc, text, s, e - length, False, None) for s, e in zip(starts, ends, strict=True)]
                 if not done.all():
                     raw = unpack(packed)
-                    out += [(runs[i]["key"], doc, text, int(first[i]), int(last[i]), raw[first[i] : last[i] + length]) for i in np.flatnonzero(~done).tolist()]
-            kinds = [pa.int64()] * 5 + [pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=["route", "doc", "hash", "first", "last", "raw"])
+                    out += [(runs[i]["key"], doc, text, int(first[i]), int(last[i]), runs[i]["state"] == _HOT, raw[first[i] : last[i] + length]) for i in np.flatnonzero(~done).tolist()]
+            kinds = [pa.int64()] * 5 + [pa.bool_(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=["route", "doc", "hash", "first", "last", "hot", "raw"])
 
     return run
 
 
 def _shards(length: int, shard_bytes: int):
-    """Rows of a partition, sorted by route, to repeated windows (doc, hash, first, last)."""
-    names = ["doc", "hash", "first", "last"]
+    """Rows of a partition, sorted by route, to windows that are repeated, and first ones that are hot."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
         size, last_route = 0, None
         for batch in batches:
             done = batch.column("raw").is_null()
-            yield batch.filter(done).select(names)
-            batch = batch.filter(done.to_numpy(zero_copy_only=False) == False)  # noqa: E712
+            some = batch.filter(done)
+            yield _seen(*(some.column(c).to_numpy() for c in ("doc", "hash", "first", "last")))
+            batch = batch.filter(batch.column("raw").is_valid())
             if not batch.num_rows:
                 continue
             # A shard ends between two grams.
@@ -381,18 +425,42 @@ def _shards(length: int, shard_bytes: int):
     return run
 
 
-def repeated_spans(rows: DataFrame, packed: DataFrame, length: int = LENGTH, gram: int = GRAM, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Hot first windows of several shards: sorted by digest and place, each is looked up by binary search;
+    all but the first of equal ones are repeated. Other rows go on as they are."""
+    names, held = ["doc", "hash", "first", "last"], []
+    for batch in batches:
+        hot = batch.column("hot")
+        yield batch.filter(pc.invert(hot)).select(names)
+        if (some := batch.filter(hot)).num_rows:
+            held.append(some)
+    if not held:
+        return
+    table = pa.Table.from_batches(held)
+    cols = {c: table.column(c).to_numpy() for c in table.column_names}
+    order = np.lexsort((cols["first"], cols["doc"], cols["low"], cols["route"]))
+    fresh = np.flatnonzero(_differ(cols["route"][order], cols["low"][order]))
+    lead = order[fresh[np.searchsorted(fresh, np.arange(len(order)), side="right") - 1]]
+    again = order[(cols["doc"][order] != cols["doc"][lead]) | (cols["first"][order] != cols["first"][lead])]
+    yield pa.RecordBatch.from_arrays([pa.array(cols[c][again]) for c in names], names=names)
+
+
+def repeated_spans(rows: DataFrame, packed: DataFrame, length: int = LENGTH, gram: int = GRAM, shard_bytes: int = SHARD_BYTES, hot_least: int = 8) -> DataFrame:
     """(doc, hash, spans) of the rows (doc, hash, text binary) with repeated windows; spans [start, end) in bytes.
 
     doc orders the documents; hash (27 bits of the text) tells texts with one doc apart. packed has the
     same rows with the text compressed, to be read again.
     """
-    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    runs = in_arrow(rows.select("doc", "hash", "text"), "key long, context long, doc long, place long, done boolean", _runs_of(length, gram))
-    looked = runs.repartition(n, "key").mapInArrow(_look, "doc long, hash long, place long, key long, done boolean")
-    wanted = looked.groupBy("doc", "hash").agg(F.collect_list(F.struct("place", "key", "done")).alias("runs"))
+    spark = rows.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = rows.select("doc", "hash", "text")
+    hot = spark.sparkContext.broadcast(_hot_grams(rows, length, gram, least=hot_least))
+    runs = in_arrow(rows, "key long, context long, doc long, place long, state int", _runs_of(length, gram, hot))
+    looked = runs.repartition(n, "key").mapInArrow(_look, "doc long, hash long, place long, key long, state int")
+    wanted = looked.groupBy("doc", "hash").agg(F.collect_list(F.struct("place", "key", "state")).alias("runs"))
     dealt = in_arrow(packed.join(wanted, ["doc", "hash"]), _DEALT, _fetch(length))
-    found = dealt.repartition(n, "route").sortWithinPartitions("route").mapInArrow(_shards(length, shard_bytes), "doc long, hash long, first long, last long")
+    found = dealt.repartition(n, "route").sortWithinPartitions("route").mapInArrow(_shards(length, shard_bytes), _SEEN)
+    found = found.repartition(n, "route", "low").mapInArrow(_across, "doc long, hash long, first long, last long")
     by = found.groupBy("doc", "hash").agg(F.collect_list(F.struct("first", "last")).alias("runs"))
 
     def spans(batch: pa.RecordBatch):
@@ -417,7 +485,16 @@ def _search(table: pa.Table, length: int, shard_bytes: int) -> Iterator[pa.Recor
         held += len(r)
     cuts.append(len(raws))
     shards = [Contexts(raws[s:e], doc[s:e], first[s:e], length) for s, e in zip(cuts, cuts[1:])]
-    found = merge_shards(shards) if len(shards) > 1 else [shards[0].repeated()[:2]]
+    alone = [s.repeated() for s in shards]
+    hot = np.array(table.column("hot").to_pylist(), bool)
+    for (_, _, (context, window)), s in zip(alone, cuts, strict=False):
+        rows = s + context
+        some = np.flatnonzero(hot[rows])
+        if len(some):
+            marks = [hashlib.blake2b(raws[r][w : w + length], digest_size=16).digest() for r, w in zip(rows[some].tolist(), window[some].tolist(), strict=True)]
+            marks, rows, at = np.frombuffer(b"".join(marks), np.int64).reshape(-1, 2), rows[some], first[rows[some]] + window[some]
+            yield _seen(doc[rows], text[rows], at, at, marks[:, 0], marks[:, 1])
+    found = merge_shards(shards, alone) if len(shards) > 1 else [alone[0][:2]]
     for (context, window), s in zip(found, cuts, strict=False):
         if not len(context):
             continue
@@ -428,10 +505,10 @@ def _search(table: pa.Table, length: int, shard_bytes: int) -> Iterator[pa.Recor
         head = np.flatnonzero(start)
         last = at[np.append(head[1:], len(at)) - 1]
         rows = s + context[head]
-        yield pa.RecordBatch.from_arrays([pa.array(c) for c in (doc[rows], text[rows], at[head], last)], names=["doc", "hash", "first", "last"])
+        yield _seen(doc[rows], text[rows], at[head], last)
 
 
-def dedup(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", shard_bytes: int = SHARD_BYTES) -> DataFrame:
+def dedup(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", shard_bytes: int = SHARD_BYTES, hot_least: int = 8) -> DataFrame:
     """(id, text binary, spans, kept binary): the bytes of each text, the repeated spans, and what is left.
 
     A byte goes if a string of `length` bytes covers it that also starts earlier: in a document with a
@@ -449,7 +526,7 @@ def dedup(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_co
 
     kind = dict(docs.dtypes)[id_col]
     packed = in_arrow(rows.select("id", "doc", "hash", "text"), f"id {kind}, doc long, hash long, packed binary", pack)
-    found = repeated_spans(rows, packed, length, shard_bytes=shard_bytes)
+    found = repeated_spans(rows, packed, length, shard_bytes=shard_bytes, hot_least=hot_least)
     joined = packed.join(found, ["doc", "hash"], "left").select("id", "packed", "spans")
 
     def cut(batch: pa.RecordBatch):

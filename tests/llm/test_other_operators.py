@@ -55,12 +55,14 @@ def test_dedup_equals_brute_force(spark):
     assert got == plain_dedup(docs, 100)
 
 
-@pytest.mark.parametrize("shard_bytes", [2_000, 1 << 20])
-def test_dedup_of_repetitive_texts(spark, shard_bytes):
+@pytest.mark.parametrize("shard_bytes,hot_least", [(2_000, 10_000), (1 << 20, 10_000), (2_000, 1)])
+def test_dedup_of_repetitive_texts(spark, shard_bytes, hot_least, monkeypatch):
     r = random.Random(6)
     parts = ["".join(r.choice("ab ") for _ in range(r.randint(90, 300))) for _ in range(5)]
     docs = [(i, None if i == 3 else "".join(r.choice("abcdé") for _ in range(r.randint(0, 80))) + r.choice(parts) + "x" * r.choice([0, 0, 150, 400]) + r.choice(parts)[: r.randint(0, 200)]) for i in range(80)]
-    found = substrings.dedup(spark.createDataFrame(docs, "doc_id long, text string").repartition(5), shard_bytes=shard_bytes)
+    sampled = substrings._hot_grams
+    monkeypatch.setattr(substrings, "_hot_grams", lambda *a, **k: sampled(*a, **k, one_in=2, per_shard=5))
+    found = substrings.dedup(spark.createDataFrame(docs, "doc_id long, text string").repartition(5), shard_bytes=shard_bytes, hot_least=hot_least)
     got = {x["id"]: (len(x["text"]), len(x["text"]) - len(x["kept"]), len(x["spans"] or []), hashlib.sha256(x["kept"]).hexdigest()) for x in found.collect()}
     assert got == plain_dedup(docs, 100)
 
