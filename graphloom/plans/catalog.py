@@ -5,12 +5,13 @@ Names ending in _ext go beyond what the reference computes.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.constants import BUILTINS, TOLERANCES, UNITS, profile_operations
+from ..functions.constants import BUILTINS, EXECUTION_CONTRACT, TOLERANCES, UNITS, profile_operations
 from ..functions.identity import is_digest, stable_uuid
 from ..operators import contracts, graph, quality, resolve, rules, trust
 from ..sources.documents import parse_documents, tokens
@@ -319,9 +320,19 @@ def document_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens(_sources(spark, sf_dir)).groupBy("doc_id").agg(F.count("*").alias("n_tokens"))
 
 
-@_query()
+_CONTRACT = json.dumps(EXECUTION_CONTRACT, sort_keys=True, separators=(",", ":"))
+
+
+@_query(f"""WITH p AS (SELECT p_partkey, p_size, unnest(['', '/size', '/twice', '/f', '/f/distance']) AS tail FROM part),
+h AS (SELECT *, sha1(unhex('22b8aa1ea0375d7b89f8b7af0c8fc2ad') || encode('local/m' || p_partkey || tail)) AS h FROM p), u AS (SELECT *, {_UUID} AS id FROM h),
+d AS (SELECT p_partkey, p_size, max(id) FILTER (tail = '') AS m, max(id) FILTER (tail = '/size') AS s, max(id) FILTER (tail = '/twice') AS t, max(id) FILTER (tail = '/f') AS f, max(id) FILTER (tail = '/f/distance') AS a FROM u GROUP BY 1, 2)
+SELECT CAST(p_partkey AS VARCHAR) AS doc_id, sha256('{{"execution_contract":{_CONTRACT},"format":"lang.canonical-construction-graph","format_version":"0.1","imports":[],"models":[{{"attributes":{{"profile":{{"kind":"literal","value":"P1"}}}},"declarations":['
+|| '{{"id":"' || s || '","kind":"parameter","name":"size","type":"length","value":{{"kind":"literal","unit":"mm","value":' || p_size || '}}}},'
+|| '{{"id":"' || t || '","kind":"parameter","name":"twice","type":"length","value":{{"kind":"binary","left":{{"kind":"reference","path":"size"}},"operator":"+","right":{{"kind":"reference","path":"size"}}}}}},'
+|| '{{"body":[{{"id":"' || a || '","kind":"assign","name":"distance","value":{{"kind":"reference","path":"twice"}}}}],"id":"' || f || '","kind":"feature","name":"f","type":"' || CASE WHEN p_size > 40 THEN 'sweep' ELSE 'extrude' END || '"}}'
+|| '],"dependency_order":["size","twice","f"],"id":"' || m || '","name":"m' || p_partkey || '"}}],"namespace":"local","source_language":"lang/0.1"}}') AS semantic_sha256, '' AS violations FROM d""")
 def document_graphs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Digests and contract checks of canonical graphs; byte-exact JSON has no SQL."""
+    """Digests and contract checks of canonical graphs."""
     parsed = parse_documents(_sources(spark, sf_dir))
     return contracts.check_graphs(parsed).select("doc_id", "semantic_sha256", F.array_join("violations", ",").alias("violations"))
 
