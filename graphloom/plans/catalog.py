@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.constants import BUILTINS, EXECUTION_CONTRACT, TOLERANCES, UNITS, profile_operations
 from ..functions.identity import is_digest, stable_uuid
-from ..operators import contracts, graph, quality, resolve, rules, trust
+from ..operators import contracts, graph, quality, resolve, rules, scenarios, trust
 from ..sources.documents import parse_documents, tokens
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -408,3 +408,19 @@ def backend_differences_ext(spark: SparkSession, sf_dir: str) -> DataFrame:
     one = _table(spark, sf_dir, "customer").select("c_custkey", "c_acctbal")
     two = one.where("c_custkey % 11 <> 0").withColumn("c_acctbal", F.col("c_acctbal") + F.when(F.col("c_custkey") % 5 == 0, 1.0).otherwise(0.001))
     return quality.differences(one, two, ["c_custkey"], "c_acctbal", 0.01).select("c_custkey")
+
+
+def _scenario_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.format_string("lang 0.1;\nmodel m { parameter size: length = %d mm; parameter twice: length = size * 2 + 1 cm; validate { assert twice < 9 cm; scenario Large { set size = 45 mm; expect twice == 10 cm; } } }\n", "p_size")
+    return _table(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("doc_id"), text.alias("source_text"))
+
+
+@_query("SELECT CAST(p_partkey AS VARCHAR) AS doc_id, CAST(2 * p_size + 10 AS BIGINT) AS millimetres, 'length' AS dimension FROM part")
+def parameter_values_ext(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = scenarios.values(_scenario_sources(spark, sf_dir)).where("name = 'twice'")
+    return found.select("doc_id", (F.col("value").cast("decimal(38,18)") * 1000).cast("long").alias("millimetres"), "dimension")
+
+
+@_query("SELECT CAST(p_partkey AS VARCHAR) AS doc_id, '' AS scenario, CASE WHEN 2 * p_size + 10 < 90 THEN 'pass' ELSE 'fail' END AS verdict FROM part UNION ALL SELECT CAST(p_partkey AS VARCHAR), 'Large', 'pass' FROM part")
+def scenario_verdicts_ext(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scenarios.run_scenarios(_scenario_sources(spark, sf_dir)).select("doc_id", F.coalesce("scenario", F.lit("")).alias("scenario"), "verdict")
