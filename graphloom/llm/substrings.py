@@ -30,7 +30,7 @@ from .common import in_arrow, pieces
 
 LENGTH, GRAM = 100, 32
 #: Bytes of text that one shard's suffix array takes.
-SHARD_BYTES = 2 << 20
+SHARD_BYTES = 1 << 20
 _PLACE = np.uint64((1 << 28) - 1)
 _BASE = 0x9E3779B97F4A7C15
 
@@ -296,7 +296,7 @@ def _runs_of(length: int, gram: int, hot=None):
 
     def run(batch: pa.RecordBatch):
         known, parts = hot.value if hot else (np.zeros(0, np.int64), np.zeros(0, np.uint64))
-        for part in pieces(batch, "text", 2 << 20):
+        for part in pieces(batch, "text", 1 << 20):
             runs = Runs(part.column("text").to_pylist(), length, gram)
             doc, text = (part.column(c).to_numpy()[runs.text] for c in ("doc", "hash"))
             place = _place(text, runs.first, runs.last)
@@ -325,7 +325,7 @@ def _hot_grams(rows: DataFrame, length: int, gram: int, one_in: int = 32, least:
     sample = rows.where(F.pmod(F.xxhash64("doc", "hash"), F.lit(one_in)) == 0)
 
     def keys(batch: pa.RecordBatch):
-        for part in pieces(batch, "text", 2 << 20):
+        for part in pieces(batch, "text", 1 << 20):
             runs = Runs(part.column("text").to_pylist(), length, gram)
             pairs = np.unique(np.stack([runs.key.view(np.int64), runs.text], 1), axis=0)
             key, n = np.unique(pairs[:, 0], return_counts=True)
@@ -525,7 +525,7 @@ def dedup(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_co
         yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("doc"), batch.column("hash"), packed], names=["id", "doc", "hash", "packed"])
 
     kind = dict(docs.dtypes)[id_col]
-    packed = in_arrow(rows.select("id", "doc", "hash", "text"), f"id {kind}, doc long, hash long, packed binary", pack)
+    packed = in_arrow(rows.select("id", "doc", "hash", "text"), f"id {kind}, doc long not null, hash long not null, packed binary not null", pack)
     found = repeated_spans(rows, packed, length, shard_bytes=shard_bytes, hot_least=hot_least)
     joined = packed.join(found, ["doc", "hash"], "left").select("id", "packed", "spans")
 
