@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions.constants import DECLARATIONS, PROFILES
+from ..functions.partitions import spread
 from ..functions.typing import infer, plain_type
 from . import canonical
 from .grammar import expressions, read_source, references
@@ -114,11 +115,11 @@ def _rows(docs: DataFrame, ddl: str, of) -> DataFrame:
             if rows:
                 yield pa.RecordBatch.from_pylist(rows, schema=arrow)
 
-    return docs.select("doc_id", "source_text").mapInArrow(run, schema)
+    return spread(docs.select("doc_id", "source_text")).mapInArrow(run, schema)
 
 
 def parse_documents(docs: DataFrame) -> DataFrame:
-    """One row per document (doc_id, source_text) with what was parsed in nested columns; no shuffle.
+    """One row per document (doc_id, source_text) with what was parsed in nested columns; no shuffle, but for inputs of few files.
 
     The parser is the one opaque step: one pass in Arrow batches. Persist the result before several
     tables are taken from it.
