@@ -145,6 +145,13 @@ def test_wide_links_are_verified(spark):
     assert {i for i, c in got.items() if c == 0} == near and all(got[i] == i for i in got if i not in near)
 
 
+def test_failing_short_links_hide_no_longer_one():
+    u = np.sort(np.random.default_rng(1).integers(0, 2**63, 1000).astype(np.uint64))
+    sets = [u[:500], np.sort(np.concatenate([u[:400], u[800:900]])), u[20:500]]  # only the first and last are similar
+    links = [(np.array([0, 1, 0]), np.array([1, 2, 2]), np.array([4, 4, 5]))]
+    assert simhash.similar_components(sets, iter(links), 0.8).tolist() == [0, 1, 0]
+
+
 def test_components_of_long_chains(spark):
     edges = [(i, i + 1) for i in range(0, 200)] + [(500, 501), (7, 7), (None, 3)]
     got = {r["node"]: r["root"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
@@ -313,3 +320,5 @@ def test_exchanges_empty_bins():
         bins.improve()
         assert len(bins.bins) <= before and sum(f * f for f in bins.fill) >= squares
         assert sorted(i for b in bins.bins for i in b) == list(range(200)) and all(sum(sizes[i] for i in b) == f <= 100 for b, f in zip(bins.bins, bins.fill))
+
+
