@@ -22,10 +22,10 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates the document with the smallest id stays.
 
-    Five-word shingles; fingerprints of up to 3 differing bits are linked, those of 4 to 6 if the texts'
-    shingles have a similarity of 0.8 or more.
+    Texts whose sets of five-word shingles have a similarity of 0.8 or more are linked, if their fingerprints
+    differ in up to 6 bits.
     """
-    return simhash.one_of_each(docs, words=5, radius=3, wide=6, similarity=0.8)
+    return simhash.one_of_each(docs, words=5, wide=6, similarity=0.8)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -152,6 +152,15 @@ def test_failing_short_links_hide_no_longer_one():
     assert simhash.similar_components(sets, iter(links), 0.8).tolist() == [0, 1, 0]
 
 
+def test_equal_fingerprints_of_unlike_texts_stay(spark):
+    import corpus_pipeline
+
+    rows = [(1, "a a a a a"), (2, "a " * 20 + "b c d e f g"), (3, "A a a  a a a")]
+    assert plain_fingerprint(rows[0][1], 5) == plain_fingerprint(rows[1][1], 5)
+    kept = corpus_pipeline.drop_near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string"), SF)
+    assert {x["doc_id"] for x in kept.collect()} == {1, 2}
+
+
 def test_components_of_long_chains(spark):
     edges = [(i, i + 1) for i in range(0, 200)] + [(500, 501), (7, 7), (None, 3)]
     got = {r["node"]: r["root"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
