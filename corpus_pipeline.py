@@ -23,9 +23,9 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """Of each group of near-duplicates the document with the smallest id stays.
 
     Texts whose sets of five-word shingles have a similarity of 0.8 or more are linked, if their fingerprints
-    differ in up to 6 bits.
+    differ in up to 20 bits; beyond the similarity's expected 10 that is over three standard deviations.
     """
-    return simhash.one_of_each(docs, words=5, wide=6, similarity=0.8)
+    return simhash.one_of_each(docs, words=5, wide=20, similarity=0.8)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -145,6 +145,24 @@ def test_wide_links_are_verified(spark):
     assert {i for i, c in got.items() if c == 0} == near and all(got[i] == i for i in got if i not in near)
 
 
+def edited(words, at):
+    return " ".join("z%d" % k if k in at else w for k, w in enumerate(words))
+
+
+def test_pipeline_links_distant_fingerprints(spark):
+    import corpus_pipeline
+
+    r = random.Random(5)
+    rows, far = [], 0
+    for i in range(0, 120, 2):
+        w = ["w%d" % r.randrange(9000) for _ in range(100)]
+        pair = edited(w, []), edited(w, r.sample(range(0, 100, 7), 2))
+        far += (plain_fingerprint(pair[0], 5) ^ plain_fingerprint(pair[1], 5)).bit_count() > 6
+        rows += [(i, pair[0]), (i + 1, pair[1])]
+    kept = corpus_pipeline.drop_near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string"), SF)
+    assert far > 10 and {x["doc_id"] for x in kept.collect()} == set(range(0, 120, 2))
+
+
 def test_failing_short_links_hide_no_longer_one():
     u = np.sort(np.random.default_rng(1).integers(0, 2**63, 1000).astype(np.uint64))
     sets = [u[:500], np.sort(np.concatenate([u[:400], u[800:900]])), u[20:500]]  # only the first and last are similar
