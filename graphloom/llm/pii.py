@@ -27,7 +27,7 @@ _TOKEN = r"(?<!\S)(?=[^\s0-9@]*+[0-9@])\S++"
 LEARNED = "id"
 
 #: A pattern is trusted from so many different instances, and so large a share of known ones among them.
-SUPPORT, TRUST, ROUNDS = 5, 0.8, 3
+SUPPORT, TRUST = 5, 0.8
 
 _SPAN = "array<struct<start: long, text: string>>"
 
@@ -100,29 +100,33 @@ def _candidates(docs: DataFrame, text_col: str) -> DataFrame:
     return found.withColumn("_tokens", F.filter(F.transform("_at", token), likely)).drop("_m", "_at")
 
 
-def learn(tokens: DataFrame, support: int = SUPPORT, trust: float = TRUST, rounds: int = ROUNDS) -> DataFrame:
-    """(instance, score) of the instances that trusted patterns discover, from tokens (pattern, instance, seed).
+def learn(tokens: DataFrame, support: int = SUPPORT, trust: float = TRUST) -> DataFrame:
+    """(instance) of those that are known: seeds and what trusted patterns discover, from tokens (pattern, instance, seed).
 
-    A graph joins patterns and the different instances that follow them. Seeds score 1. Each round a
-    pattern's score is the mean score of its instances, if it has `support` or more; a pattern of at
-    least `trust` gives its score to its instances, which next round support other patterns. Every
-    pattern and instance of the corpus takes part; a frequent one is joined by join_skewed.
+    A graph joins patterns and the different instances that follow them. Seeds are known. A pattern with
+    `support` or more instances, of which a share of `trust` is known, makes all its instances known,
+    which next round support other patterns; rounds end when no further pattern is trusted. (Scores that
+    pass as means between patterns and instances tend to the same: all instances of a trusted pattern tend to
+    its highest score, which is a seed's.) Every pattern and instance of the corpus takes part; a frequent
+    one is joined by join_skewed.
     """
-    graph = settled(tokens.groupBy("pattern", "instance").agg(F.max(F.col("seed").cast("double")).alias("seed")))
-    if graph.where("seed > 0").isEmpty():
-        return graph.select("instance", F.col("seed").alias("score")).limit(0)
+    graph = settled(tokens.groupBy("pattern", "instance").agg(F.max("seed").alias("seed")))
+    found = settled(graph.groupBy("instance").agg(F.max("seed").alias("known"), F.count("*").alias("n")))
+    graph = graph.select("pattern", "instance")
     total = graph.count()
     degree = settled(graph.groupBy("pattern").agg(F.count("*").alias("n")))
-    scores = settled(graph.groupBy("instance").agg(F.max("seed").alias("score"), F.count("*").alias("n")))
-    for _ in range(rounds):
-        scored = join_skewed(graph, scores, "instance", "n", total)
-        trusted = scored.groupBy("pattern").agg(F.avg("score").alias("trust"), F.count("*").alias("m")).where((F.col("m") >= support) & (F.col("trust") >= trust))
-        trusted = settled(degree.join(trusted.select("pattern", "trust"), "pattern", "left"))
-        if trusted.where("trust is not null").isEmpty():
-            break
-        given = join_skewed(graph, trusted, "pattern", "n", total).where("trust is not null").groupBy("instance").agg(F.max("trust").alias("given"))
-        scores = settled(scores.join(given, "instance", "left").select("instance", F.greatest("score", F.coalesce("given", F.lit(0.0))).alias("score"), "n"))
-    return scores.where(F.col("score") >= trust).select("instance", "score")
+    before = 0
+    while True:
+        share = F.avg(F.col("known").cast("double"))
+        trusted = join_skewed(graph, found, "instance", "n", total).groupBy("pattern").agg(share.alias("share"), F.count("*").alias("m"))
+        trusted = trusted.where((F.col("m") >= support) & (F.col("share") >= trust)).select("pattern", F.lit(True).alias("trusted"))
+        trusted = settled(degree.join(trusted, "pattern", "left"))
+        now = trusted.where("trusted").count()
+        if now == before:
+            return found.where("known").select("instance")
+        before = now
+        given = join_skewed(graph, trusted, "pattern", "n", total).where("trusted").select("instance", F.lit(True).alias("given")).distinct()
+        found = settled(found.join(given, "instance", "left").select("instance", (F.col("known") | F.coalesce("given", F.lit(False))).alias("known"), "n"))
 
 
 def find_personal(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", support: int = SUPPORT, trust: float = TRUST) -> DataFrame:
@@ -135,7 +139,7 @@ def find_personal(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     found = _candidates(find_base(rows), "text").select("id", F.xxhash64("text").alias("text_hash"), F.col("_base").alias("base"), "_tokens")
     found = settled(found)
     tokens = found.where(F.size("_tokens") > 0).select("id", "text_hash", F.explode("_tokens").alias("t")).select("id", "text_hash", "t.*")
-    known = learn(tokens, support, trust).select("instance")
+    known = learn(tokens, support, trust)
     unseen = tokens.where("not seed")
     often = unseen.groupBy("instance").agg(F.count("*").alias("n")).join(known.withColumn("hit", F.lit(True)), "instance", "left")
     more = join_skewed(unseen, often, "instance", "n", found.count()).where("hit")

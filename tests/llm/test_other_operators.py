@@ -263,6 +263,12 @@ def test_learned_identifiers(spark):
     assert got == {100: "id:14:24", 101: "id:3:13"}
 
 
+def test_long_chains_are_learned(spark):
+    tokens = [(f"p{k}", f"i{j:02}", j < 9) for k in range(8) for j in range(k, k + 10)]
+    known = pii.learn(spark.createDataFrame(tokens, "pattern string, instance string, seed boolean"))
+    assert sorted(r["instance"] for r in known.collect()) == [f"i{j:02}" for j in range(17)]
+
+
 def test_masks(spark, odd, empty):
     rows = [(1, "w a@b.co, 10.0.0.1 x", 1), (None, "+1 (017) 555-5036", 2), (3, None, 3), (4, "clean", 4), (4, "clean", 4)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, id long")
