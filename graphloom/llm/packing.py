@@ -133,7 +133,7 @@ class Bins:
                 mask |= 1 << space
             by_space[space].append(b)
 
-    def improve(self, passes: int = 4) -> None:
+    def improve(self) -> None:
         """Exchanges between underfull bins that raise the sum of squared fills, until a pass empties no bin.
 
         Fullest first, a bin takes from less full ones: an item that fits; one larger item for one of its
@@ -141,10 +141,7 @@ class Bins:
         that is emptied goes. The search ends early where no fewer bins could hold all items.
         """
         least = -(-sum(self.sizes) // self.capacity)
-        for _ in range(passes):
-            before = len(self.bins)
-            if before <= least:
-                return
+        while (before := len(self.bins)) > least:
             self._sweep()
             if len(self.bins) == before:
                 return
@@ -181,11 +178,13 @@ class Bins:
                 take = largest(0, space)
                 gain = take
                 if not take:
-                    own = {sizes[i]: i for i in bins[a]}
-                    for x, i in own.items():
+                    own: dict[int, list[int]] = {}
+                    for i in bins[a]:
+                        own.setdefault(sizes[i], []).append(i)
+                    for x, same in own.items():
                         y = largest(x, min(cap, x + space))
                         if y - x > gain:
-                            gain, take, give = y - x, y, (i,)
+                            gain, take, give = y - x, y, (same[-1],)
                     if gain < space:
                         two = self._two(own, space, gain, largest)
                         if two:
@@ -206,16 +205,16 @@ class Bins:
         keep = [b for b in range(len(bins)) if bins[b]]
         self.bins, self.fill = [bins[b] for b in keep], [fill[b] for b in keep]
 
-    def _two(self, own: dict[int, int], space: int, gain: int, largest) -> tuple[int, int, tuple[int, int]] | None:
+    def _two(self, own: dict[int, list[int]], space: int, gain: int, largest) -> tuple[int, int, tuple[int, int]] | None:
         best = None
         known = sorted(own)
         for k, x in enumerate(known):
-            for y in known[k + 1 :]:
+            for y in known[k if len(own[x]) > 1 else k + 1 :]:
                 if x + y >= self.capacity:
                     break
                 z = largest(x + y, min(self.capacity, x + y + space))
                 if z - x - y > gain:
-                    gain, best = z - x - y, (z - x - y, z, (own[x], own[y]))
+                    gain, best = z - x - y, (z - x - y, z, (own[x][-1], own[y][-1 if y > x else -2]))
         return best
 
 

@@ -349,3 +349,13 @@ def test_exchanges_empty_bins():
         assert sorted(i for b in bins.bins for i in b) == list(range(200)) and all(sum(sizes[i] for i in b) == f <= 100 for b, f in zip(bins.bins, bins.fill))
 
 
+def test_equal_sizes_are_exchanged_and_passes_go_on(monkeypatch):
+    bins = packing.Bins(np.array([9, 4, 4, 1]), 10)
+    bins.bins, bins.fill = [[0], [1, 2, 3]], [9, 9]
+    bins._sweep()
+    assert sorted(bins.fill) == [8, 10] and sorted(map(sorted, bins.bins)) == [[0, 3], [1, 2]]
+    many = packing.Bins(np.array([6] * 12), 10)
+    many.sizes = [1] * 12
+    monkeypatch.setattr(many, "_sweep", lambda: many.bins.pop() if len(many.bins) > 3 else None)
+    many.improve()
+    assert len(many.bins) == 3
