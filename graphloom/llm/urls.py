@@ -150,15 +150,18 @@ class UrlModel:
 
     @classmethod
     def train(cls, urls: list[str], hosts: list[str], paths: list[str], labels: np.ndarray) -> UrlModel:
-        """Statistics come from one half of the URLs, trees from the other, so that no label describes itself."""
-        if len(set(labels.tolist())) < 2 or len(urls) < 20:
+        """Statistics come from one half of the URLs, trees from the other, so that no label describes itself; both
+        from all if the other half has one label only. If all have one label, there is nothing to learn: no trees."""
+        if len(set(labels.tolist())) < 2:
             return cls()
         half = np.arange(len(urls)) % 2 == 0
+        rest_of = ~half
+        if len(set(labels[rest_of].tolist())) < 2:
+            half = rest_of = np.ones(len(urls), bool)
         take = lambda x, m: [v for v, k in zip(x, m.tolist(), strict=True) if k]
         stats = tuple(SuffixStats.of(k, labels[half]) for k in suffixes(take(hosts, half), take(paths, half)))
-        model, rest = cls(stats), [take(x, ~half) for x in (urls, hosts, paths)]
-        if len(set(labels[~half].tolist())) > 1:
-            model.trees = Trees.fit(model.features(*rest), labels[~half])
+        model, rest = cls(stats), [take(x, rest_of) for x in (urls, hosts, paths)]
+        model.trees = Trees.fit(model.features(*rest), labels[rest_of])
         return model
 
 

@@ -263,6 +263,14 @@ def test_learned_identifiers(spark):
     assert got == {100: "id:14:24", 101: "id:3:13"}
 
 
+def test_few_labelled_urls_train():
+    hosts = ["good.org", "bad.biz"] * 6
+    paths = ["/a/b", "/x/y/z/q"] * 6
+    found = [f"https://{h}{p}" for h, p in zip(hosts, paths, strict=True)]
+    model = urls.UrlModel.train(found, hosts, paths, np.array([1.0, 0.0] * 6))
+    assert model.allows(found, hosts, paths).tolist() == [True, False] * 6
+
+
 def test_long_chains_are_learned(spark):
     tokens = [(f"p{k}", f"i{j:02}", j < 9) for k in range(8) for j in range(k, k + 10)]
     known = pii.learn(spark.createDataFrame(tokens, "pattern string, instance string, seed boolean"))
