@@ -1,4 +1,4 @@
-"""Best-fit packing of token pieces into sequences, improved by swap-based local search."""
+"""Packing of token pieces into sequences by swap-based local search: exchanges fill bins until others are empty."""
 
 from __future__ import annotations
 
@@ -102,55 +102,43 @@ def token_pieces(docs: DataFrame, tokenizer_file: str, capacity: int = 2048, end
 
 
 class Bins:
-    """Bins of one capacity with items of integer sizes; a mask has a bit for each size or space in use."""
+    """Bins of one capacity with items of integer sizes, filled one after the other in the items' order.
+
+    That start wastes a good part of the bins; all packing beyond it is the local search's.
+    """
 
     def __init__(self, sizes: np.ndarray, capacity: int):
         self.sizes, self.capacity = sizes.tolist(), capacity
         self.bins: list[list[int]] = []
         self.fill: list[int] = []
-        self._best_fit(np.argsort(-sizes, kind="stable").tolist())
-
-    def _best_fit(self, order: list[int]) -> None:
-        """Items by falling size, each into the bin with the least space that holds it."""
-        by_space: list[list[int]] = [[] for _ in range(self.capacity + 1)]
-        mask = 0
-        for item in order:
-            size = self.sizes[item]
-            roomy = mask >> size
-            if roomy:
-                space = size + (roomy & -roomy).bit_length() - 1
-                b = by_space[space].pop()
-                if not by_space[space]:
-                    mask ^= 1 << space
-                self.bins[b].append(item)
-                self.fill[b] += size
-            else:
-                b, space = len(self.bins), self.capacity
-                self.bins.append([item])
-                self.fill.append(size)
-            space = self.capacity - self.fill[b]
-            if not by_space[space]:
-                mask |= 1 << space
-            by_space[space].append(b)
+        self.exchanges = 0
+        for item, size in enumerate(self.sizes):
+            if not self.bins or self.fill[-1] + size > capacity:
+                self.bins.append([])
+                self.fill.append(0)
+            self.bins[-1].append(item)
+            self.fill[-1] += size
 
     def improve(self) -> None:
-        """Exchanges between underfull bins that raise the sum of squared fills, until a pass empties no bin.
+        """Exchanges between underfull bins until none is left that raises the sum of squared fills.
 
-        Fullest first, a bin takes from less full ones: an item that fits; one larger item for one of its
-        own; one larger item for two of its own. Each raises the fuller bin and lowers the other. A bin
-        that is emptied goes. The search ends early where no fewer bins could hold all items.
+        Bins with the largest items first, each takes from those still to come: an item that fits; one larger
+        item for one of its own; one larger item for two of its own. Only exchanges that raise the sum of
+        squares are made, so the search ends. A bin that is emptied goes. Where no fewer bins could hold
+        all items, it is done.
         """
         least = -(-sum(self.sizes) // self.capacity)
-        while (before := len(self.bins)) > least:
+        while len(self.bins) > least:
+            before = (len(self.bins), self.exchanges)
             self._sweep()
-            if len(self.bins) == before:
+            if (len(self.bins), self.exchanges) == before:
                 return
 
     def _sweep(self) -> None:
         cap, sizes, bins, fill = self.capacity, self.sizes, self.bins, self.fill
         where: list[dict[int, int]] = [{} for _ in range(cap + 1)]  # size -> item -> bin, of bins still to come
         mask = 0
-        todo = sorted((b for b in range(len(bins)) if fill[b] < cap), key=lambda b: fill[b])
+        todo = sorted((b for b in range(len(bins)) if fill[b] < cap), key=lambda b: (max(sizes[i] for i in bins[b]), fill[b]))
         for b in todo:
             for item in bins[b]:
                 where[sizes[item]][item] = b
@@ -162,10 +150,15 @@ class Bins:
             if not where[sizes[item]]:
                 mask &= ~(1 << sizes[item])
 
-        def largest(low: int, high: int) -> int:
-            """The largest size in use above low and up to high, else 0."""
-            found = (mask & ((1 << (high + 1)) - 1)) >> (low + 1)
-            return low + found.bit_length() if found else 0
+        def largest(low: int, high: int, most: int) -> tuple[int, int]:
+            """The largest item above low and up to high, and its size, whose bin holds less than `most` and what it gains; else size 0."""
+            usable = mask & ((1 << (high + 1)) - 1)
+            while size := usable.bit_length() - 1 if usable >> (low + 1) else 0:
+                for item, b in where[size].items():
+                    if fill[b] < most + size - low:
+                        return size, item
+                usable ^= 1 << size
+            return 0, -1
 
         while todo:
             a = todo.pop()
@@ -175,23 +168,22 @@ class Bins:
                 out(item)
             while space := cap - fill[a]:
                 give: tuple[int, ...] = ()
-                take = largest(0, space)
-                gain = take
-                if not take:
+                gain, item = largest(0, space, fill[a])
+                if not gain:
                     own: dict[int, list[int]] = {}
                     for i in bins[a]:
                         own.setdefault(sizes[i], []).append(i)
-                    for x, same in own.items():
-                        y = largest(x, min(cap, x + space))
-                        if y - x > gain:
-                            gain, take, give = y - x, y, (same[-1],)
-                    if gain < space:
-                        two = self._two(own, space, gain, largest)
-                        if two:
-                            gain, take, give = two
+                    known = sorted(own)
+                    sums = [(x, (own[x][-1],)) for x in known]
+                    sums += [(x + y, (own[x][-1], own[y][-1 if y > x else -2])) for k, x in enumerate(known) for y in known[k if len(own[x]) > 1 else k + 1 :]]
+                    for x, items in sums:
+                        if gain < space and x + gain < cap:
+                            size, found = largest(x + gain, min(cap, x + space), fill[a] + gain)
+                            if size:
+                                gain, item, give = size - x, found, items
                 if not gain:
                     break
-                item, b = next(iter(where[take].items()))
+                b = where[sizes[item]][item]
                 out(item)
                 bins[b].remove(item)
                 bins[a].append(item)
@@ -202,21 +194,10 @@ class Bins:
                     mask |= 1 << sizes[i]
                 fill[a] += gain
                 fill[b] -= gain
+                self.exchanges += 1
         keep = [b for b in range(len(bins)) if bins[b]]
         self.bins, self.fill = [bins[b] for b in keep], [fill[b] for b in keep]
 
-    def _two(self, own: dict[int, list[int]], space: int, gain: int, largest) -> tuple[int, int, tuple[int, int]] | None:
-        best = None
-        known = sorted(own)
-        for k, x in enumerate(known):
-            for y in known[k if len(own[x]) > 1 else k + 1 :]:
-                if x + y >= self.capacity:
-                    break
-                z = largest(x + y, min(self.capacity, x + y + space))
-                if z - x - y > gain:
-                    gain, best = z - x - y, (z - x - y, z, (own[x][-1], own[y][-1 if y > x else -2]))
-        return best
-
 
 def pack_sizes(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
     """Per item: its bin's number and its offset there. Items that fill a bin have one each."""
