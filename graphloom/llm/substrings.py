@@ -3,14 +3,16 @@
 1. Every window (string of `length` bytes) has an anchor: the gram of least hash in it, the leftmost of
    equal ones. Equal windows have equal anchors at equal offsets, so windows whose anchor's gram stands
    nowhere else can't be repeated. Windows in a row with one anchor are a run; its bytes are its context.
-2. Keys of runs are dealt out by their gram. Each different context goes on once, under its first place,
-   and its other places are repeated whole. Grams with one context are done; the others' contexts are
-   read from the texts and dealt out to shards by the gram.
+2. Keys of runs are dealt out by their gram, only to tell which grams stand in several places. The bytes of
+   all contexts of those grams are read from the texts and dealt out to shards by the gram.
 3. A shard builds a suffix array of its contexts by Larsson-Sadakane refinement and common prefixes by
    Kasai's bound; neighbours that share `length` bytes are equal windows, of which all but the first are
-   repeated. A task's shards of bounded size are merged by binary search in their sorted windows.
-4. A gram that many documents have (a sample of them tells which, and only where its runs go depends on
-   it) is dealt to many shards by its contexts; these shards' first windows are merged across tasks.
+   repeated.
+4. A gram of many places is dealt to several shards by the place. The first windows of these shards go on
+   by a hash of their bytes and are merged by binary search in sorted bytes.
+
+Hashes only decide what meets where; what is equal is decided by bytes. (Contexts of one batch that have
+equal hashes are compared byte by byte, and the later ones go no further.)
 """
 
 from __future__ import annotations
@@ -22,6 +24,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -31,6 +34,10 @@ from .common import in_arrow, pieces
 LENGTH, GRAM = 100, 32
 #: Bytes of text that one shard's suffix array takes.
 SHARD_BYTES = 1 << 20
+#: Longer texts are searched in slices of so many bytes.
+SLICE_BYTES = 4 << 20
+#: Places of one gram that lie in one shard.
+SHARD_PLACES = 4_000
 _PLACE = np.uint64((1 << 28) - 1)
 _BASE = 0x9E3779B97F4A7C15
 
@@ -61,10 +68,9 @@ class Runs:
     def __init__(self, texts: list[bytes], length: int = LENGTH, gram: int = GRAM):
         sizes = np.array([len(t) for t in texts], np.int64)
         self.starts = np.cumsum(sizes) - sizes
-        raw = np.frombuffer(b"".join(texts), np.uint8)
+        self.raw = raw = np.frombuffer(b"".join(texts), np.uint8)
         n, self.length = len(raw), length
-        if n > int(_PLACE):
-            raise ValueError("a batch of texts, or a text, of over 256 MB")
+        assert n <= int(_PLACE)  # long texts come in slices
         if n < length or not (sizes >= length).any():
             self.text = self.first = self.last = self.gram = np.zeros(0, np.int64)
             self.key = np.zeros(0, np.uint64)
@@ -100,6 +106,29 @@ class Runs:
         return _mix(bytes_key + (e - s).astype(np.uint64) * np.uint64(0x94D049BB133111EB) + self.gram[rows].astype(np.uint64) * np.uint64(0xBF58476D1CE4E5B9))
 
 
+    def same_bytes(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Whether the runs a and b have the same context, byte by byte."""
+        word = _words(self.raw)
+        at = lambda rows: self.starts[self.text[rows]] + self.first[rows]
+        x, y = at(a), at(b)
+        n = self.last[a] - self.first[a] + self.length
+        same = (n == self.last[b] - self.first[b] + self.length) & (self.gram[a] == self.gram[b])
+        for k in range(0, int(n.max()) if len(n) else 0, 8):
+            step = np.minimum(k, n - 8)  # the last 8 bytes again where fewer are left
+            same &= word[x + step] == word[y + np.minimum(step, self.last[b] - self.first[b] + self.length - 8)]
+        return same
+
+
+def _words(text: np.ndarray) -> np.ndarray:
+    """The 8 bytes at each position as one number, highest first; zeros beyond the end."""
+    n = len(text)
+    padded = np.concatenate([text, np.zeros(8, np.uint8)]).astype(np.uint64)
+    word = np.zeros(n, np.uint64)
+    for k in range(8):
+        word |= padded[k : n + k] << np.uint64(56 - 8 * k)
+    return word
+
+
 def suffix_array(text: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Positions of text sorted by their next `depth` bytes or more; whether each is equal to the one
     before in all these; and 8-byte words at all positions.
@@ -108,10 +137,7 @@ def suffix_array(text: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray,
     by their group and the group of the position h on, which sorts them by 2h bytes.
     """
     n = len(text)
-    padded = np.concatenate([text, np.zeros(8, np.uint8)]).astype(np.uint64)
-    word = np.zeros(n, np.uint64)
-    for k in range(8):
-        word |= padded[k : n + k] << np.uint64(56 - 8 * k)
+    word = _words(text)
     order = np.argsort(word)
     new = np.append(True, word[order][1:] != word[order][:-1])
     group = np.empty(n + 1, np.int64)
@@ -208,47 +234,31 @@ class Contexts:
         later = (doc[by] != doc[lead]) | (at[by] != at[lead])
         return context[by[later]], window[by[later]], (context[firsts], window[firsts])
 
-    def bytes_of(self, context: np.ndarray, window: np.ndarray) -> np.ndarray:
-        """Windows' bytes, with a mark behind them, since zero bytes at the end don't count in comparisons."""
-        n = self.length
-        out = [self.raws[c][w : w + n] + b"\1" for c, w in zip(context.tolist(), window.tolist(), strict=True)]
-        return np.array(out, f"S{n + 1}")
-
 
-def merge_shards(shards: list[Contexts], alone: list | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Per shard its repeated windows (context, window), those repeated in other shards too.
-
-    Shards come by their documents' order. The first windows of all shards so far are one sorted array;
-    a shard's own are looked up there by binary search, found ones are repeated, the others join it.
-    """
-    known: np.ndarray | None = None
-    place: tuple[np.ndarray, np.ndarray] | None = None
-    found: list[list[tuple[np.ndarray, np.ndarray]]] = []
-    owner: np.ndarray | None = None
-    for k, shard in enumerate(shards):
-        context, window, (c, w) = alone[k] if alone else shard.repeated()
-        found.append([(context, window)])
-        keys, doc, at = shard.bytes_of(c, w), shard.doc[c], shard.first[c] + w
-        mine = np.stack([np.full(len(c), k), c, w], 1)
-        if known is None:
-            known, place, owner = keys, (doc, at), mine
-            continue
-        spot = np.searchsorted(known, keys)
-        near = np.minimum(spot, len(known) - 1)
-        hit = known[near] == keys
-        other_doc, other_at = place[0][near[hit]], place[1][near[hit]]
-        same = (other_doc == doc[hit]) & (other_at == at[hit])
-        earlier = (other_doc < doc[hit]) | ((other_doc == doc[hit]) & (other_at < at[hit]))
-        found[k].append((c[hit][earlier], w[hit][earlier]))
-        turned = near[hit][~earlier & ~same]  # this shard's window is the earlier one
-        for j in set(owner[turned, 0].tolist()):
-            rows = owner[turned][owner[turned, 0] == j]
-            found[j].append((rows[:, 1], rows[:, 2]))
-        place[0][turned], place[1][turned], owner[turned] = doc[hit][~earlier & ~same], at[hit][~earlier & ~same], mine[hit][~earlier & ~same]
-        known = np.insert(known, spot[~hit], keys[~hit])
-        place = (np.insert(place[0], spot[~hit], doc[~hit]), np.insert(place[1], spot[~hit], at[~hit]))
-        owner = np.insert(owner, spot[~hit], mine[~hit], axis=0)
-    return [tuple(np.concatenate(x) for x in zip(*f, strict=True)) for f in found]
+class FirstPlaces:
+    """The windows met so far by their sorted bytes, each with its first place; rows come in any order."""
+
+    def __init__(self) -> None:
+        self.keys: np.ndarray | None = None
+        self.places = np.zeros((0, 3), np.int64)  # document, hash of the text, window
+
+    def merge(self, keys: np.ndarray, places: np.ndarray) -> np.ndarray:
+        """Places that turn out to be repeated when these windows (sorted, each once) are looked up by binary search."""
+        if self.keys is None:
+            self.keys, self.places = keys, places
+            return places[:0]
+        spot = np.searchsorted(self.keys, keys)
+        near = np.minimum(spot, len(self.keys) - 1)
+        hit = self.keys[near] == keys
+        at, own = near[hit], places[hit]
+        old = self.places[at]
+        same = (old[:, 0] == own[:, 0]) & (old[:, 2] == own[:, 2])
+        turned = (own[:, 0] < old[:, 0]) | ((own[:, 0] == old[:, 0]) & (own[:, 2] < old[:, 2]))
+        self.places[at[turned]] = own[turned]
+        fresh = ~hit
+        self.keys = np.insert(self.keys, spot[fresh], keys[fresh])
+        self.places = np.insert(self.places, spot[fresh], places[fresh], axis=0)
+        return np.concatenate([own[~same & ~turned], old[turned]])
 
 
 def _spans(first: np.ndarray, last: np.ndarray, length: int) -> tuple[list[int], list[int]]:
@@ -260,7 +270,7 @@ def _spans(first: np.ndarray, last: np.ndarray, length: int) -> tuple[list[int],
 
 
 #: A place in one number: bits of the text's hash, the first window, and how many windows follow it in its run.
-_TEXT_BITS, _FIRST_BITS, _MORE_BITS = 27, 28, 8
+_TEXT_BITS, _FIRST_BITS, _MORE_BITS = 24, 31, 8
 
 
 def _place(text: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
@@ -278,84 +288,111 @@ def _differ(*cols: np.ndarray) -> np.ndarray:
     return np.append(True, np.logical_or.reduce([c[1:] != c[:-1] for c in cols]))
 
 
-def _later(key: np.ndarray, context: np.ndarray, doc: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(order, lead, later): rows by key, context and place in the corpus; the first of each context; and
-    rows whose place comes behind it (not the same place again)."""
-    order = np.lexsort((place, _first(place), doc, context, key))
-    key, context, doc, first = key[order], context[order], doc[order], _first(place)[order]
-    lead = _differ(key, context)
-    leader = np.flatnonzero(lead)[np.cumsum(lead) - 1] if len(order) else order
-    return order, lead, (doc != doc[leader]) | (first != first[leader])
+def _sliced(part: pa.RecordBatch, length: int, most: int) -> Iterator[tuple[list[int], np.ndarray, list[bytes]]]:
+    """(rows, starts, bytes) of the texts in lists of bounded size: long texts in slices that share no window."""
+    texts = part.column("text").to_pylist()
+    short = [i for i, t in enumerate(texts) if len(t) <= most]
+    if short:
+        yield short, np.zeros(len(short), np.int64), [texts[i] for i in short]
+    for i, t in enumerate(texts):
+        for s in range(0, len(t) - length + 1, most) if len(t) > most else ():
+            yield [i], np.array([s]), [t[s : s + most + length - 1]]
+
+
+def _part(doc: np.ndarray, place: np.ndarray, parts: np.ndarray) -> np.ndarray:
+    """One of so many parts for each place, by a hash."""
+    return _mix(_mix(doc.view(np.uint64) + np.uint64(_BASE)) + place.view(np.uint64)) % parts.astype(np.uint64)
+
 
+def _salted(key: np.ndarray, part: np.ndarray) -> np.ndarray:
+    return _mix(key.view(np.uint64) + _mix(part + np.uint64(1))).view(np.int64)
 
-def _runs_of(length: int, gram: int, hot=None):
-    """Batches of texts to their runs (key, context, doc, place, state); a context's later places in a batch are done.
 
-    A hot gram's key is split by the context into as many as its entry in `hot` (keys, parts) says.
+def _runs_of(length: int, gram: int, hot=None, slice_bytes: int = SLICE_BYTES):
+    """Batches of texts to their runs (key, doc, place, state); a context's later places in a batch are done.
+
+    A hot gram's key is split by the place into as many as its entry in `hot` (keys, parts) says.
     """
 
     def run(batch: pa.RecordBatch):
         known, parts = hot.value if hot else (np.zeros(0, np.int64), np.zeros(0, np.uint64))
         for part in pieces(batch, "text", 1 << 20):
-            runs = Runs(part.column("text").to_pylist(), length, gram)
-            doc, text = (part.column(c).to_numpy()[runs.text] for c in ("doc", "hash"))
-            place = _place(text, runs.first, runs.last)
-            key, context = runs.key.view(np.int64), runs.contexts(np.arange(len(runs.key))).view(np.int64)
-            state = np.zeros(len(key), np.int32)
-            if len(known) and len(key):
-                at = np.minimum(np.searchsorted(known, key), len(known) - 1)
-                rows = np.flatnonzero(known[at] == key)
-                key = key.copy()
-                key[rows] = _mix(runs.key[rows] + _mix(context[rows].view(np.uint64) % parts[at[rows]])).view(np.int64)
-                state[rows] = _HOT
-            order, lead, later = _later(key, context, doc, place)
-            keep = np.zeros(len(order), bool)
-            keep[order] = lead | later
-            state[order[later]] = _DONE
-            done = state == _DONE
-            key = np.where(done, doc, key)  # spread out; only runs that aren't done are compared
-            yield pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in (key, np.where(done, 0, context), doc, place, state)], names=["key", "context", "doc", "place", "state"])
+            for rows, starts, raws in _sliced(part, length, slice_bytes):
+                runs = Runs(raws, length, gram)
+                if not len(runs.key):
+                    continue
+                doc, text = (part.column(c).to_numpy()[np.array(rows)][runs.text] for c in ("doc", "hash"))
+                first = runs.first + starts[runs.text]
+                place = _place(text, first, runs.last + starts[runs.text])
+                key, context = runs.key.view(np.int64), runs.contexts(np.arange(len(runs.key)))
+                state = np.zeros(len(key), np.int32)
+                if len(known):
+                    at = np.minimum(np.searchsorted(known, key), len(known) - 1)
+                    some = np.flatnonzero(known[at] == key)
+                    key = key.copy()
+                    key[some] = _salted(key[some], _part(doc[some], place[some], parts[at[some]]))
+                    state[some] = _HOT
+                order = np.lexsort((place, first, doc, context))
+                lead = order[np.maximum.accumulate(np.where(_differ(context[order]), np.arange(len(order)), 0))]
+                later = (doc[order] != doc[lead]) | (first[order] != first[lead])
+                order, lead = order[later], lead[later]
+                state[order[runs.same_bytes(lead, order)]] = _DONE
+                key = np.where(state == _DONE, doc, key)  # spread out; only runs that aren't done are compared
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in (key, doc, place, state)], names=["key", "doc", "place", "state"])
 
     return run
 
 
-def _hot_grams(rows: DataFrame, length: int, gram: int, one_in: int = 32, least: int = 8, per_shard: int = 500) -> tuple[np.ndarray, np.ndarray]:
-    """Keys of grams in more than a 512th of a sample of documents (and `least` of them), and into how many
-    shards each is split. There can't be more of them than runs in 512 documents."""
+def _hot_grams(rows: DataFrame, length: int, gram: int, one_in: int = 32, least: int = 8, per_shard: int = SHARD_PLACES) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of grams in more than a 512th of a sample of documents (and `least` of them) that need several
+    shards, and how many. There can't be more of them than runs in 512 documents."""
     sample = rows.where(F.pmod(F.xxhash64("doc", "hash"), F.lit(one_in)) == 0)
 
     def keys(batch: pa.RecordBatch):
         for part in pieces(batch, "text", 1 << 20):
-            runs = Runs(part.column("text").to_pylist(), length, gram)
-            pairs = np.unique(np.stack([runs.key.view(np.int64), runs.text], 1), axis=0)
-            key, n = np.unique(pairs[:, 0], return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(n)], names=["key", "n"])
+            for _, _, raws in _sliced(part, length, SLICE_BYTES):
+                runs = Runs(raws, length, gram)
+                pairs = np.unique(np.stack([runs.key.view(np.int64), runs.text], 1), axis=0)
+                key, n = np.unique(pairs[:, 0], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(n)], names=["key", "n"])
 
     n_docs = sample.count()
     found = in_arrow(sample, "key long, n long", keys).groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= max(least, n_docs // 512)).collect()
-    found = sorted((r["key"], r["n"]) for r in found)
-    return np.array([k for k, _ in found], np.int64), np.array([-(-n * one_in // per_shard) for _, n in found], np.uint64)
-
-
-def _look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """All runs of the partition's grams: places that are repeated whole, and first places of contexts to compare."""
-    held = [b for b in batches if b.num_rows]
-    if not held:
-        return
-    table = pa.Table.from_batches(held)
-    cols = {c: table.column(c).to_numpy() for c in table.column_names}
-    known = cols["state"] == _DONE
-    rows = np.flatnonzero(~known)
-    order, lead, later = _later(*(cols[c][rows] for c in ("key", "context", "doc", "place")))
-    key = cols["key"][rows][order]
-    group = np.cumsum(_differ(key)) - 1
-    several = np.bincount(group, lead)[group] > 1 if len(group) else lead
-    again, ask = rows[order[later]], rows[order[lead & (several | (cols["state"][rows][order] == _HOT))]]
-    pick = np.concatenate([np.flatnonzero(known), again, ask])
-    state = np.append(np.full(len(pick) - len(ask), _DONE, np.int32), cols["state"][ask])
-    bits = _FIRST_BITS + _MORE_BITS
-    out = [cols["doc"][pick], cols["place"][pick] >> bits, cols["place"][pick] & ((1 << bits) - 1), np.where(state == _DONE, 0, cols["key"][pick]), state]
-    yield from pa.Table.from_arrays([pa.array(c) for c in out], names=["doc", "hash", "place", "key", "state"]).to_batches(max_chunksize=50_000)
+    found = sorted((r["key"], -(-r["n"] * one_in // per_shard)) for r in found)
+    found = [(k, n) for k, n in found if n > 1]
+    return np.array([k for k, _ in found], np.int64), np.array([n for _, n in found], np.uint64)
+
+
+def _look(per_shard: int):
+    """All runs of the partition's grams: those of grams in several places, to be compared; and what is done already.
+
+    A gram of more than per_shard places is split by the place, so that what a shard holds is bounded.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [b for b in batches if b.num_rows]
+        if not held:
+            return
+        table = pa.Table.from_batches(held)
+        cols = {c: table.column(c).to_numpy() for c in table.column_names}
+        known = np.flatnonzero(cols["state"] == _DONE)
+        rows = np.flatnonzero(cols["state"] != _DONE)
+        rows = rows[np.lexsort((cols["place"][rows], cols["doc"][rows], cols["key"][rows]))]
+        rows = rows[_differ(*(cols[c][rows] for c in ("key", "doc", "place")))]  # rows of equal id and text are one document
+        key, state = cols["key"][rows], cols["state"][rows]
+        group = np.cumsum(_differ(key)) - 1
+        n = np.bincount(group)[group] if len(group) else group
+        several = (n > 1) | (state == _HOT)
+        rows, key, state, n = rows[several], key[several], state[several], n[several]
+        many = (n > per_shard) & (state != _HOT)
+        key = np.where(many, _salted(key, _part(cols["doc"][rows], cols["place"][rows], np.maximum(1, -(-n // per_shard)))), key)
+        pick = np.concatenate([known, rows])
+        state = np.concatenate([np.full(len(known), _DONE, np.int32), np.where(many, np.int32(_HOT), state)])
+        bits = _FIRST_BITS + _MORE_BITS
+        out = [cols["doc"][pick], cols["place"][pick] >> bits, cols["place"][pick] & ((1 << bits) - 1), np.concatenate([np.zeros(len(known), np.int64), key]), state]
+        yield from pa.Table.from_arrays([pa.array(c) for c in out], names=["doc", "hash", "place", "key", "state"]).to_batches(max_chunksize=50_000)
+
+    return run
 
 
 #: States of a run: to be compared, repeated whole, to be compared across shards too.
@@ -363,14 +400,13 @@ _DONE, _HOT = 1, 2
 _SPANS = "array<struct<start: long, end: long>>"
 _SPANS_TYPE = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 _DEALT = "route long, doc long, hash long, first long, last long, hot boolean, raw binary"
-#: Windows that are repeated (by their document), or first in their shard and hot (by 16 bytes of a digest).
-_SEEN = "route long, low long, doc long, hash long, first long, last long, hot boolean"
+#: Windows that are repeated (by their document, no bytes), or first in their shard and hot (by a hash of their bytes).
+_SEEN = "route long, doc long, hash long, first long, last long, raw binary"
 
 
-def _seen(doc, text, first, last, route=None, low=None) -> pa.RecordBatch:
-    hot = np.full(len(doc), route is not None)
-    cols = (doc if route is None else route, np.zeros(len(doc), np.int64) if low is None else low, doc, text, first, last, hot)
-    return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["route", "low", "doc", "hash", "first", "last", "hot"])
+def _seen(doc, text, first, last, route=None, raw=None) -> pa.RecordBatch:
+    cols = [pa.array(c) for c in (doc if route is None else route, doc, text, first, last)]
+    return pa.RecordBatch.from_arrays([*cols, pa.array(raw, pa.binary()) if raw is not None else pa.nulls(len(doc), pa.binary())], names=["route", "doc", "hash", "first", "last", "raw"])
 
 
 def _fetch(length: int):
@@ -414,53 +450,54 @@ def _shards(length: int, shard_bytes: int):
             cut = int(np.searchsorted(route, route[0], side="right")) if last_route == route[0] else 0
             if size >= shard_bytes and cut < batch.num_rows:
                 held.append(batch.slice(0, cut))
-                yield from _search(pa.Table.from_batches(held), length, shard_bytes)
+                yield from _search(pa.Table.from_batches(held), length)
                 held, size, batch = [], 0, batch.slice(cut)
             held.append(batch)
             size += batch.column("raw").nbytes
             last_route = batch.column("route")[-1].as_py()
         if held:
-            yield from _search(pa.Table.from_batches(held), length, shard_bytes)
+            yield from _search(pa.Table.from_batches(held), length)
 
     return run
 
 
 def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Hot first windows of several shards: sorted by digest and place, each is looked up by binary search;
-    all but the first of equal ones are repeated. Other rows go on as they are."""
-    names, held = ["doc", "hash", "first", "last"], []
+    """Hot first windows of many shards, merged by binary search in sorted bytes: all but the first place of
+    equal ones are repeated. Other rows go on as they are. Only different windows are held."""
+    names, known = ["doc", "hash", "first", "last"], FirstPlaces()
     for batch in batches:
-        hot = batch.column("hot")
+        hot = batch.column("raw").is_valid()
         yield batch.filter(pc.invert(hot)).select(names)
-        if (some := batch.filter(hot)).num_rows:
-            held.append(some)
-    if not held:
-        return
-    table = pa.Table.from_batches(held)
-    cols = {c: table.column(c).to_numpy() for c in table.column_names}
-    order = np.lexsort((cols["first"], cols["doc"], cols["low"], cols["route"]))
-    fresh = np.flatnonzero(_differ(cols["route"][order], cols["low"][order]))
-    lead = order[fresh[np.searchsorted(fresh, np.arange(len(order)), side="right") - 1]]
-    again = order[(cols["doc"][order] != cols["doc"][lead]) | (cols["first"][order] != cols["first"][lead])]
-    yield pa.RecordBatch.from_arrays([pa.array(cols[c][again]) for c in names], names=names)
-
-
-def repeated_spans(rows: DataFrame, packed: DataFrame, length: int = LENGTH, gram: int = GRAM, shard_bytes: int = SHARD_BYTES, hot_least: int = 8) -> DataFrame:
+        some = batch.filter(hot)
+        if not some.num_rows:
+            continue
+        keys = np.array([r + b"\1" for r in some.column("raw").to_pylist()])
+        places = np.stack([some.column(c).to_numpy() for c in ("doc", "hash", "first")], 1)
+        order = np.lexsort((places[:, 2], places[:, 0], keys))
+        keys, places = keys[order], places[order]
+        fresh = np.append(True, keys[1:] != keys[:-1])
+        lead = places[np.maximum.accumulate(np.where(fresh, np.arange(len(keys)), 0))]
+        again = (places[:, 0] != lead[:, 0]) | (places[:, 2] != lead[:, 2])
+        again = np.concatenate([places[again], known.merge(keys[fresh], places[fresh])])
+        yield pa.RecordBatch.from_arrays([pa.array(again[:, k]) for k in (0, 1, 2, 2)], names=names)
+
+
+def repeated_spans(rows: DataFrame, packed: DataFrame, length: int = LENGTH, gram: int = GRAM, shard_bytes: int = SHARD_BYTES, hot_least: int = 8, per_shard: int = SHARD_PLACES, slice_bytes: int = SLICE_BYTES) -> DataFrame:
     """(doc, hash, spans) of the rows (doc, hash, text binary) with repeated windows; spans [start, end) in bytes.
 
-    doc orders the documents; hash (27 bits of the text) tells texts with one doc apart. packed has the
+    doc orders the documents; hash (24 bits of the text) tells texts with one doc apart. packed has the
     same rows with the text compressed, to be read again.
     """
     spark = rows.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = rows.select("doc", "hash", "text")
-    hot = spark.sparkContext.broadcast(_hot_grams(rows, length, gram, least=hot_least))
-    runs = in_arrow(rows, "key long, context long, doc long, place long, state int", _runs_of(length, gram, hot))
-    looked = runs.repartition(n, "key").mapInArrow(_look, "doc long, hash long, place long, key long, state int")
+    hot = spark.sparkContext.broadcast(_hot_grams(rows, length, gram, least=hot_least, per_shard=per_shard))
+    runs = in_arrow(rows, "key long, doc long, place long, state int", _runs_of(length, gram, hot, slice_bytes))
+    looked = runs.repartition(n, "key").mapInArrow(_look(per_shard), "doc long, hash long, place long, key long, state int")
     wanted = looked.groupBy("doc", "hash").agg(F.collect_list(F.struct("place", "key", "state")).alias("runs"))
     dealt = in_arrow(packed.join(wanted, ["doc", "hash"]), _DEALT, _fetch(length))
     found = dealt.repartition(n, "route").sortWithinPartitions("route").mapInArrow(_shards(length, shard_bytes), _SEEN)
-    found = found.repartition(n, "route", "low").mapInArrow(_across, "doc long, hash long, first long, last long")
+    found = found.repartition(n, "route").mapInArrow(_across, "doc long, hash long, first long, last long")
     by = found.groupBy("doc", "hash").agg(F.collect_list(F.struct("first", "last")).alias("runs"))
 
     def spans(batch: pa.RecordBatch):
@@ -473,48 +510,36 @@ def repeated_spans(rows: DataFrame, packed: DataFrame, length: int = LENGTH, gra
     return in_arrow(by, f"doc long, hash long, spans {_SPANS}", spans)
 
 
-def _search(table: pa.Table, length: int, shard_bytes: int) -> Iterator[pa.RecordBatch]:
-    """Repeated windows among the contexts of several grams, in shards of bounded size."""
-    raws = table.column("raw").to_pylist()
-    doc, text, first = (table.column(c).to_numpy() for c in ("doc", "hash", "first"))
-    cuts, held = [0], 0
-    for i, r in enumerate(raws):
-        if held and held + len(r) > 2 * shard_bytes:
-            cuts.append(i)
-            held = 0
-        held += len(r)
-    cuts.append(len(raws))
-    shards = [Contexts(raws[s:e], doc[s:e], first[s:e], length) for s, e in zip(cuts, cuts[1:])]
-    alone = [s.repeated() for s in shards]
-    hot = np.array(table.column("hot").to_pylist(), bool)
-    for (_, _, (context, window)), s in zip(alone, cuts, strict=False):
-        rows = s + context
-        some = np.flatnonzero(hot[rows])
-        if len(some):
-            marks = [hashlib.blake2b(raws[r][w : w + length], digest_size=16).digest() for r, w in zip(rows[some].tolist(), window[some].tolist(), strict=True)]
-            marks, rows, at = np.frombuffer(b"".join(marks), np.int64).reshape(-1, 2), rows[some], first[rows[some]] + window[some]
-            yield _seen(doc[rows], text[rows], at, at, marks[:, 0], marks[:, 1])
-    found = merge_shards(shards, alone) if len(shards) > 1 else [alone[0][:2]]
-    for (context, window), s in zip(found, cuts, strict=False):
-        if not len(context):
-            continue
-        at = first[s + context] + window
+def _search(table: pa.Table, length: int) -> Iterator[pa.RecordBatch]:
+    """Repeated windows among the contexts of several grams; first windows of hot ones, with their bytes."""
+    doc, text, first, hot = (table.column(c).to_numpy() for c in ("doc", "hash", "first", "hot"))
+    shard = Contexts(table.column("raw").to_pylist(), doc, first, length)
+    context, window, (lead, lead_window) = shard.repeated()
+    some = np.flatnonzero(hot[lead])
+    for k in range(0, len(some), 10_000):
+        rows, windows = lead[some[k : k + 10_000]], lead_window[some[k : k + 10_000]]
+        raw = [shard.raws[r][w : w + length] for r, w in zip(rows.tolist(), windows.tolist(), strict=True)]
+        route = np.array([xxhash.xxh64_intdigest(r) for r in raw], np.uint64).view(np.int64)
+        at = first[rows] + windows
+        yield _seen(doc[rows], text[rows], at, at, route, raw)
+    if len(context):
+        at = first[context] + window
         by = np.lexsort((at, context))
         context, at = context[by], at[by]
-        start = np.append(True, (context[1:] != context[:-1]) | (at[1:] > at[:-1] + 1))
-        head = np.flatnonzero(start)
+        head = np.flatnonzero(np.append(True, (context[1:] != context[:-1]) | (at[1:] > at[:-1] + 1)))
         last = at[np.append(head[1:], len(at)) - 1]
-        rows = s + context[head]
+        rows = context[head]
         yield _seen(doc[rows], text[rows], at[head], last)
 
 
-def dedup(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", shard_bytes: int = SHARD_BYTES, hot_least: int = 8) -> DataFrame:
+def dedup(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", shard_bytes: int = SHARD_BYTES, hot_least: int = 8, per_shard: int = SHARD_PLACES, slice_bytes: int = SLICE_BYTES) -> DataFrame:
     """(id, text binary, spans, kept binary): the bytes of each text, the repeated spans, and what is left.
 
     A byte goes if a string of `length` bytes covers it that also starts earlier: in a document with a
     smaller id (a null id is smaller than all), or earlier in the same one. Null text is empty. Rows
     with equal id and text are one document, and each has its result; rows with equal ids and different
-    texts are told apart by 27 bits of the texts' hashes and are ordered by place only.
+    texts are told apart by 24 bits of the texts' hashes and are ordered by place only. Long texts are
+    searched in slices, so that only the bytes of one text have to fit into a task.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.encode(F.coalesce(F.col(text_col), F.lit("")), "UTF-8").alias("text"))
     rows = rows.withColumns({"doc": F.coalesce(F.col("id").cast("long"), F.lit(-(1 << 63))), "hash": F.xxhash64("text").bitwiseAND(F.lit((1 << _TEXT_BITS) - 1))})
@@ -526,7 +551,7 @@ def dedup(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_co
 
     kind = dict(docs.dtypes)[id_col]
     packed = in_arrow(rows.select("id", "doc", "hash", "text"), f"id {kind}, doc long not null, hash long not null, packed binary not null", pack)
-    found = repeated_spans(rows, packed, length, shard_bytes=shard_bytes, hot_least=hot_least)
+    found = repeated_spans(rows, packed, length, shard_bytes=shard_bytes, hot_least=hot_least, per_shard=per_shard, slice_bytes=slice_bytes)
     joined = packed.join(found, ["doc", "hash"], "left").select("id", "packed", "spans")
 
     def cut(batch: pa.RecordBatch):

@@ -55,14 +55,14 @@ def test_dedup_equals_brute_force(spark):
     assert got == plain_dedup(docs, 100)
 
 
-@pytest.mark.parametrize("shard_bytes,hot_least", [(2_000, 10_000), (1 << 20, 10_000), (2_000, 1)])
-def test_dedup_of_repetitive_texts(spark, shard_bytes, hot_least, monkeypatch):
+@pytest.mark.parametrize("shard_bytes,hot_least,per_shard,slices", [(2_000, 10_000, 4_000, 1 << 20), (1 << 20, 10_000, 3, 150), (2_000, 1, 5, 1 << 20), (2_000, 1, 50, 90)])
+def test_dedup_of_repetitive_texts(spark, shard_bytes, hot_least, per_shard, slices, monkeypatch):
     r = random.Random(6)
     parts = ["".join(r.choice("ab ") for _ in range(r.randint(90, 300))) for _ in range(5)]
     docs = [(i, None if i == 3 else "".join(r.choice("abcdé") for _ in range(r.randint(0, 80))) + r.choice(parts) + "x" * r.choice([0, 0, 150, 400]) + r.choice(parts)[: r.randint(0, 200)]) for i in range(80)]
     sampled = substrings._hot_grams
-    monkeypatch.setattr(substrings, "_hot_grams", lambda *a, **k: sampled(*a, **k, one_in=2, per_shard=5))
-    found = substrings.dedup(spark.createDataFrame(docs, "doc_id long, text string").repartition(5), shard_bytes=shard_bytes, hot_least=hot_least)
+    monkeypatch.setattr(substrings, "_hot_grams", lambda *a, **k: sampled(*a, **k, one_in=2))
+    found = substrings.dedup(spark.createDataFrame(docs, "doc_id long, text string").repartition(5), shard_bytes=shard_bytes, hot_least=hot_least, per_shard=per_shard, slice_bytes=slices)
     got = {x["id"]: (len(x["text"]), len(x["text"]) - len(x["kept"]), len(x["spans"] or []), hashlib.sha256(x["kept"]).hexdigest()) for x in found.collect()}
     assert got == plain_dedup(docs, 100)
 
@@ -100,7 +100,12 @@ def test_shards_merge_as_one():
         raws = [word(0, 10) + base[int(rng.integers(3))] + word(0, 10) for _ in range(12)]
         doc = rng.permutation(12)
         shards = [substrings.Contexts(raws[i : i + 4], doc[i : i + 4], np.zeros(4, np.int64), 20) for i in (0, 4, 8)]
-        got = {(int(s.doc[c]), int(w)) for s, (cs, ws) in zip(shards, substrings.merge_shards(shards)) for c, w in zip(cs, ws)}
+        known, got = substrings.FirstPlaces(), set()
+        for s in shards:
+            c, w, (lead, first) = s.repeated()
+            got |= set(zip(s.doc[c].tolist(), w.tolist()))
+            keys = np.array([s.raws[i][j : j + 20] + b"\1" for i, j in zip(lead, first)])
+            got |= {(d, j) for d, _, j in known.merge(keys, np.stack([s.doc[lead], s.doc[lead] * 0, first], 1)).tolist()}
         seen, want = set(), set()
         for d, j, w in sorted((int(doc[i]), j, raws[i][j : j + 20]) for i in range(12) for j in range(len(raws[i]) - 19)):
             if w in seen:
