@@ -33,7 +33,9 @@ from .common import in_arrow, pieces
 
 LENGTH, GRAM = 100, 32
 #: Bytes of text that one shard's suffix array takes.
-SHARD_BYTES = 1 << 20
+SHARD_BYTES = 1 << 19
+#: Bytes of contexts that are held at once: a bucket's, on average.
+BUCKET_BYTES = 16 << 20
 #: Longer texts are searched in slices of so many bytes.
 SLICE_BYTES = 4 << 20
 #: Places of one gram that lie in one shard.
@@ -399,7 +401,8 @@ def _look(per_shard: int):
 _DONE, _HOT = 1, 2
 _SPANS = "array<struct<start: long, end: long>>"
 _SPANS_TYPE = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-_DEALT = "route long, doc long, hash long, first long, last long, hot boolean, raw binary"
+#: Contexts and finished spans, many in a blob, by the bucket of their gram.
+_DEALT = "bucket long, blob binary"
 #: Windows that are repeated (by their document, no bytes), or first in their shard and hot (by a hash of their bytes).
 _SEEN = "route long, doc long, hash long, first long, last long, raw binary"
 
@@ -409,58 +412,128 @@ def _seen(doc, text, first, last, route=None, raw=None) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([*cols, pa.array(raw, pa.binary()) if raw is not None else pa.nulls(len(doc), pa.binary())], names=["route", "doc", "hash", "first", "last", "raw"])
 
 
-def _fetch(length: int):
-    """Texts with their runs to rows of spans that are done (raw null, first and last windows), and contexts."""
+_INTS = ("route", "doc", "hash", "first", "last", "hot", "size")
+
+
+def _blob(cols: list[np.ndarray], raws: list[bytes]) -> bytes:
+    """Rows of integers, the last of them the sizes of the rows' bytes, and these bytes, compressed."""
+    return zstandard.ZstdCompressor(level=3).compress(np.stack(cols).astype("<i8").tobytes() + b"".join(raws) + len(cols[0]).to_bytes(8, "little"))
+
+
+def _unblob(blob: bytes) -> tuple[np.ndarray, list[bytes]]:
+    data = zstandard.ZstdDecompressor().decompress(blob)
+    n = int.from_bytes(data[-8:], "little")
+    cols = np.frombuffer(data, "<i8", len(_INTS) * n).reshape(len(_INTS), n)
+    ends = (np.cumsum(cols[-1]) + cols.nbytes).tolist()
+    return cols, [data[s:e] for s, e in zip([cols.nbytes, *ends], ends)]
+
+
+def _fetch(length: int, buckets: int):
+    """Texts with their runs to blobs of contexts, and of spans that are done (without bytes)."""
 
     def run(batch: pa.RecordBatch):
         unpack = zstandard.ZstdDecompressor().decompress
         for part in pieces(batch, "packed", 2 << 20):
-            out: list[tuple] = []
-            for doc, text, packed, runs in zip(*(part.column(c).to_pylist() for c in ("doc", "hash", "packed", "runs")), strict=True):
-                place = np.array([r["place"] for r in runs], np.int64)
-                done = np.array([r["state"] == _DONE for r in runs], bool)
-                first, last = _first(place), _first(place) + (place & ((1 << _MORE_BITS) - 1))
-                if done.any():
-                    starts, ends = _spans(first[done], last[done], length)
-                    out += [(doc, doc, text, s, e - length, False, None) for s, e in zip(starts, ends, strict=True)]
-                if not done.all():
-                    raw = unpack(packed)
-                    out += [(runs[i]["key"], doc, text, int(first[i]), int(last[i]), runs[i]["state"] == _HOT, raw[first[i] : last[i] + length]) for i in np.flatnonzero(~done).tolist()]
-            kinds = [pa.int64()] * 5 + [pa.bool_(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=["route", "doc", "hash", "first", "last", "hot", "raw"])
+            counts = pc.list_value_length(part.column("runs")).to_numpy()
+            place, key, state = (c.to_numpy() for c in part.column("runs").flatten().flatten())
+            first = _first(place)
+            last = first + (place & ((1 << _MORE_BITS) - 1))
+            doc, text, packed = part.column("doc").to_numpy(), part.column("hash").to_numpy(), part.column("packed")
+            ends = np.cumsum(counts)
+            cols: list[np.ndarray] = []
+            raws: list[bytes] = []
+            for i, (s, e) in enumerate(zip((ends - counts).tolist(), ends.tolist(), strict=True)):
+                done = state[s:e] == _DONE
+                starts, stops = (np.array(x) for x in _spans(first[s:e][done], last[s:e][done], length)) if done.any() else (first[:0], first[:0])
+                live = np.flatnonzero(~done) + s
+                n, m = len(starts), len(live)
+                cols.append(np.stack([
+                    np.append(np.full(n, doc[i]), key[live]), np.full(n + m, doc[i]), np.full(n + m, text[i]), np.append(starts, first[live]),
+                    np.append(stops - length, last[live]), np.append(np.zeros(n, np.int64), state[live] == _HOT), np.append(np.zeros(n, np.int64), last[live] - first[live] + length),
+                ]))
+                raws += [b""] * n
+                if m:
+                    raw = unpack(packed[i].as_py())
+                    raws += [raw[x:y] for x, y in zip(first[live].tolist(), (last[live] + length).tolist(), strict=True)]
+            rows = np.concatenate(cols, 1)
+            bucket = (_mix(rows[0].view(np.uint64) + np.uint64(_BASE)) % np.uint64(buckets)).astype(np.int64)
+            order = np.argsort(bucket, kind="stable")
+            cuts = np.flatnonzero(_differ(bucket[order]))
+            blobs = [_blob(list(rows[:, at]), [raws[i] for i in at.tolist()]) for at in np.split(order, cuts[1:])]
+            yield pa.RecordBatch.from_arrays([pa.array(bucket[order][cuts]), pa.array(blobs, pa.binary())], names=["bucket", "blob"])
 
     return run
 
 
 def _shards(length: int, shard_bytes: int):
-    """Rows of a partition, sorted by route, to windows that are repeated, and first ones that are hot."""
+    """Blobs of a partition, sorted by bucket, to windows that are repeated, and first ones that are hot."""
+
+    def search(blobs: list[bytes]) -> Iterator[pa.RecordBatch]:
+        read = [_unblob(b) for b in blobs]
+        cols = dict(zip(_INTS, np.concatenate([c for c, _ in read], 1), strict=True))
+        raws = [r for _, rs in read for r in rs]
+        done = np.flatnonzero(cols["size"] == 0)
+        yield _seen(*(cols[c][done] for c in ("doc", "hash", "first", "last")))
+        rows = np.flatnonzero(cols["size"])
+        rows = rows[np.argsort(cols["route"][rows], kind="stable")]
+        # A shard ends between two grams.
+        size, start = np.cumsum(cols["size"][rows]), 0
+        ends = np.append(np.flatnonzero(_differ(cols["route"][rows]))[1:], len(rows))
+        for end in ends.tolist() if len(rows) else ():
+            if end == len(rows) or size[end - 1] - (size[start - 1] if start else 0) >= shard_bytes:
+                at = rows[start:end]
+                yield from _search([raws[i] for i in at.tolist()], *(cols[c][at] for c in ("doc", "hash", "first", "last", "hot")), length)
+                start = end
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        size, last_route = 0, None
+        held: list[bytes] = []
+        last = None
         for batch in batches:
-            done = batch.column("raw").is_null()
-            some = batch.filter(done)
-            yield _seen(*(some.column(c).to_numpy() for c in ("doc", "hash", "first", "last")))
-            batch = batch.filter(batch.column("raw").is_valid())
-            if not batch.num_rows:
-                continue
-            # A shard ends between two grams.
-            route = batch.column("route").to_numpy()
-            cut = int(np.searchsorted(route, route[0], side="right")) if last_route == route[0] else 0
-            if size >= shard_bytes and cut < batch.num_rows:
-                held.append(batch.slice(0, cut))
-                yield from _search(pa.Table.from_batches(held), length)
-                held, size, batch = [], 0, batch.slice(cut)
-            held.append(batch)
-            size += batch.column("raw").nbytes
-            last_route = batch.column("route")[-1].as_py()
+            for bucket, blob in zip(batch.column("bucket").to_pylist(), batch.column("blob").to_pylist(), strict=True):
+                if held and bucket != last:
+                    yield from search(held)
+                    held = []
+                held.append(blob)
+                last = bucket
         if held:
-            yield from _search(pa.Table.from_batches(held), length)
+            yield from search(held)
 
     return run
 
 
+def _search(raws: list[bytes], doc: np.ndarray, text: np.ndarray, first: np.ndarray, last: np.ndarray, hot: np.ndarray, length: int) -> Iterator[pa.RecordBatch]:
+    """Repeated windows among the contexts of several grams; first windows of hot ones, with their bytes.
+
+    Contexts are sorted by their bytes; equal ones are one string of the suffix array, which stands at the
+    first of their places, so that the windows of the others are repeated.
+    """
+    keys = np.array([r + b"\1" for r in raws])  # zero bytes at an end don't count in comparisons
+    order = np.lexsort((first, doc, keys))
+    fresh = _differ(keys[order])
+    lead = order[np.maximum.accumulate(np.where(fresh, np.arange(len(order)), 0))]
+    others = order[(doc[order] != doc[lead]) | (first[order] != first[lead])]
+    yield _seen(*(c[others] for c in (doc, text, first, last)))
+    own = order[fresh]
+    own.sort()
+    doc, text, first, hot = (c[own] for c in (doc, text, first, hot))
+    shard = Contexts([raws[i] for i in own.tolist()], doc, first, length)
+    context, window, (lead, lead_window) = shard.repeated()
+    some = np.flatnonzero(hot[lead])
+    for k in range(0, len(some), 10_000):
+        rows, windows = lead[some[k : k + 10_000]], lead_window[some[k : k + 10_000]]
+        raw = [shard.raws[r][w : w + length] for r, w in zip(rows.tolist(), windows.tolist(), strict=True)]
+        route = np.array([xxhash.xxh64_intdigest(r) for r in raw], np.uint64).view(np.int64)
+        at = first[rows] + windows
+        yield _seen(doc[rows], text[rows], at, at, route, raw)
+    if len(context):
+        at = first[context] + window
+        by = np.lexsort((at, context))
+        context, at = context[by], at[by]
+        head = np.flatnonzero(np.append(True, (context[1:] != context[:-1]) | (at[1:] > at[:-1] + 1)))
+        rows = context[head]
+        yield _seen(doc[rows], text[rows], at[head], at[np.append(head[1:], len(at)) - 1])
+
+
 def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Hot first windows of many shards, merged by binary search in sorted bytes: all but the first place of
     equal ones are repeated. Other rows go on as they are. Only different windows are held."""
@@ -495,8 +568,10 @@ def repeated_spans(rows: DataFrame, packed: DataFrame, length: int = LENGTH, gra
     runs = in_arrow(rows, "key long, doc long, place long, state int", _runs_of(length, gram, hot, slice_bytes))
     looked = runs.repartition(n, "key").mapInArrow(_look(per_shard), "doc long, hash long, place long, key long, state int")
     wanted = looked.groupBy("doc", "hash").agg(F.collect_list(F.struct("place", "key", "state")).alias("runs"))
-    dealt = in_arrow(packed.join(wanted, ["doc", "hash"]), _DEALT, _fetch(length))
-    found = dealt.repartition(n, "route").sortWithinPartitions("route").mapInArrow(_shards(length, shard_bytes), _SEEN)
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets = max(n, -(-4 * size // BUCKET_BYTES))  # contexts overlap: their bytes are up to four times the texts'
+    dealt = in_arrow(packed.join(wanted, ["doc", "hash"]), _DEALT, _fetch(length, buckets))
+    found = dealt.repartitionById(n, F.pmod("bucket", F.lit(n)).cast("int")).sortWithinPartitions("bucket").mapInArrow(_shards(length, shard_bytes), _SEEN)
     found = found.repartition(n, "route").mapInArrow(_across, "doc long, hash long, first long, last long")
     by = found.groupBy("doc", "hash").agg(F.collect_list(F.struct("first", "last")).alias("runs"))
 
@@ -510,28 +585,6 @@ def repeated_spans(rows: DataFrame, packed: DataFrame, length: int = LENGTH, gra
     return in_arrow(by, f"doc long, hash long, spans {_SPANS}", spans)
 
 
-def _search(table: pa.Table, length: int) -> Iterator[pa.RecordBatch]:
-    """Repeated windows among the contexts of several grams; first windows of hot ones, with their bytes."""
-    doc, text, first, hot = (table.column(c).to_numpy() for c in ("doc", "hash", "first", "hot"))
-    shard = Contexts(table.column("raw").to_pylist(), doc, first, length)
-    context, window, (lead, lead_window) = shard.repeated()
-    some = np.flatnonzero(hot[lead])
-    for k in range(0, len(some), 10_000):
-        rows, windows = lead[some[k : k + 10_000]], lead_window[some[k : k + 10_000]]
-        raw = [shard.raws[r][w : w + length] for r, w in zip(rows.tolist(), windows.tolist(), strict=True)]
-        route = np.array([xxhash.xxh64_intdigest(r) for r in raw], np.uint64).view(np.int64)
-        at = first[rows] + windows
-        yield _seen(doc[rows], text[rows], at, at, route, raw)
-    if len(context):
-        at = first[context] + window
-        by = np.lexsort((at, context))
-        context, at = context[by], at[by]
-        head = np.flatnonzero(np.append(True, (context[1:] != context[:-1]) | (at[1:] > at[:-1] + 1)))
-        last = at[np.append(head[1:], len(at)) - 1]
-        rows = context[head]
-        yield _seen(doc[rows], text[rows], at[head], last)
-
-
 def dedup(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", shard_bytes: int = SHARD_BYTES, hot_least: int = 8, per_shard: int = SHARD_PLACES, slice_bytes: int = SLICE_BYTES) -> DataFrame:
     """(id, text binary, spans, kept binary): the bytes of each text, the repeated spans, and what is left.
 
