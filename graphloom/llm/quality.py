@@ -163,8 +163,45 @@ class LineField:
         return good / np.maximum(words, 1)
 
     @classmethod
-    def train(cls, lines: Lines, labels: np.ndarray, rounds: int = 100, decay: float = 1e-4) -> LineField:
-        """Weights of the greatest likelihood of the lines' labels, by forward-backward and gradient steps."""
+    def learn(cls, lines: Lines, quality: np.ndarray, least: float = 0.5, most_rounds: int = 8) -> LineField:
+        """A field from the quality (0 or 1) of whole texts, where lines' own labels are unknown.
+
+        Lines begin with their text's label, and a model of single lines is fitted to them. Then lines take the
+        labels that are decoded, corrected only where a text's share of content denies its quality: there
+        the lines that lean least to their label change it. A field is trained on these, and so on until no
+        label changes, or most_rounds fields have been trained (labels may go to and fro).
+        """
+        labels = quality[lines.text]
+        for k in range(most_rounds):
+            field = cls.train(lines, labels, chained=k > 0)
+            field.least = least
+            now = field.agreeing(lines, quality)
+            if k and (now == labels).all():
+                break
+            labels = now
+        return field
+
+    def agreeing(self, lines: Lines, quality: np.ndarray) -> np.ndarray:
+        """Decoded labels, changed in the fewest words so that each text's share of content agrees with its quality."""
+        labels = self.decode(lines).astype(np.int64)
+        lean = lines.features @ (self.weights[1] - self.weights[0])
+        words, good = (np.bincount(lines.text, w, minlength=len(quality)) for w in (lines.words, lines.words * labels))
+        for t in np.flatnonzero((good >= self.least * words) != (quality == 1)).tolist():
+            rows = np.flatnonzero(lines.text == t)
+            rows = rows[labels[rows] != quality[t]]
+            for i in rows[np.argsort(-lean[rows] if quality[t] else lean[rows], kind="stable")].tolist():
+                labels[i] = quality[t]
+                good[t] += lines.words[i] * (1 if quality[t] else -1)
+                if (good[t] >= self.least * words[t]) == (quality[t] == 1):
+                    break
+        return labels
+
+    @classmethod
+    def train(cls, lines: Lines, labels: np.ndarray, rounds: int = 100, decay: float = 1e-4, chained: bool = True) -> LineField:
+        """Weights of the greatest likelihood of the lines' labels, by forward-backward and gradient steps.
+
+        Unless chained, labels of neighbours count for nothing.
+        """
         n, chains = len(labels), Chains(lines)
         weights, moves = np.zeros((2, lines.features.shape[1])), np.zeros((2, 2))
         onehot = np.eye(2)[labels]
@@ -187,7 +224,8 @@ class LineField:
                 m += (1 - keep) * (x - m)
             change = 0.3 * (moment[0] / (1 - 0.9**step)) / (np.sqrt(moment[1] / (1 - 0.999**step)) + 1e-8)
             weights += change[:-4].reshape(weights.shape)
-            moves += change[-4:].reshape(2, 2)
+            if chained:
+                moves += change[-4:].reshape(2, 2)
         return cls(weights, moves)
 
 
@@ -199,7 +237,8 @@ def _logsum(x: np.ndarray, axis: int) -> np.ndarray:
 def train_field(docs: DataFrame, labels: DataFrame, sample: int = 2000, id_col: str = "doc_id", text_col: str = "text") -> LineField | None:
     """A field from at most `sample` documents labelled 0 or 1, taken by a hash of their ids.
 
-    Lines take their document's label. Only features come to the driver. None if a quality has no documents with lines.
+    Lines' own labels are learned (see LineField.learn). Only sizes and features of lines come to the driver.
+    None if a quality has no documents with lines.
     """
     known = labels.select(F.col("doc_id").cast("long").alias("id"), F.col("quality").cast("int").alias("quality"))
     known = known.where("id is not null and quality in (0, 1)").groupBy("id").agg(F.min("quality").alias("quality"))
@@ -214,17 +253,17 @@ def train_field(docs: DataFrame, labels: DataFrame, sample: int = 2000, id_col:
             rows = np.flatnonzero(np.append(True, lines.text[1:] != lines.text[:-1])) if len(lines.text) else []
             cuts = [*rows, len(lines.text)]
             for s, e in zip(cuts, cuts[1:]):
-                yield pa.RecordBatch.from_arrays([pa.array([of[s]]), pa.array([int(label[s])], pa.int32()), pa.array([lines.features[s:e].astype("<f4").tobytes()])], names=["id", "quality", "features"])
+                yield pa.RecordBatch.from_arrays([pa.array([of[s]]), pa.array([int(label[s])], pa.int32()), pa.array([np.column_stack([lines.words[s:e], lines.features[s:e]]).astype("<f4").tobytes()])], names=["id", "quality", "features"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.encode(F.col(text_col), "UTF-8").alias("text")).where("text is not null")
     found = in_arrow(rows.join(F.broadcast(chosen), "id"), "id long, quality int, features binary", run)
     got = sorted(map(tuple, found.collect()))
     if len({q for _, q, _ in got}) < 2:
         return None
-    features = [np.frombuffer(f, "<f4").reshape(-1, len(FEATURES)).astype(float) for _, _, f in got]
-    sizes = [len(f) for f in features]
-    lines = Lines(np.repeat(np.arange(len(got)), sizes), np.ones(sum(sizes)), np.concatenate(features))
-    return LineField.train(lines, np.repeat([q for _, q, _ in got], sizes))
+    each = [np.frombuffer(f, "<f4").reshape(-1, 1 + len(FEATURES)).astype(float) for _, _, f in got]
+    rows = np.concatenate(each)
+    lines = Lines(np.repeat(np.arange(len(got)), [len(f) for f in each]), rows[:, 0], rows[:, 1:])
+    return LineField.learn(lines, np.array([q for _, q, _ in got]))
 
 
 def judge(docs: DataFrame, field: LineField | None, id_col: str = "doc_id", text_col: str = "text", carry: bool = False) -> DataFrame:

@@ -277,6 +277,26 @@ def test_quality_on_held_out_labels(spark):
     assert right >= 0.97 * n
 
 
+def test_lines_of_mixed_texts_are_told_apart(spark):
+    r = random.Random(12)
+    good = lambda: " ".join(r.choice(["river", "stone", "walked", "under", "light", "they"]) for _ in range(14)) + "."
+    loud = lambda: " ".join(r.choice(["BUY", "NOW", "CHEAP", "CLICK"]) + "!!" for _ in range(12))
+    docs = [[good() for _ in range(6)] for _ in range(60)] + [[loud() for _ in range(5)] + [good()] for _ in range(40)]
+    mixed = [[k for _ in range(4) for k in (0, 0, 1, 1, 1)] if i % 2 else [1] * 9 + [0] * 3 for i in range(30)]
+    prepared = lambda ts: quality.split_lines(ts, quality.number_words(ts)[0])[0]
+    field = quality.LineField.learn(prepared(["\n".join(t).encode() for t in docs]), np.array([1] * 60 + [0] * 40))
+    lines = prepared(["\n".join(good() if k else loud() for k in ks).encode() for ks in mixed])
+    want = np.concatenate([np.array(k) for k in mixed])
+    assert (field.decode(lines) == want).mean() > 0.98  # no text of the sample was labelled line by line
+    assert (np.abs(field.content(lines, len(mixed)) - np.bincount(lines.text, lines.words * want) / np.bincount(lines.text, lines.words)) < 0.05).all()
+    sf = "/root/testdata/sf0.01"
+    field = quality.train_field(table(spark, sf, "documents"), table(spark, sf, "labels"))
+    rows = table(spark, sf, "labels").where("quality = 0").join(table(spark, sf, "documents"), "doc_id").collect()
+    lines = prepared([x["text"].encode() for x in rows])
+    n, on = np.bincount(lines.text, minlength=len(rows)), np.bincount(lines.text, field.decode(lines), minlength=len(rows))
+    assert ((on > 0) & (on < n)).sum() >= 0.3 * (n > 1).sum()
+
+
 def test_viterbi_is_the_best_path():
     rng = np.random.default_rng(0)
     field = quality.LineField(rng.normal(size=(2, 3)), rng.normal(size=(2, 2)))
