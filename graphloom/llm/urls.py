@@ -58,11 +58,15 @@ class SuffixStats:
         return np.array([self.share.get(k, self.whole) for k in keys])
 
 
-def suffixes(hosts: list[str], paths: list[str]) -> tuple[list[str], list[str], list[str]]:
-    """Per URL: the host's last label; its last two; its last label and the path's first part."""
+#: How many of the suffixes below name the host.
+HOST_KEYS = 3
+
+
+def suffixes(hosts: list[str], paths: list[str]) -> tuple[list[str], list[str], list[str], list[str]]:
+    """Per URL: the host's last label; its last two; its last label and the path's first part; that part alone."""
     labels = [h.rsplit(".", 2)[-2:] for h in hosts]
     first = [p.split("/", 2)[1] if p.startswith("/") else "" for p in paths]
-    return [x[-1] for x in labels], [".".join(x) for x in labels], [f"{x[-1]}/{f}" for x, f in zip(labels, first, strict=True)]
+    return [x[-1] for x in labels], [".".join(x) for x in labels], [f"{x[-1]}/{f}" for x, f in zip(labels, first, strict=True)], first
 
 
 def lexical(urls: list[str], hosts: list[str], paths: list[str]) -> np.ndarray:
@@ -139,8 +143,11 @@ class UrlModel:
     stats: tuple[SuffixStats, ...] = ()
     trees: Trees | None = None
 
-    def features(self, urls: list[str], hosts: list[str], paths: list[str]) -> np.ndarray:
+    def features(self, urls: list[str], hosts: list[str], paths: list[str], unseen: bool = False) -> np.ndarray:
+        """Features of URLs; with `unseen` as if no host like theirs had a label."""
         shares = [s(k) for s, k in zip(self.stats, suffixes(hosts, paths), strict=True)]
+        if unseen:
+            shares[:HOST_KEYS] = [np.full(len(urls), s.whole) for s in self.stats[:HOST_KEYS]]
         return np.concatenate([lexical(urls, hosts, paths), np.stack(shares, 1)], 1)
 
     def allows(self, urls: list[str], hosts: list[str], paths: list[str]) -> np.ndarray:
@@ -151,7 +158,10 @@ class UrlModel:
     @classmethod
     def train(cls, urls: list[str], hosts: list[str], paths: list[str], labels: np.ndarray) -> UrlModel:
         """Statistics come from one half of the URLs, trees from the other, so that no label describes itself; both
-        from all if the other half has one label only. If all have one label, there is nothing to learn: no trees."""
+        from all if the other half has one label only. If all have one label, there is nothing to learn: no trees.
+
+        Trees see each URL twice, once as of an unseen host, so that they also learn what the rest of a URL tells:
+        URLs that no rule decides are of such hosts."""
         if len(set(labels.tolist())) < 2:
             return cls()
         half = np.arange(len(urls)) % 2 == 0
@@ -161,16 +171,24 @@ class UrlModel:
         take = lambda x, m: [v for v, k in zip(x, m.tolist(), strict=True) if k]
         stats = tuple(SuffixStats.of(k, labels[half]) for k in suffixes(take(hosts, half), take(paths, half)))
         model, rest = cls(stats), [take(x, rest_of) for x in (urls, hosts, paths)]
-        model.trees = Trees.fit(model.features(*rest), labels[rest_of])
+        x = np.concatenate([model.features(*rest), model.features(*rest, unseen=True)])
+        model.trees = Trees.fit(x, np.tile(labels[rest_of], 2))
         return model
 
 
 def labelled(pages: DataFrame, rules: Sequence[tuple[str, str]], sample: int = 20_000) -> tuple[list[str], list[str], list[str], np.ndarray]:
-    """URLs that a rule decides, with 1 for allow: at most `sample` different ones, by a hash of the URL."""
+    """URLs that a rule decides, with 1 for allow: at most `sample` different ones, those of least hashes.
+
+    Only URLs below a bound of the hash, which leaves about twice the sample, are sorted and sent to the driver.
+    """
     host, path = host_and_path(F.col("url"))
     rows = pages.select("url", host.alias("host"), path.alias("path"))
     rows = rows.select("url", "host", "path", rule_of(F.col("host"), F.col("path"), rules)[1].alias("verdict")).where("verdict is not null")
-    got = rows.distinct().orderBy(F.xxhash64("url"), "url").limit(sample).collect()
+    rows = rows.withColumn("h", F.xxhash64("url"))
+    n = rows.agg(F.approx_count_distinct("h")).first()[0]
+    if n > 2 * sample:
+        rows = rows.where(F.col("h") < int((2 * sample / n - 0.5) * 2**64))
+    got = rows.distinct().orderBy("h", "url").limit(sample).collect()
     return [r["url"] for r in got], [r["host"] for r in got], [r["path"] for r in got], np.array([float(r["verdict"] == "allow") for r in got])
 
 

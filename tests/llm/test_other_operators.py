@@ -231,6 +231,33 @@ def test_url_trees_on_held_out_urls(spark):
     assert (said == (y[~part] == 1)).mean() >= max(0.9, y[~part].mean() + 0.02)
 
 
+def test_urls_of_unseen_suffixes(spark):
+    r = random.Random(13)
+    names, hosts, paths, y = [], [], [], []
+    for _ in range(3000):
+        host = f"{r.choice(['www', 'shop', 'm'])}.{r.choice('abcdefgh')}{r.randrange(40)}.{r.choice(['aa', 'bb', 'cc', 'dd', 'ee', 'ff'])}"
+        bad = r.random() < 0.4
+        path = f"/{r.choice(['promo', 'x']) if bad else r.choice(['docs', 'news', 'x'])}/" + ("-".join(str(r.randrange(10**6)) for _ in range(3)) if bad else r.choice(["about", "story", "page"]))
+        names.append(f"https://{host}{path}"), hosts.append(host), paths.append(path), y.append(0.0 if bad else 1.0)
+    held = np.array([h.endswith(("ee", "ff")) for h in hosts])
+    take = lambda x, m: [v for v, k in zip(x, m.tolist(), strict=True) if k]
+    model = urls.UrlModel.train(take(names, ~held), take(hosts, ~held), take(paths, ~held), np.array(y)[~held])
+    said = model.allows(take(names, held), take(hosts, held), take(paths, held))
+    assert (said == (np.array(y)[held] == 1)).mean() > 0.97
+
+
+def test_both_verdicts_where_no_rule_fits(spark):
+    found = queries.op8_url_filters(spark, "/root/testdata/sf0.1").where("rule is null").groupBy("verdict").count()
+    got = {r["verdict"]: r["count"] for r in found.collect()}
+    assert min(got["allow"], got["block"]) > 0.1 * sum(got.values())
+
+
+def test_labelled_urls_are_a_bounded_sample(spark):
+    pages = table(spark, "/root/testdata/sf0.1", "pages")
+    whole, some = urls.labelled(pages, queries.RULES, 10**6), urls.labelled(pages.unionByName(pages), queries.RULES, 100)
+    assert len(some[0]) == 100 and some[0] == whole[0][:100] and some[3].tolist() == whole[3][:100].tolist()
+
+
 # Personal data
 
 PLAIN = [("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"), ("card", r"[0-9]([\x20-]?[0-9])+"), ("phone", r"\+[0-9][\x20().0-9-]+[0-9]")]
