@@ -22,15 +22,13 @@ PATTERNS = {
 #: A character that every match of the kind has; texts without it are not searched.
 _SIGNS = {"email": "@", "ip": ".", "phone": "+"}
 _PART = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
-#: Words that may be identifiers: with a digit or an at-sign.
-_TOKEN = r"(?<!\S)(?=[^\s0-9@]*+[0-9@])\S++"
+#: Words that may be identifiers: with an at-sign or five digits.
+_TOKEN = r"(?<!\S)(?=[^\s@]*+@|(?:[^\s0-9]*+[0-9]){5})\S++"
 LEARNED = "id"
 
 #: A pattern is trusted from so many different instances, and so large a share of known ones among them.
 SUPPORT, TRUST = 5, 0.8
 
-_SPAN = "array<struct<start: long, text: string>>"
-
 
 def _digits(text: Column) -> Column:
     return F.regexp_replace(text, "[^0-9]", "")
@@ -47,18 +45,32 @@ def _valid(kind: str, text: Column) -> Column:
     return F.lit(True)
 
 
-def _located(text: str, matches: str, pattern: str) -> Column:
-    """The matches with their starts: what is split off before each, and the matches before it, add up."""
-    both = F.arrays_zip(F.split(F.col(text), pattern, -1).alias("gap"), F.col(matches).alias("match"))
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(_SPAN).alias("out"))
-
-    def step(sofar: Column, x: Column) -> Column:
-        begin = sofar["at"] + F.length(x["gap"])
-        here = F.struct(begin.cast("long").alias("start"), x["match"].alias("text"))
-        return F.struct((begin + F.coalesce(F.length(x["match"]), F.lit(0))).cast("long").alias("at"), F.concat(sofar["out"], F.array(here)).alias("out"))
+def _running(df: DataFrame, name: str, values: str, kind: str = "sum") -> DataFrame:
+    """df with a column `name`: the sum, or the greatest, of an array of longs (0 or more) up to each place.
 
-    found = F.filter(F.aggregate(both, start, step, lambda s: s["out"]), lambda x: x["text"].isNotNull())
-    return F.when(F.size(matches) > 0, found).otherwise(F.array().cast(_SPAN))
+    Two levels of blocks, as an array that grows by one is copied: n values take n to the power 1.5 steps.
+    """
+    join = (lambda a, b: a + b) if kind == "sum" else F.greatest
+    longs = lambda c: c.cast("array<long>")
+    last = lambda done: F.coalesce(F.try_element_at(done, F.lit(-1)), F.lit(0).cast("long"))
+    grow = lambda done, x: F.concat(done, F.array(join(last(done), x)))
+    starts = F.when(F.size(values) > 0, F.sequence(F.lit(1), F.size(values), F.col("_width"))).otherwise(F.array().cast("array<int>"))
+    df = df.withColumn("_width", F.ceil(F.sqrt(F.size(values).cast("double"))).cast("int"))
+    df = df.withColumn("_blocks", F.transform(starts, lambda s: F.aggregate(F.slice(values, s, F.col("_width")), longs(F.array()), grow)))
+    df = df.withColumn("_tops", F.aggregate(F.transform("_blocks", last), longs(F.array(F.lit(0))), grow))
+    whole = F.flatten(F.zip_with("_blocks", F.slice("_tops", 1, F.size("_blocks")), lambda block, top: F.transform(block, lambda x: join(x, top))))
+    return df.withColumn(name, whole).drop("_width", "_blocks", "_tops")
+
+
+def _located(df: DataFrame, name: str, text: str, matches: str, pattern: str) -> DataFrame:
+    """df with a column `name`: the matches with their starts (which add up from what is split off before each, and
+    the matches before it) and the text between the match before and this one."""
+    df = df.withColumn("_gap", F.when(F.size(matches) > 0, F.slice(F.split(F.col(text), pattern, -1), 1, F.size(matches))).otherwise(F.array().cast("array<string>")))
+    df = df.withColumn("_steps", F.zip_with("_gap", matches, lambda a, b: (F.length(a) + F.length(b)).cast("long")))
+    df = _running(df, "_ends", "_steps")
+    each = F.arrays_zip(F.col(matches).alias("text"), F.col("_gap").alias("gap"), F.col("_ends").alias("end"))
+    at = F.transform(each, lambda x: F.struct((x["end"] - F.length(x["text"])).alias("start"), x["text"].alias("text"), x["gap"].alias("gap")))
+    return df.withColumn(name, at).drop("_gap", "_steps", "_ends")
 
 
 def find_base(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -71,10 +83,13 @@ def find_base(docs: DataFrame, text_col: str = "text") -> DataFrame:
         found = found.withColumn(f"_m_{kind}", F.coalesce(every, F.array().cast("array<string>")))
 
     def spans(rank: int, kind: str) -> Column:
-        good = F.filter(_located(text_col, f"_m_{kind}", PATTERNS[kind]), lambda x: _valid(kind, x["text"]))
+        good = F.filter(f"_at_{kind}", lambda x: _valid(kind, x["text"]))
         return F.transform(good, lambda x: F.struct(x["start"].alias("start"), F.lit(rank).alias("rank"), F.lit(kind).alias("kind"), (x["start"] + F.length(x["text"])).alias("end")))
 
-    return found.withColumn("_base", F.array_sort(F.concat(*(spans(k, kind) for k, kind in enumerate(PATTERNS))))).drop(*(f"_m_{k}" for k in PATTERNS))
+    for kind, pattern in PATTERNS.items():
+        found = _located(found, f"_at_{kind}", text_col, f"_m_{kind}", pattern)
+    base = F.array_sort(F.concat(*(spans(k, kind) for k, kind in enumerate(PATTERNS))))
+    return found.withColumn("_base", base).drop(*(f"_{c}_{k}" for k in PATTERNS for c in ("m", "at")))
 
 
 def _candidates(docs: DataFrame, text_col: str) -> DataFrame:
@@ -82,22 +97,32 @@ def _candidates(docs: DataFrame, text_col: str) -> DataFrame:
 
     instance is an identifier-like word (an at-sign, or five digits or more) without marks around it;
     pattern the word before it, in lower case, with runs of digits as 0 ("^" at the text's start); seed
-    is whether a base span overlaps it.
+    is whether a base span overlaps it. Words are whole, and so is the white space between them.
     """
     found = docs.withColumn("_m", F.coalesce(F.regexp_extract_all(text_col, F.lit(_TOKEN), F.lit(0)), F.array().cast("array<string>")))
-    found = found.withColumn("_at", _located(text_col, "_m", _TOKEN))
+    found = _located(found, "_at", text_col, "_m", _TOKEN)
     last_word = lambda t: F.substring_index(F.rtrim(F.translate(t, "\n\t\r\x0b\f", "     ")), " ", -1)
 
-    def token(x: Column) -> Column:
+    def token(x: Column, k: Column) -> Column:
         core = F.regexp_extract(x["text"], r"[A-Za-z0-9@+](?:.*[A-Za-z0-9])?", 0)
         begin = x["start"] + F.instr(x["text"], core) - 1
-        before = last_word(F.substring(F.col(text_col), F.greatest(x["start"] - 80, F.lit(0)).cast("int") + 1, F.least(x["start"], F.lit(80)).cast("int")))
+        word = last_word(x["gap"])
+        before = F.when(word != "", word).when(k > 0, F.get(F.col("_m"), k - 1)).otherwise("")
         pattern = F.lower(F.regexp_replace(before, "[0-9]+", "0"))
-        overlaps = F.exists("_base", lambda b: (b["start"] < begin + F.length(core)) & (begin < b["end"]))
-        return F.struct(begin.cast("long").alias("start"), (begin + F.length(core)).cast("long").alias("end"), core.alias("instance"), F.when(pattern == "", "^").otherwise(pattern).alias("pattern"), overlaps.alias("seed"))
+        return F.struct(begin.cast("long").alias("start"), (begin + F.length(core)).cast("long").alias("end"), core.alias("instance"), F.when(pattern == "", "^").otherwise(pattern).alias("pattern"))
 
     likely = lambda t: (F.length(t["instance"]) > 0) & (F.contains(t["instance"], F.lit("@")) | (F.length(_digits(t["instance"])) >= 5))
-    return found.withColumn("_tokens", F.filter(F.transform("_at", token), likely)).drop("_m", "_at")
+    found = found.withColumn("_t", F.filter(F.transform("_at", token), likely))
+    # A word overlaps a base span if of the spans that start before its end one ends behind its start.
+    event = lambda at, k, end: F.struct(at.alias("at"), k.alias("k"), end.alias("end"))
+    ends = F.transform("_t", lambda t, k: event(t["end"], k, F.lit(0).cast("long")))
+    events = F.array_sort(F.concat(ends, F.transform("_base", lambda b: event(b["start"], F.lit(2**31 - 1), b["end"].cast("long")))))
+    found = found.withColumn("_events", events).withColumn("_reach", F.transform("_events", lambda x: x["end"]))
+    found = _running(found, "_reach", "_reach", "greatest")
+    # Words are in order, and so are their ends.
+    found = found.withColumn("_reach", F.transform(F.filter(F.arrays_zip("_events", "_reach"), lambda x: x["_events"]["k"] < 2**31 - 1), lambda x: x["_reach"]))
+    tokens = F.zip_with("_t", "_reach", lambda t, reach: F.struct(*(t[c].alias(c) for c in ("start", "end", "instance", "pattern")), (t["start"] < reach).alias("seed")))
+    return found.withColumn("_tokens", tokens).drop("_m", "_at", "_t", "_events", "_reach")
 
 
 def learn(tokens: DataFrame, support: int = SUPPORT, trust: float = TRUST) -> DataFrame:
@@ -142,7 +167,7 @@ def find_personal(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     known = learn(tokens, support, trust)
     unseen = tokens.where("not seed")
     often = unseen.groupBy("instance").agg(F.count("*").alias("n")).join(known.withColumn("hit", F.lit(True)), "instance", "left")
-    more = join_skewed(unseen, often, "instance", "n", found.count()).where("hit")
+    more = join_skewed(unseen, often, "instance", "n", unseen.count()).where("hit")
     span = F.struct("start", F.lit(len(PATTERNS)).alias("rank"), F.lit(LEARNED).alias("kind"), "end")
     more = more.groupBy("id", "text_hash").agg(F.array_sort(F.collect_set(span)).alias("learned"))
     more = more.withColumnsRenamed({"id": "id2", "text_hash": "hash2"})
@@ -165,14 +190,25 @@ def mask(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     found = found.groupBy("id", "text_hash").agg(F.first(F.array_sort(F.concat("base", "learned"))).alias("spans"))
     keyed = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).alias("own"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("hash"), F.col(text_col).alias("text"))
     joined = keyed.join(found, keyed["own"].eqNullSafe(found["id"]) & (keyed["hash"] == found["text_hash"]), "left")
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
-
-    def step(sofar: Column, s: Column) -> Column:
-        gap = F.substring(F.col("text"), (sofar["at"] + 1).cast("int"), (s["start"] - sofar["at"]).cast("int"))
-        named = F.concat(sofar["out"], gap, F.lit("["), F.upper(s["kind"]), F.lit("]"))
-        inside = s["start"] < sofar["at"]
-        return F.struct(F.greatest(sofar["at"], s["end"]).alias("at"), F.when(inside, sofar["out"]).otherwise(named).alias("out"))
-
-    whole = F.aggregate("spans", start, step, lambda s: F.concat(s["out"], F.substring(F.col("text"), (s["at"] + 1).cast("int"), F.length("text"))))
-    masked = F.when(F.col("spans").isNotNull(), whole).otherwise(F.col("text"))
+    joined = joined.withColumn("ends", F.coalesce(F.transform("spans", lambda s: s["end"].cast("long")), F.array().cast("array<long>")))
+    joined = _running(joined, "upto", "ends", "greatest")
+    # What is shown goes on from `at` to `upto`. A block of spans is cut out of the text once, then its spans out of that.
+    at = F.slice(F.concat(F.array(F.lit(0).cast("long")), "upto"), 1, F.size("upto"))
+    whole = F.arrays_zip(F.transform("spans", lambda s: s["start"].cast("long")).alias("start"), F.transform("spans", lambda s: F.upper(s["kind"])).alias("kind"), at.alias("at"), F.col("upto").alias("upto"))
+    joined = joined.withColumn("shown", whole).withColumn("width", F.ceil(F.sqrt(F.size("upto").cast("double"))).cast("int"))
+    starts = F.when(F.size("upto") > 0, F.sequence(F.lit(1), F.size("upto"), F.col("width"))).otherwise(F.array().cast("array<int>"))
+    joined = joined.withColumn("blocks", F.transform(starts, lambda s: F.slice("shown", s, F.col("width"))))
+
+    def cut(block: Column) -> Column:
+        first, end = F.get(block, 0)["at"], F.element_at(block, -1)["upto"]
+        return F.struct(block.alias("spans"), first.alias("first"), F.substring(F.col("text"), (first + 1).cast("int"), (end - first).cast("int")).alias("text"))
+
+    def spell(block: Column, x: Column) -> Column:
+        gap = F.substring(block["text"], (x["at"] - block["first"] + 1).cast("int"), (x["start"] - x["at"]).cast("int"))
+        return F.when(x["start"] < x["at"], "").otherwise(F.concat(gap, F.lit("["), x["kind"], F.lit("]")))
+
+    joined = joined.withColumn("cut", F.transform("blocks", cut))
+    said = F.transform("cut", lambda block: F.array_join(F.transform(block["spans"], lambda x: spell(block, x)), ""))
+    rest = F.substring(F.col("text"), (F.element_at("upto", -1) + 1).cast("int"), F.length("text"))
+    masked = F.when(F.col("spans").isNotNull(), F.concat(F.array_join(said, ""), rest)).otherwise(F.col("text"))
     return joined.select(*(masked.alias(c) if c == text_col else F.col("row")[c].alias(c) for c in docs.columns))

@@ -295,6 +295,32 @@ def test_learned_identifiers(spark):
     assert got == {100: "id:14:24", 101: "id:3:13"}
 
 
+def test_words_before_identifiers_are_whole(spark):
+    long = "w" * 200
+    rows = [(i, f"hello contact a{i}@x.org and {long}z b{i}@x.org") for i in range(20)]
+    rows += [(100, "reach contact" + " \n" * 100 + "bob77812at here"), (101, f"a {long}z 99881x0"), (102, f"a {'v' * 100}{long[100:]}z 99882x0"), (103, "contact bob12345at 55566x1")]
+    found = pii.find_personal(spark.createDataFrame(rows, "doc_id long, text string"))
+    got = {x["id"]: x["l"] for x in found.select("id", pii.spelled(F.col("learned")).alias("l")).collect() if x["l"]}
+    assert got == {100: "id:213:223", 101: "id:204:211", 103: "id:8:18"}
+
+
+def test_many_matches_in_a_text(spark):
+    r = random.Random(14)
+    word = lambda i: r.choice([f"u{i}@x.org", f"{10000 + i}", f"10.0.{i % 256}.7", "word", "é😀", f"+1 (017) 555-{1000 + i % 9000}"])
+    texts = [" ".join(word(i) for i in range(n)) for n in (0, 1, 2, 3, 10, 1000, 20_000)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = pii.find_personal(docs).select("id", pii.spelled(F.col("base")).alias("b"), pii.spelled(F.array_sort(F.concat("base", "learned"))).alias("all"))
+    got = {x["id"]: (x["b"], x["all"]) for x in found.collect()}
+    assert [got[k][0] for k in range(len(texts))] == [plain_personal(t) for t in texts]
+    for row in pii.mask(docs).collect():
+        text, out, at = texts[row["doc_id"]], [], 0
+        for kind, s, e in (x.split(":") for x in got[row["doc_id"]][1].split(",") if x):
+            if int(s) >= at:
+                out.append(text[at : int(s)] + f"[{kind.upper()}]")
+            at = max(at, int(e))
+        assert row["text"] == "".join(out) + text[at:]
+
+
 def test_few_labelled_urls_train():
     hosts = ["good.org", "bad.biz"] * 6
     paths = ["/a/b", "/x/y/z/q"] * 6
