@@ -1,12 +1,15 @@
 """WARC records in ZIP packages: a writer, and a reader that takes ranges of stored members.
 
-A package holds an archive of records, each compressed by itself, and an index of their ranges, both
-stored. The reader looks up the central directory (of ZIP64 too), finds members whose name ends with
-.warc, .warc.gz and .cdxj, and reads records by range; nothing is extracted.
+A package that is written here holds an archive of records, each compressed by itself, and an index of
+their ranges (CDXJ), both stored. The reader looks up the central directory (of ZIP64 too), finds all
+stored members that are archives (.warc, .warc.gz) or indexes (.cdxj), and reads records by range; nothing
+is extracted. An archive without index entries is walked through once to find its records.
 """
 
 from __future__ import annotations
 
+import base64
+import hashlib
 import json
 import struct
 import uuid
@@ -14,11 +17,14 @@ import zipfile
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from urllib.parse import quote, urlsplit
 
 import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from .common import fresh_dir, in_arrow, join_skewed, settled
 
@@ -49,6 +55,16 @@ def record(page_id: int | None, url: str | None, payload: bytes, digest: str, re
     return head.encode("utf-8", "surrogatepass") + b"\r\n" + block + b"\r\n\r\n"
 
 
+def url_key(url: str) -> str:
+    """The key of an index line: the host's labels from the last to the first, then the path and the rest."""
+    try:
+        parts = urlsplit(url)
+        host = ",".join(reversed((parts.hostname or "").split(".")))
+    except ValueError:
+        return quote(url, safe="") or "-"
+    return quote(f"{host}){parts.path}{'?' + parts.query if parts.query else ''}".lower(), safe="/,)?&=.", errors="replace")
+
+
 def parse_record(raw: bytes) -> tuple[dict[str, str], bytes]:
     """Fields (names in lower case) and block of a record."""
     head, _, rest = raw.partition(b"\r\n\r\n")
@@ -146,7 +162,8 @@ class _Writer:
         deflate = zlib.compressobj(4, zlib.DEFLATED, 31)
         raw = deflate.compress(record(page_id, url, payload, digest, refers_to)) + deflate.flush()
         self.member.write(raw)
-        self.index.append({"digest": digest, "offset": self.at, "length": len(raw)})
+        shown = {"url": url or "", "mime": "text/html", "status": "200", "digest": f"sha1:{digest}", "length": str(len(raw)), "offset": str(self.at), "filename": "data.warc.gz"}
+        self.index.append(f"{url_key(url or '')} 19700101000000 {json.dumps(shown)}\n")
         self.at += len(raw)
         return self.close() if self.at >= self.limit else None
 
@@ -154,7 +171,7 @@ class _Writer:
         if self.zip is None:
             return None
         self.member.close()
-        self.zip.writestr("indexes/index.cdxj", "".join(json.dumps(x) + "\n" for x in self.index))
+        self.zip.writestr("indexes/index.cdxj", "".join(sorted(self.index)))
         self.zip.close()
         self.out.close()
         self.fs.move(f"{self.name}.{self.attempt}.tmp", self.name)
@@ -209,54 +226,118 @@ def _open(path: str):
     return fs.open_input_file(name)
 
 
+def _walk(package: Package, base: int, size: int) -> Iterator[tuple[int, int]]:
+    """(start, length) of the records of a member, compressed one by one or plain."""
+    at = base
+    while at < base + size:
+        left = base + size - at
+        if package.read(at, min(2, left)) == b"\x1f\x8b":
+            unpack, pos = zlib.decompressobj(31), at
+            while not unpack.eof:
+                part = package.read(pos, min(1 << 16, base + size - pos))
+                if not part:
+                    raise ValueError("a compressed record ends early")
+                unpack.decompress(part)
+                pos += len(part)
+            n = pos - len(unpack.unused_data) - at
+        else:
+            head = b""
+            while b"\r\n\r\n" not in head and len(head) < left:
+                head += package.read(at + len(head), min(4096, left - len(head)))
+            if not head.strip(b"\r\n"):
+                return
+            fields, _ = parse_record(head)
+            n = head.index(b"\r\n\r\n") + 8 + int(fields["content-length"])
+        yield at, n
+        at += n
+
+
+def _ranges(package: Package) -> Iterator[tuple[int, int]]:
+    """(start, length) of all records of the package, by its indexes, or by a walk through archives that they don't name."""
+    archives = [m for m in package.members if m.name.endswith((".warc", ".warc.gz"))]
+    bases = [package.data_at(m) for m in archives]
+    by_name = {m.name.rsplit("/", 1)[-1]: k for k, m in enumerate(archives)}
+    found: list[set[tuple[int, int]]] = [set() for _ in archives]
+    for index in (m for m in package.members if m.name.endswith(".cdxj")):
+        for line in package.read(package.data_at(index), index.size).decode("utf-8").splitlines():
+            entry = json.loads(line[line.index("{") :]) if "{" in line else {}
+            k = by_name.get(entry.get("filename", "").rsplit("/", 1)[-1], 0 if len(archives) == 1 and "filename" not in entry else None)
+            if k is not None and "offset" in entry and "length" in entry:
+                found[k].add((int(entry["offset"]), int(entry["length"])))
+    for member, base, ranges in zip(archives, bases, found, strict=True):
+        yield from ((base + at, n) for at, n in sorted(ranges)) if ranges else _walk(package, base, member.size)
+
+
+def _hex_digest(said: str | None) -> str | None:
+    """A record's SHA-1 in lower-case hexadecimal digits; archives often write it in base 32. None for others."""
+    kind, _, value = (said or "").partition(":")
+    if kind.lower() != "sha1" or len(value) not in (32, 40):
+        return None
+    return base64.b32decode(value.upper()).hex() if len(value) == 32 else value.lower()
+
+
+_RECORD = "page_id long, url string, record_type string, payload binary, payload_bytes long, payload_digest string, refers_to long, record_id string, refers_to_record string"
+
+
+def read_record(raw: bytes) -> tuple:
+    """The columns of read_archives of one record. ValueError if a payload doesn't match its digest."""
+    number = lambda x: int(x) if x else None
+    fields, block = parse_record(zlib.decompress(raw, 31) if raw[:2] == b"\x1f\x8b" else raw)
+    kind, payload, size, digest = fields.get("warc-type"), None, number(fields.get("x-payload-length")), _hex_digest(fields.get("warc-payload-digest"))
+    http = fields.get("content-type", "").replace(" ", "").startswith("application/http")
+    if kind != "revisit":
+        payload = block.partition(b"\r\n\r\n")[2] if http else block
+        own = hashlib.sha1(payload).hexdigest()
+        coded = http and b"transfer-encoding:" in block.partition(b"\r\n\r\n")[0].lower()  # the digest may be of what was coded
+        if not coded and ((digest or own) != own or (size is not None and size != len(payload))):
+            raise ValueError("the payload doesn't match its digest")
+        size, digest = len(payload), own
+    elif size is None and http:
+        lengths = [x.partition(b":")[2].strip() for x in block.lower().split(b"\r\n") if x.startswith(b"content-length:")]
+        size = int(lengths[0]) if lengths and lengths[0].isdigit() else None
+    return (
+        number(fields.get("x-page-id")), fields.get("warc-target-uri"), kind, payload, size, digest, number(fields.get("x-refers-to-page")),
+        fields.get("warc-record-id"), fields.get("warc-refers-to"),
+    )
+
+
 def read_archives(paths: DataFrame, slice_bytes: int = SLICE_BYTES) -> DataFrame:
-    """(page_id, url, record_type, payload, payload_bytes, payload_digest, refers_to) of each record.
+    """(page_id, url, record_type, payload, payload_bytes, payload_digest, refers_to, record_id, refers_to_record) of
+    each record of the packages (path), of whatever type.
 
     One step reads directories and indexes and cuts the records' ranges into slices; the next, dealt
-    out anew, reads the slices. payload is null for a revisit. payload_bytes and the digest are those of
-    the full payload: taken from the payload where there is one, else from the record's fields.
+    out anew, reads the slices. payload is the body of an HTTP message, else the whole block; null for a
+    revisit. payload_bytes and the digest are those of the full payload: taken from the payload where there
+    is one, else from the record's fields (null where they don't say). page_id and refers_to are only in
+    records that are written here; other archives have record ids. A member that is not stored is an error.
     """
 
     def slices(batch: pa.RecordBatch):
         for path in batch.column("path").to_pylist():
             with _open(path) as source:
-                package = Package(source)
-                archives = [m for m in package.members if m.name.endswith((".warc", ".warc.gz"))]
-                indexes = [m for m in package.members if m.name.endswith(".cdxj")]
-                if len(archives) != 1 or len(indexes) != 1:
-                    raise ValueError(f"{path}: {len(archives)} archives, {len(indexes)} indexes")
-                base, text = package.data_at(archives[0]), package.read(package.data_at(indexes[0]), indexes[0].size)
-            starts, lengths, held = [], [], 0
-            for line in text.splitlines():
-                x = json.loads(line)
-                starts.append(base + x["offset"]), lengths.append(x["length"])
-                held += x["length"]
-                if held >= slice_bytes:
-                    yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([starts]), pa.array([lengths])], names=["path", "starts", "lengths"])
-                    starts, lengths, held = [], [], 0
+                starts, lengths, held = [], [], 0
+                for at, n in _ranges(Package(source)):
+                    starts.append(at), lengths.append(n)
+                    held += n
+                    if held >= slice_bytes:
+                        yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([starts]), pa.array([lengths])], names=["path", "starts", "lengths"])
+                        starts, lengths, held = [], [], 0
             if starts:
                 yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([starts]), pa.array([lengths])], names=["path", "starts", "lengths"])
 
-    names = ["page_id", "url", "record_type", "payload", "payload_bytes", "payload_digest", "refers_to"]
-    schema = pa.schema(zip(names, [pa.int64(), pa.string(), pa.string(), pa.binary(), pa.int64(), pa.string(), pa.int64()], strict=True))
-
     def records(batch: pa.RecordBatch):
-        import hashlib
-
-        number = lambda x: int(x) if x else None
         for row in batch.to_pylist():
             out = []
             with _open(row["path"]) as source:
                 for at, n in zip(row["starts"], row["lengths"], strict=True):
                     source.seek(at)
-                    fields, block = parse_record(zlib.decompress(source.read(n), 31))
-                    payload = block.partition(b"\r\n\r\n")[2] if fields["warc-type"] == "response" else None
-                    size, digest = int(fields["x-payload-length"]), fields["warc-payload-digest"].removeprefix("sha1:")
-                    if payload is not None and (len(payload), hashlib.sha1(payload).hexdigest()) != (size, digest):
-                        raise ValueError(f"{row['path']} at {at}: the payload doesn't match its digest")
-                    out.append((number(fields["x-page-id"]), fields["warc-target-uri"], fields["warc-type"], payload, size, digest, number(fields.get("x-refers-to-page"))))
+                    try:
+                        out.append(read_record(source.read(n)))
+                    except ValueError as e:
+                        raise ValueError(f"{row['path']} at {at}: {e}") from e
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), schema.types, strict=True)], schema=schema)
 
+    schema = to_arrow_schema(T._parse_datatype_string(_RECORD))
     n = int(paths.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     cut = in_arrow(paths.repartition(n), "path string, starts array<long>, lengths array<long>", slices)
-    return in_arrow(settled(cut).repartition(n), "page_id long, url string, record_type string, payload binary, payload_bytes long, payload_digest string, refers_to long", records)
+    return in_arrow(settled(cut).repartition(n), _RECORD, records)

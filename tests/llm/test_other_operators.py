@@ -1,5 +1,7 @@
 """Substrings, chats, WARC packages, URLs, personal data and the pipeline."""
 
+import base64
+import gzip
 import hashlib
 import io
 import random
@@ -165,6 +167,41 @@ def test_warc_round_trip(spark):
     assert warc.read_archives(warc.write_archives(pages.limit(0))).count() == 0
 
 
+def foreign(kind, block, http=False, **fields):
+    head = [("WARC-Type", kind), ("WARC-Record-ID", f"<urn:{kind}>"), ("Content-Type", "application/http; msgtype=response" if http else "text/plain"), *fields.items(), ("Content-Length", str(len(block)))]
+    return b"WARC/1.0\r\n" + "".join(f"{k.replace('_', '-')}: {v}\r\n" for k, v in head).encode() + b"\r\n" + block + b"\r\n\r\n"
+
+
+def test_packages_of_others(spark, tmp_path):
+    body = b"<p>hello</p>" * 99
+    b32 = base64.b32encode(hashlib.sha1(body).digest()).decode()
+    plain = [
+        foreign("warcinfo", b"software: x\r\n"), foreign("response", b"HTTP/1.1 200 OK\r\nA: b\r\n\r\n" + body, True, WARC_Target_URI="http://a/", WARC_Payload_Digest=f"sha1:{b32}"),
+        foreign("revisit", b"HTTP/1.1 200 OK\r\nContent-Length: 1188\r\n\r\n", True, WARC_Target_URI="http://b/", WARC_Payload_Digest=f"sha1:{b32}", WARC_Refers_To="<urn:response>"),
+    ]
+    packed = [gzip.compress(foreign("resource", b"data", WARC_Target_URI="http://c/")), gzip.compress(foreign("metadata", b"m" * 200_000))]
+    lines = [f'com,a)/{k} 20200101000000 {{"url": "u", "offset": "{sum(map(len, packed[:k]))}", "length": "{len(packed[k])}", "filename": "two.warc.gz"}}' for k in (1, 0)]
+    for name, indexed in (("x.wacz", True), ("y.wacz", False)):
+        with zipfile.ZipFile(tmp_path / name, "w", zipfile.ZIP_STORED) as z:
+            z.writestr("archive/one.warc", b"".join(plain))
+            z.writestr("archive/two.warc.gz", b"".join(packed))
+            if indexed:
+                z.writestr("indexes/index.cdxj", "!meta {}\n" + "\n".join(lines) + "\n")
+            z.writestr("datapackage.json", "{}", compress_type=zipfile.ZIP_DEFLATED)
+        rows = warc.read_archives(spark.createDataFrame([(f"file://{tmp_path}/{name}",)], "path string"), slice_bytes=300).collect()
+        by = {r["record_type"]: r for r in rows}
+        assert sorted(by) == ["metadata", "resource", "response", "revisit", "warcinfo"] and len(rows) == 5
+        assert bytes(by["response"]["payload"]) == body and by["response"]["payload_digest"] == hashlib.sha1(body).hexdigest() and by["response"]["page_id"] is None
+        assert (by["revisit"]["payload"], by["revisit"]["payload_bytes"], by["revisit"]["refers_to_record"]) == (None, 1188, "<urn:response>")
+        assert bytes(by["resource"]["payload"]) == b"data" and by["resource"]["url"] == "http://c/" and by["metadata"]["payload_bytes"] == 200_000
+    with pytest.raises(ValueError):
+        warc.read_record(foreign("resource", b"data", WARC_Payload_Digest=f"sha1:{b32}"))
+
+
+def test_index_keys():
+    assert warc.url_key("https://www.Example.org:80/A b?x=1") == "org,example,www)/a%20b?x=1" and " " not in warc.url_key("http://[x y") and warc.url_key("") == ")"
+
+
 class Bytes(io.BytesIO):
     def size(self):
         return len(self.getvalue())
