@@ -20,6 +20,8 @@ from .common import in_arrow, pieces, settled
 
 #: Bytes of benchmark text in one block. Blocks are what the driver holds and broadcasts; more text is more blocks.
 BLOCK_BYTES = 16 << 20
+#: Words of an item that are one row of a block; longer items are several, which overlap.
+ITEM_WORDS = 100_000
 
 _WORD = bytes(range(48, 58)) + bytes(range(97, 123)) + bytes(range(128, 256))
 _TO_WORDS = bytes(b + 32 if 65 <= b <= 90 else b if b in _WORD else 32 for b in range(256))
@@ -32,37 +34,42 @@ def words_of(text: bytes) -> list[bytes]:
 
 @dataclass
 class Windows:
-    """A block's windows as numbers of words. A shingle is two words, or the word of a window of one."""
+    """A block's windows as slices of its items' words, which are numbers. A shingle is two words, or the word of a window of one."""
 
     vocab: dict[bytes, int]  # from 1; 0 is any other word
     items: list[str]
+    words: np.ndarray  # of all items, one behind the other, 0 behind each
     item: np.ndarray  # of each window
-    words: np.ndarray  # windows x width, filled up with -1
+    start: np.ndarray  # in words
     length: np.ndarray
+    width: int
 
     @classmethod
     def of(cls, rows: list[Row], width: int) -> Windows:
         vocab: dict[bytes, int] = {}
         names: dict[str, int] = {}
-        found: dict[tuple[int, tuple[int, ...]], None] = {}
+        words, item, start, length, at = [np.zeros(0, np.int32)], [], [], [], 0
         for row in rows:
             ids = [vocab.setdefault(w, len(vocab) + 1) for w in words_of(bytes(row["text"] or b""))]
             if ids and row["item"] is not None:
-                item = names.setdefault(row["item"], len(names))
-                for s in range(max(1, len(ids) - width + 1)):
-                    found[item, tuple(ids[s : s + width])] = None
-        words = np.full((len(found), width), -1, np.int64)
-        for k, (_, ids) in enumerate(found):
-            words[k, : len(ids)] = ids
-        return cls(vocab, list(names), np.array([i for i, _ in found], np.int64), words, (words >= 0).sum(1))
-
-    def shingles(self) -> np.ndarray:
-        """windows x places: the shingle's key at each place of a window, -1 beyond its end."""
-        base = len(self.vocab) + 1
-        after = np.concatenate([self.words[:, 1:], np.full((len(self.words), 1), -1)], 1)
-        keys = np.where(after >= 0, self.words * base + after, -1)
-        keys[:, 0] = np.where(self.length == 1, self.words[:, 0], keys[:, 0])
-        return keys
+                n = max(1, len(ids) - width + 1)
+                words.append(np.array([*ids, 0], np.int32))
+                item.append(np.full(n, names.setdefault(row["item"], len(names)), np.int32))
+                start.append(np.arange(at, at + n, dtype=np.int32))
+                length.append(np.full(n, min(width, len(ids)), np.int32))
+                at += len(ids) + 1
+        join = lambda x: np.concatenate([np.zeros(0, np.int32), *x])
+        return cls(vocab, list(names), np.concatenate(words), join(item), join(start), join(length), width)
+
+    def pairs(self) -> np.ndarray:
+        """The key of the pair of words at each place, -1 at an item's last word and behind it."""
+        after = np.append(self.words[1:], 0)[: len(self.words)]
+        return np.where((self.words > 0) & (after > 0), self.words.astype(np.int64) * (len(self.vocab) + 1) + after, -1)
+
+    def keys(self) -> np.ndarray:
+        """The shingles' keys, sorted, each once."""
+        pairs, single = self.pairs(), self.words[self.start[self.length == 1]]
+        return np.unique(np.concatenate([pairs[pairs >= 0], single.astype(np.int64)]))
 
 
 def _corpus(windows: Windows, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -78,8 +85,7 @@ def _corpus(windows: Windows, texts: list[bytes | None]) -> tuple[np.ndarray, np
 
 def _rarity(docs: DataFrame, windows: Windows) -> np.ndarray:
     """In how many places of the whole corpus each of the block's shingles stands, by the shingles' sorted keys."""
-    keys = np.unique(windows.shingles())
-    keys = keys[keys >= 0]
+    keys = windows.keys()
     shared = docs.sparkSession.sparkContext.broadcast((windows, keys))
 
     def run(batch: pa.RecordBatch):
@@ -94,9 +100,10 @@ def _rarity(docs: DataFrame, windows: Windows) -> np.ndarray:
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], names=["k", "n"])
 
-    counted = in_arrow(docs.select("text"), "k long, n long", run).groupBy("k").agg(F.sum("n").alias("n")).collect()
+    counted = in_arrow(docs.select("text"), "k long, n long", run).groupBy("k").agg(F.sum("n").alias("n")).toArrow()
+    shared.unpersist()
     rarity = np.zeros(len(keys), np.int64)
-    rarity[[r["k"] for r in counted]] = [r["n"] for r in counted]
+    rarity[counted.column("k").to_numpy()] = counted.column("n").to_numpy()
     return rarity
 
 
@@ -111,13 +118,14 @@ class Prefixes:
 
     @classmethod
     def of(cls, windows: Windows, rarity: np.ndarray) -> Prefixes:
-        shingles = windows.shingles()
-        keys = np.unique(shingles)
-        keys = keys[keys >= 0]
-        cost = np.where(shingles >= 0, rarity[np.searchsorted(keys, np.maximum(shingles, keys[0]))], np.iinfo(np.int64).max)
-        place = cost.argmin(1)
-        own = shingles[np.arange(len(place)), place]
-        order = np.argsort(own, kind="stable")
+        keys, pairs = windows.keys(), windows.pairs()
+        cost = np.where(pairs >= 0, rarity[np.searchsorted(keys, np.maximum(pairs, keys[0]))], 0) if len(keys) else pairs
+        place, own, least = np.zeros(len(windows.start), np.int32), windows.words[windows.start].astype(np.int64), np.full(len(windows.start), np.iinfo(np.int64).max)
+        for j in range(windows.width - 1):
+            at = np.minimum(windows.start + j, len(pairs) - 1)
+            better = (j < windows.length - 1) & (cost[at] < least)
+            place[better], own[better], least[better] = j, pairs[at[better]], cost[at[better]]
+        order = np.argsort(own, kind="stable").astype(np.int32)
         known, first = np.unique(own[order], return_index=True)
         return cls(known, np.append(first, len(order)), order, place[order])
 
@@ -141,11 +149,11 @@ def _matches(windows: Windows, prefixes: Prefixes, texts: list[bytes | None]):
     text = np.searchsorted(starts, np.maximum(start, 0), side="right") - 1
     length = windows.length[window]
     ok = (start >= starts[text]) & (start + length <= starts[text] + sizes[text])
-    for j in range(windows.words.shape[1]):
+    for j in range(windows.width):
         window, start, text, length = window[ok], start[ok], text[ok], length[ok]
         if not len(window):
             break
-        ok = (j >= length) | (ids[np.minimum(start + j, len(ids) - 1)] == windows.words[window, j])
+        ok = (j >= length) | (ids[np.minimum(start + j, len(ids) - 1)] == windows.words[np.minimum(windows.start[window] + j, len(windows.words) - 1)])
     else:
         window, start, text, length = window[ok], start[ok], text[ok], length[ok]
     return text, start - starts[text], start - starts[text] + length, windows.item[window], sizes
@@ -161,59 +169,102 @@ def _union(starts: list[int], ends: list[int]) -> list[dict[str, int]]:
     return out
 
 
-_FOUND = pa.struct([("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), ("items", pa.list_(pa.string()))])
+_SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+_KINDS = "spans array<struct<start: long, end: long>>, items array<string>"
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, width: int = 13, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES, carry: bool = False) -> DataFrame:
+def _found(windows: Windows, prefixes: Prefixes, texts: list[bytes | None]) -> tuple[np.ndarray, dict[int, tuple[list[dict], list[str]]]]:
+    """Numbers of words, and of each text with a hit its spans and items."""
+    if not len(windows.start):
+        return np.array([len(words_of(t or b"")) for t in texts], np.int64), {}
+    text, start, end, item, sizes = _matches(windows, prefixes, texts)
+    order, out = np.argsort(text, kind="stable"), {}
+    for group in np.split(order, np.flatnonzero(np.diff(text[order])) + 1) if len(order) else []:
+        out[int(text[group[0]])] = _union(start[group].tolist(), end[group].tolist()), sorted(windows.items[i] for i in set(item[group].tolist()))
+    return sizes, out
+
+
+def _item_rows(benchmark: DataFrame, width: int, most: int) -> DataFrame:
+    """(item, text) of items that have an id; an item of over `most` words in several rows, which have each window once."""
+
+    def run(batch: pa.RecordBatch):
+        for item, text in zip(batch.column("item").to_pylist(), batch.column("text").to_pylist(), strict=True):
+            words = words_of(text)
+            cuts = [text] if len(words) <= most + width else [b" ".join(words[s : s + most + width - 1]) for s in range(0, len(words) - width + 1, most)]
+            for cut in cuts:
+                yield pa.RecordBatch.from_arrays([pa.array([item]), pa.array([cut], pa.binary())], names=["item", "text"])
+
+    rows = benchmark.select(F.col("item_id").cast("string").alias("item"), F.encode("text", "UTF-8").alias("text"))
+    return in_arrow(rows.where("item is not null and text is not null"), "item string, text binary", run)
+
+
+def contamination(
+    docs: DataFrame, benchmark: DataFrame, width: int = 13, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES, carry: bool = False, item_words: int = ITEM_WORDS
+) -> DataFrame:
     """(id, n_words, spans, items): per document the word spans [start, end) inside occurrences of windows, and the items.
 
     A window is `width` consecutive words of an item, or all of an item of fewer words. Null texts have
     no words; items without words or with a null id have no windows; items with the same id count as one.
+    Long texts are taken whole: a task holds one text and about 20 bytes a word.
     benchmark has item_id and text. It is read in blocks of about block_bytes, of which each is broadcast
-    and sees all documents; what one block found goes on with the rows, written in the shared folder.
+    (some ten bytes for each of its own) and sees all documents. One block's finds go straight to the rows;
+    of several blocks the few documents with hits are joined to the rows by id and text, once.
     Only id and text are read, unless all columns are to be carried along, in a struct `row`.
     """
-    items = benchmark.select(F.col("item_id").cast("string").alias("item"), F.encode("text", "UTF-8").alias("text"))
-    size = items.agg(F.coalesce(F.sum(F.octet_length("text") + 64), F.lit(0))).first()[0]
+    spark = docs.sparkSession
+    items = _item_rows(benchmark, width, item_words)
+    size = benchmark.agg(F.coalesce(F.sum(F.octet_length("text") + 64), F.lit(0))).first()[0]
     blocks = max(1, -(-size // block_bytes))
+    items = items if blocks == 1 else settled(items)
     more = [F.struct(*docs.columns).alias("row")] if carry else []
     rows = docs.select(F.col(id_col).alias("id"), F.encode(F.col(text_col), "UTF-8").alias("text"), *more)
-    kinds = "spans: array<struct<start: long, end: long>>, items: array<string>"
-    empty = F.from_json(F.lit('{"spans": [], "items": []}'), T._parse_datatype_string(f"struct<{kinds}>"))
-    tail = [rows.schema["row"]] if carry else []
-    schemas = [T.StructType([rows.schema["id"], *T._parse_datatype_string(f"{mid}, found struct<{kinds}>").fields, *tail]) for mid in ("text binary", "n_words long")]
-    state = rows.withColumn("found", empty)
-    for k in range(blocks):
+    kind, tail = rows.schema["id"], ["row"] if carry else []
+    schema = lambda middle: T.StructType([kind, *T._parse_datatype_string(middle).fields, *(rows.schema[c] for c in tail)])
+
+    def block(k: int):
         part = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == k)
         windows = Windows.of(part.collect(), width)
-        last = k == blocks - 1
-        if not len(windows.words) and not last:
-            continue
-        prefixes = Prefixes.of(windows, _rarity(rows, windows)) if len(windows.words) else None
-        shared = docs.sparkSession.sparkContext.broadcast((windows, prefixes))
-
-        def run(batch: pa.RecordBatch, shared=shared, last=last):
-            windows, prefixes = shared.value
+        return spark.sparkContext.broadcast((windows, Prefixes.of(windows, _rarity(rows, windows)) if len(windows.start) else None))
+
+    def spelled(sizes, found: list[tuple], part: pa.RecordBatch) -> pa.RecordBatch:
+        columns = [part.column("id"), pa.array(sizes), pa.array([s for s, _ in found], _SPANS), pa.array([i for _, i in found], pa.list_(pa.string())), *(part.column(c) for c in tail)]
+        return pa.RecordBatch.from_arrays(columns, names=["id", "n_words", "spans", "items", *tail])
+
+    if blocks == 1:
+        shared = block(0)
+
+        def whole(batch: pa.RecordBatch):
             for part in pieces(batch, "text", 8 << 20):
-                texts, found = part.column("text").to_pylist(), part.column("found").to_pylist()
-                if prefixes is None:
-                    sizes = np.array([len(words_of(t or b"")) for t in texts], np.int64)
-                else:
-                    text, start, end, item, sizes = _matches(windows, prefixes, texts)
-                    order = np.argsort(text, kind="stable")
-                    cuts = np.flatnonzero(np.diff(text[order])) + 1
-                    for group in np.split(order, cuts) if len(order) else []:
-                        old = found[text[group[0]]]
-                        spans = _union([*start[group].tolist(), *(s["start"] for s in old["spans"])], [*end[group].tolist(), *(s["end"] for s in old["spans"])])
-                        found[text[group[0]]] = {"spans": spans, "items": sorted({*old["items"], *(windows.items[i] for i in set(item[group].tolist()))})}
-                out = [part.column("id"), pa.array(sizes) if last else part.column("text"), pa.array(found, _FOUND)]
-                out += [part.column("row")] if carry else []
-                yield pa.RecordBatch.from_arrays(out, names=["id", "n_words" if last else "text", "found", "row"][: len(out)])
-
-        state = in_arrow(state.select("id", "text", "found", *(["row"] if carry else [])), schemas[last], run)
-        if not last:
-            state = settled(state)
-    return state.select("id", "n_words", "found.spans", "found.items", *(["row"] if carry else []))
+                sizes, found = _found(*shared.value, part.column("text").to_pylist())
+                yield spelled(sizes, [found.get(i, ([], [])) for i in range(part.num_rows)], part)
+
+        return in_arrow(rows, schema(f"n_words long, {_KINDS}"), whole)
+
+    keyed = rows.withColumn("h", F.xxhash64("text"))
+    hits = None
+    for k in range(blocks):
+        shared = block(k)
+
+        def some(batch: pa.RecordBatch, shared=shared):
+            for part in pieces(batch, "text", 8 << 20):
+                _, found = _found(*shared.value, part.column("text").to_pylist())
+                if found:
+                    at = pa.array(list(found))
+                    yield pa.RecordBatch.from_arrays([part.column("id").take(at), part.column("h").take(at), *(pa.array(c, t) for c, t in zip(zip(*found.values(), strict=True), (_SPANS, pa.list_(pa.string())), strict=True))], names=["id", "h", "spans", "items"])
+
+        one = settled(in_arrow(keyed.select("id", "text", "h"), T.StructType([kind, *T._parse_datatype_string(f"h long, {_KINDS}").fields]), some))
+        shared.unpersist()
+        hits = one if hits is None else hits.unionByName(one)
+    hits = hits.groupBy("id", "h").agg(F.flatten(F.collect_list("spans")).alias("spans"), F.flatten(F.collect_list("items")).alias("items")).withColumnsRenamed({"id": "id2", "h": "h2"})
+    joined = keyed.join(hits, keyed["id"].eqNullSafe(hits["id2"]) & (keyed["h"] == hits["h2"]), "left").select("id", "text", "spans", "items", *tail)
+
+    def merged(batch: pa.RecordBatch):
+        for part in pieces(batch, "text", 8 << 20):
+            sizes = np.array([len(words_of(t or b"")) for t in part.column("text").to_pylist()], np.int64)
+            found = [(_union([x["start"] for x in s or ()], [x["end"] for x in s or ()]), sorted(set(i or ()))) for s, i in zip(part.column("spans").to_pylist(), part.column("items").to_pylist(), strict=True)]
+            yield spelled(sizes, found, part)
+
+    return in_arrow(joined, schema(f"n_words long, {_KINDS}"), merged)
 
 
 def judged(found: DataFrame) -> DataFrame:

@@ -217,16 +217,19 @@ def plain_contamination(docs, items, width):
     return out
 
 
-@pytest.mark.parametrize("block_bytes", [700, 1 << 20])
-def test_contamination_equals_brute_force(spark, block_bytes):
+@pytest.mark.parametrize("block_bytes,item_words", [(700, 100), (1 << 20, 1), (700, 2)])
+def test_contamination_equals_brute_force(spark, block_bytes, item_words):
     r = random.Random(3)
     some = lambda n, m: None if r.random() < 0.05 else " ".join(r.choice(["a", "b", "c", "D", "é-"]) for _ in range(r.randint(n, m)))
     rows, items = [(i, some(0, 40)) for i in range(150)], [(i, some(0, 7)) for i in range(30)]
-    found = decontaminate.judged(decontaminate.contamination(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), width=4, block_bytes=block_bytes))
+    found = decontaminate.judged(decontaminate.contamination(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), width=4, block_bytes=block_bytes, item_words=item_words))
     assert {x["id"]: (x["n_words"], x["n_hit"], x["items"], x["contaminated"]) for x in found.collect()} == plain_contamination(rows, items, 4)
 
 
 def test_contamination_of_odd_tables(spark, odd, empty):
+    many = [(i, t) for i, t in enumerate(["same", "here", "x" * 30_000, "id same"] * 20)]
+    found = decontaminate.judged(decontaminate.contamination(odd, spark.createDataFrame(many, "item_id long, text string"), block_bytes=40_000, carry=True))
+    assert Counter((r["id"], r["n_hit"], len(r["items"])) for r in found.collect()) == Counter({(1, 0, 0): 1, (2, 0, 0): 1, (None, 1, 20): 1, (4, 2, 20): 2, (5, 0, 0): 1, (6, 1, 20): 1})
     none = spark.createDataFrame([(1, None), (None, "same same")], "item_id long, text string")
     assert {r["n_hit"] for r in decontaminate.judged(decontaminate.contamination(odd, none)).collect()} == {0}
     one = spark.createDataFrame([(7, "Same")], "item_id long, text string")
