@@ -5,24 +5,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.shared import fresh_dir, settled
+
 
 def closure(edges: DataFrame, most_rounds: int = 64) -> DataFrame:
     """(src, dst) of every pair with a path of one edge or more, each once; cycles are fine.
 
-    Paths double in length each round, so a path of n edges takes log2(n) rounds. Each round is written
-    to the checkpoint folder if the session has one, else to memory and disk.
+    Only new paths are joined, each round with all known ones, so paths double in length: a path of n edges
+    takes log2(n) rounds and each pair is made from the round's new pairs alone.
     """
-    keep = _keeper(edges)
     edge = edges.select("src", "dst").where("src is not null and dst is not null").distinct()
-    paths = keep(edge)
-    n = paths.count()
+    paths = fresh = settled(edge)
     for _ in range(most_rounds):
-        longer = paths.join(paths.select(F.col("src").alias("dst"), F.col("dst").alias("end")), "dst").select("src", F.col("end").alias("dst"))
-        more = keep(paths.unionByName(longer).distinct())
-        size = more.count()
-        if size == n:
-            return more
-        paths, n = more, size
+        onward = paths.select(F.col("src").alias("dst"), F.col("dst").alias("end"))
+        before = paths.select("src", F.col("dst").alias("via"))
+        longer = fresh.join(onward, "dst").select("src", F.col("end").alias("dst"))
+        longer = longer.unionByName(before.join(fresh.select(F.col("src").alias("via"), "dst"), "via").select("src", "dst"))
+        fresh = settled(longer.distinct().join(paths, ["src", "dst"], "left_anti"))
+        if fresh.isEmpty():
+            return paths
+        paths = settled(paths.unionByName(fresh))
     raise ValueError(f"paths of over 2**{most_rounds} edges")
 
 
@@ -30,21 +32,23 @@ def levels(edges: DataFrame, most_levels: int = 10_000) -> DataFrame:
     """(node, level) of an acyclic graph: 0 for nodes that need none, else one more than the highest they need.
 
     Nodes on a cycle, or that need one on it, have no level and give no row. Each round settles a level:
-    nodes all of whose needs are settled.
+    nodes whose needs have all been met; what is left of the needs gets smaller with each. Levels are written
+    in the shared folder, one part each. ValueError if nodes without unmet needs are left after most_levels.
     """
-    keep = _keeper(edges)
-    edge = keep(edges.select("src", "dst").distinct())
-    left = keep(edge.select(F.explode(F.array("src", "dst")).alias("node")).distinct())
-    done = None
-    for level in range(most_levels):
-        waiting = edge.join(left.withColumnRenamed("node", "dst"), "dst", "left_semi").select(F.col("src").alias("node")).distinct()
-        ready = keep(left.join(waiting, "node", "left_anti"))
+    spark = edges.sparkSession
+    at = fresh_dir(spark, "levels")
+    needs = settled(edges.select(F.col("src").alias("node"), F.col("dst").alias("need")).distinct())
+    left = settled(needs.select(F.explode(F.array("node", "need")).alias("node")).distinct())
+    for level in range(most_levels + 1):
+        ready = settled(left.join(needs, "node", "left_anti"))
         if ready.isEmpty():
             break
-        here = ready.withColumn("level", F.lit(level))
-        done = here if done is None else done.unionByName(here)
-        left = keep(left.join(ready, "node", "left_anti"))
-    return done if done is not None else left.withColumn("level", F.lit(0))
+        if level == most_levels:
+            raise ValueError(f"over {most_levels} levels")
+        ready.withColumn("level", F.lit(level)).write.mode("append").parquet(at)
+        left = settled(left.join(ready, "node", "left_anti"))
+        needs = settled(needs.join(ready.withColumnRenamed("node", "need"), "need", "left_anti").select("node", "need"))
+    return spark.read.schema(f"node {dict(edges.dtypes)['src']}, level int").parquet(at) if level else left.limit(0).withColumn("level", F.lit(0))
 
 
 def affected(edges: DataFrame, changed: DataFrame) -> DataFrame:
@@ -52,8 +56,3 @@ def affected(edges: DataFrame, changed: DataFrame) -> DataFrame:
     paths = closure(edges)
     needing = paths.join(changed.select(F.col("node").alias("dst")), "dst", "left_semi").select(F.col("src").alias("node"))
     return needing.unionByName(changed.select("node")).distinct()
-
-
-def _keeper(df: DataFrame):
-    folder = df.sparkSession.sparkContext.getCheckpointDir()
-    return (lambda x: x.checkpoint()) if folder else (lambda x: x.persist())

@@ -136,6 +136,11 @@ def test_graphs(spark):
     e = spark.createDataFrame([("a", "b"), ("b", "c"), ("d", "c"), ("x", "y"), ("y", "x")], "src string, dst string")
     assert {(r[0], r[1]) for r in graph.closure(e).collect()} == {("a", "b"), ("b", "c"), ("a", "c"), ("d", "c"), ("x", "y"), ("y", "x"), ("x", "x"), ("y", "y")}
     assert {r["node"]: r["level"] for r in graph.levels(e).collect()} == {"c": 0, "b": 1, "d": 1, "a": 2}
+    chain = spark.createDataFrame([(k, k + 1) for k in range(6)], "src int, dst int")
+    assert sorted(r["level"] for r in graph.levels(chain, most_levels=7).collect()) == list(range(7)) and graph.closure(chain).count() == 21
+    with pytest.raises(ValueError):
+        graph.levels(chain, most_levels=6)
+    assert graph.levels(spark.createDataFrame([(1, 2), (2, 1)], "src int, dst int")).count() == 0
     assert {r[0] for r in graph.affected(e, spark.createDataFrame([("b",)], "node string")).collect()} == {"a", "b"}
 
 
