@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
@@ -12,6 +10,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ..functions.partitions import spread
+from ..functions.shared import fresh_dir, settled, shared_dir
+
+__all__ = ["fresh_dir", "in_arrow", "join_skewed", "pieces", "settled", "shared_dir", "spread", "table"]
 
 #: A key is hot if it holds more than 1/HOT_PARTS of all rows; so there are fewer than HOT_PARTS hot keys.
 HOT_PARTS = 1024
@@ -22,30 +23,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir of the session.
-
-    Only where the session names none (tests on one machine) a temporary folder is set.
-    """
-    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if at is None:
-        at = "file://" + tempfile.mkdtemp(prefix="graphloom-")
-        spark.conf.set("spark.checkpoint.dir", at)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(at)
-    return at
-
-
-def fresh_dir(spark: SparkSession, what: str) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
-
-
-def settled(df: DataFrame) -> DataFrame:
-    """df, its lineage cut by a checkpoint in the shared folder, so that it survives lost executors."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def in_arrow(df: DataFrame, schema: str | StructType, f: Callable[[pa.RecordBatch], Iterable[pa.RecordBatch]]) -> DataFrame:
     """f over each Arrow batch of df."""
 

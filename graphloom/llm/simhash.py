@@ -23,14 +23,15 @@ from .common import in_arrow, join_skewed, pieces, settled
 from .components import components
 
 SEED = 42
-#: Rows of a tile that are compared as one; larger tiles are split, so that a task's memory is bounded.
-TILE_ROWS = 32_768
+#: Rows of a tile that are compared as one; larger tiles are split, so that a task's memory is bounded. Each row
+#: goes to all parts of the tiles near its own, so what is shuffled grows with the square beyond this size.
+TILE_ROWS = 1 << 18
 #: Rows of a block within a tile.
 BLOCK = 128
 
 #: With a similarity: tiles of a range of sizes are split into so many parts of all rows, within bounds of
-#: rows and shingles.
-TILE_PARTS, LEAST_ROWS, MOST_ROWS, MOST_SHINGLES = 32, 1024, 65_536, 4_000_000
+#: rows and of their sketches' bytes; and sets are verified in parts of so many shingles.
+TILE_PARTS, LEAST_ROWS, MOST_ROWS, SKETCH_BYTES, MOST_SHINGLES = 32, 1024, 1 << 18, 64 << 20, 4_000_000
 #: Ranges of sizes by the power of e.
 BANDS = 16
 
@@ -318,16 +319,17 @@ def similar_links(groups: DataFrame, docs: DataFrame, words: int, radius: int, s
 
     Rows go to a tile by the power of their set's size, large tiles to several chunks, and each chunk to the
     pairs of chunks whose sizes may be similar. First each pair of chunks tells the rows that have a partner
-    in reach by bits, sizes and sketches, then it gets those rows' sets and verifies. Neither sends pairs,
-    so a group of near copies costs its size, and bits and sets are compared within tasks only.
+    in reach by bits, sizes and sketches, then it gets those rows' sets and verifies, in pairs of parts if
+    there are many. Neither sends pairs of rows, so a group of near copies costs its size, and bits and sets
+    are compared within tasks only.
     """
     spark = groups.sparkSession
     rows = groups.withColumn("band", F.floor(F.log(F.greatest("size", F.lit(1)).cast("double")) * BANDS).cast("int"))
-    sizes = rows.groupBy("band").agg(F.count("*").alias("n"), F.sum("size").alias("m")).collect()
+    sizes = rows.groupBy("band").agg(F.count("*").alias("n"), F.sum(F.octet_length("sketch")).alias("m")).collect()
     if not sizes:
         return spark.createDataFrame([], "a long, b long")
     tile_rows = min(MOST_ROWS, max(LEAST_ROWS, sum(r["n"] for r in sizes) // TILE_PARTS))
-    chunks = spark.createDataFrame([(r["band"], max(-(-r["n"] // tile_rows), -(-r["m"] // MOST_SHINGLES))) for r in sizes], "band int, m int")
+    chunks = spark.createDataFrame([(r["band"], max(-(-r["n"] // tile_rows), -(-r["m"] // SKETCH_BYTES))) for r in sizes], "band int, m int")
     reach = int(-np.log(similarity) * BANDS) + 1
     tile = lambda band, c: F.col(band).cast("long") * F.lit(1 << 32) + F.col(c)
     placed = (
@@ -352,22 +354,25 @@ def similar_links(groups: DataFrame, docs: DataFrame, words: int, radius: int, s
                 near = in_reach(x, y, size, sketches, similarity)
                 found[x[near]] = found[y[near]] = True
             if found.any():
-                yield from table.select(["one", "two", "second", "key", "node", "fp"]).filter(pa.array(found)).to_batches()
+                yield from table.select(["one", "two", "second", "key", "node", "fp", "size"]).filter(pa.array(found)).to_batches()
 
     def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in by_keys(batches, ["one", "two"]):
+        for table in by_keys(batches, ["one", "two", "sub"]):
             sets = [u for c in table.column("shingles").chunks for u in np.split(c.flatten().to_numpy().view(np.uint64), (c.offsets.to_numpy()[1:-1] - c.offsets[0].as_py()))]
             a, b = _trees(table.column("node").to_numpy(), similar_components(sets, _pair_links(table, radius), similarity), fan=16)
             if len(a):
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = lambda df: df.repartition(n, "one", "two").sortWithinPartitions("one", "two")
-    near = settled(dealt(placed).mapInArrow(partnered, "one long, two long, second boolean, key long, node long, fp long"))
+    dealt = lambda df, *keys: df.repartition(n, *keys).sortWithinPartitions(*keys)
+    near = settled(dealt(placed, "one", "two").mapInArrow(partnered, "one long, two long, second boolean, key long, node long, fp long, size int"))
+    parts = near.groupBy("one", "two").agg(F.ceil(F.sum("size") / MOST_SHINGLES).alias("m")).withColumn("m", F.greatest("m", F.lit(1)))
+    split = near.join(parts, ["one", "two"]).withColumn("c", F.pmod(F.xxhash64("key"), "m")).withColumn("c2", F.explode(F.sequence(F.lit(0).cast("long"), F.col("m") - 1)))
+    split = split.withColumn("sub", F.least("c", "c2") * F.col("m") + F.greatest("c", "c2"))
     needed = near.select("key", "node").distinct()
     own = docs.join(needed.select(F.col("node").alias("need")), docs[id_col] == F.col("need"), "left_semi")
     sets = _profiles(own, words, id_col, text_col, with_sets=True).dropDuplicates(["key"]).select("key", "shingles")
-    return dealt(near.join(sets, "key").select("one", "two", "second", "node", "fp", "shingles")).mapInArrow(verified, "a long, b long")
+    return dealt(split.join(sets, "key").select("one", "two", "sub", "second", "node", "fp", "shingles"), "one", "two", "sub").mapInArrow(verified, "a long, b long")
 
 
 def near_duplicates(

@@ -122,7 +122,10 @@ def test_links_keep_components(spark, tile_rows):
     assert {i: roots.get(i, i) for i in fps} == plain_components(fps, 3)
 
 
-def test_wide_links_are_verified(spark):
+@pytest.mark.parametrize("shingles,rows_least", [(4_000_000, 1024), (400, 8)])
+def test_wide_links_are_verified(spark, shingles, rows_least, monkeypatch):
+    monkeypatch.setattr(simhash, "MOST_SHINGLES", shingles)
+    monkeypatch.setattr(simhash, "LEAST_ROWS", rows_least)
     r = random.Random(11)
     vocab = ["w%d" % i for i in range(4000)]
     base = [r.choice(vocab) for _ in range(150)]
