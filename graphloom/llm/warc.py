@@ -31,8 +31,8 @@ from .common import fresh_dir, in_arrow, join_skewed, settled
 REVISIT_BYTES = 1000
 #: An archive is closed once it has so many bytes.
 ARCHIVE_BYTES = 64 << 20
-#: Bytes of records that one reading task takes from an archive.
-SLICE_BYTES = 8 << 20
+#: Bytes of records that one reading task takes from an archive, and of payloads that it holds at once.
+SLICE_BYTES, HELD_BYTES = 8 << 20, 4 << 20
 _SPACE_ID = uuid.UUID("5f0d7f4e-4b0e-5a7c-9d55-3f6f4b7a9d11")
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -326,8 +326,9 @@ def read_archives(paths: DataFrame, slice_bytes: int = SLICE_BYTES) -> DataFrame
                 yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([starts]), pa.array([lengths])], names=["path", "starts", "lengths"])
 
     def records(batch: pa.RecordBatch):
+        made = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
         for row in batch.to_pylist():
-            out = []
+            out, held = [], 0
             with _open(row["path"]) as source:
                 for at, n in zip(row["starts"], row["lengths"], strict=True):
                     source.seek(at)
@@ -335,7 +336,12 @@ def read_archives(paths: DataFrame, slice_bytes: int = SLICE_BYTES) -> DataFrame
                         out.append(read_record(source.read(n)))
                     except ValueError as e:
                         raise ValueError(f"{row['path']} at {at}: {e}") from e
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), schema.types, strict=True)], schema=schema)
+                    held += len(out[-1][3] or b"")
+                    if held >= HELD_BYTES:
+                        yield made(out)
+                        out, held = [], 0
+            if out:
+                yield made(out)
 
     schema = to_arrow_schema(T._parse_datatype_string(_RECORD))
     n = int(paths.sparkSession.conf.get("spark.sql.shuffle.partitions"))
