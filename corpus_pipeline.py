@@ -10,8 +10,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from graphloom.functions.shared import fresh_dir, remove_dir
 from graphloom.llm import decontaminate, packing, pii, quality, simhash
-from graphloom.llm.common import fresh_dir, table
+from graphloom.llm.common import table
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -58,9 +59,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents of sf_dir."""
+    """All stages over the documents of sf_dir. A stage's table goes once the next one's is written."""
     docs, at = table(spark, sf_dir, "documents"), fresh_dir(spark, "pipeline")
     for k, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.mode("overwrite").parquet(f"{at}/{k}")
         docs = spark.read.parquet(f"{at}/{k}")
+        if k:
+            remove_dir(spark, f"{at}/{k - 1}")
     return docs

@@ -30,6 +30,12 @@ def fresh_dir(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
 
 
+def remove_dir(spark: SparkSession, path: str) -> None:
+    """Deletes a folder that a job has written, wherever Spark can write; nothing if there is none."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def settled(df: DataFrame) -> DataFrame:
     """df, its lineage cut by a checkpoint in the shared folder, so that it survives lost executors."""
     shared_dir(df.sparkSession)
