@@ -12,7 +12,7 @@ from pyspark.sql.types import StructType
 from ..functions.partitions import spread
 from ..functions.shared import fresh_dir, settled, shared_dir
 
-__all__ = ["fresh_dir", "in_arrow", "join_skewed", "pieces", "settled", "shared_dir", "spread", "table"]
+__all__ = ["fresh_dir", "in_arrow", "join_skewed", "pieces", "settled", "shared_dir", "spread", "table", "with_row"]
 
 #: A key is hot if it holds more than 1/HOT_PARTS of all rows; so there are fewer than HOT_PARTS hot keys.
 HOT_PARTS = 1024
@@ -34,6 +34,12 @@ def in_arrow(df: DataFrame, schema: str | StructType, f: Callable[[pa.RecordBatc
     return df.mapInArrow(run, schema)
 
 
+def with_row(batch: pa.RecordBatch, id_col: str, text_col: str) -> pa.RecordBatch:
+    """A batch of whole rows in a struct `row`, with two of its fields, `id` and `text` in bytes, beside it; nothing is copied."""
+    row = batch.column("row")
+    return pa.RecordBatch.from_arrays([row.field(id_col), row.field(text_col).cast(pa.binary()), row], names=["id", "text", "row"])
+
+
 def pieces(batch: pa.RecordBatch, column: str, max_bytes: int) -> Iterator[pa.RecordBatch]:
     """Slices of a batch whose texts come to about max_bytes (one row at least)."""
     import pyarrow.compute as pc

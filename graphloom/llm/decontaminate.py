@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import in_arrow, pieces, settled
+from .common import in_arrow, pieces, settled, with_row
 
 #: Bytes of benchmark text in one block. Blocks are what the driver holds and broadcasts; more text is more blocks.
 BLOCK_BYTES = 16 << 20
@@ -91,7 +91,7 @@ def _rarity(docs: DataFrame, windows: Windows) -> np.ndarray:
     def run(batch: pa.RecordBatch):
         windows, keys = shared.value
         total = np.zeros(len(keys), np.int64)
-        for part in pieces(batch, "text", 8 << 20):
+        for part in pieces(batch, "text", 2 << 20):
             ids, _, _, pairs = _corpus(windows, part.column("text").to_pylist())
             for seen in (ids[ids > 0], pairs[(ids > 0) & (np.append(ids[1:], 0) > 0)]):
                 at = np.searchsorted(keys, seen)
@@ -234,11 +234,11 @@ def contamination(
         shared = block(0)
 
         def whole(batch: pa.RecordBatch):
-            for part in pieces(batch, "text", 8 << 20):
+            for part in pieces(with_row(batch, id_col, text_col) if carry else batch, "text", 2 << 20):
                 sizes, found = _found(*shared.value, part.column("text").to_pylist())
                 yield spelled(sizes, [found.get(i, ([], [])) for i in range(part.num_rows)], part)
 
-        return in_arrow(rows, schema(f"n_words long, {_KINDS}"), whole)
+        return in_arrow(rows.select("row") if carry else rows, schema(f"n_words long, {_KINDS}"), whole)
 
     keyed = rows.withColumn("h", F.xxhash64("text"))
     hits = None
@@ -246,7 +246,7 @@ def contamination(
         shared = block(k)
 
         def some(batch: pa.RecordBatch, shared=shared):
-            for part in pieces(batch, "text", 8 << 20):
+            for part in pieces(batch, "text", 2 << 20):
                 _, found = _found(*shared.value, part.column("text").to_pylist())
                 if found:
                     at = pa.array(list(found))
@@ -259,7 +259,7 @@ def contamination(
     joined = keyed.join(hits, keyed["id"].eqNullSafe(hits["id2"]) & (keyed["h"] == hits["h2"]), "left").select("id", "text", "spans", "items", *tail)
 
     def merged(batch: pa.RecordBatch):
-        for part in pieces(batch, "text", 8 << 20):
+        for part in pieces(batch, "text", 2 << 20):
             sizes = np.array([len(words_of(t or b"")) for t in part.column("text").to_pylist()], np.int64)
             found = [(_union([x["start"] for x in s or ()], [x["end"] for x in s or ()]), sorted(set(i or ()))) for s, i in zip(part.column("spans").to_pylist(), part.column("items").to_pylist(), strict=True)]
             yield spelled(sizes, found, part)

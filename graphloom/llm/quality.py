@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import in_arrow, pieces
+from .common import in_arrow, pieces, with_row
 
 SYMBOLS = b"#*$%&|<>"
 _SPACES = b" \t\n\x0b\x0c\r"
@@ -245,7 +245,7 @@ def train_field(docs: DataFrame, labels: DataFrame, sample: int = 2000, id_col:
     chosen = known.orderBy(F.xxhash64("id"), "id").limit(sample)
 
     def run(batch: pa.RecordBatch):
-        for part in pieces(batch, "text", 8 << 20):
+        for part in pieces(batch, "text", 2 << 20):
             texts = part.column("text").to_pylist()
             lines, _ = split_lines(texts, number_words(texts)[0])
             of = part.column("id").to_numpy()[lines.text]
@@ -278,7 +278,7 @@ def judge(docs: DataFrame, field: LineField | None, id_col: str = "doc_id", text
 
     def run(batch: pa.RecordBatch):
         field = shared.value
-        for part in pieces(batch, "text", 4 << 20):
+        for part in pieces(with_row(batch, id_col, text_col) if carry else batch, "text", 2 << 20):
             texts = [t or b"" for t in part.column("text").to_pylist()]
             ids, n_words = number_words(texts)
             lines, n_dup = split_lines(texts, ids)
@@ -295,9 +295,9 @@ def judge(docs: DataFrame, field: LineField | None, id_col: str = "doc_id", text
             names = ["id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "content", "kept", "row"]
             yield pa.RecordBatch.from_arrays([part.column("id"), *longs, pa.array(failed), pa.array(content), pa.array(kept), *extra], names=names[: 9 + carry])
 
-    rows = docs.select(F.col(id_col).alias("id"), F.encode(F.col(text_col), "UTF-8").alias("text"), *([F.struct(*docs.columns).alias("row")] if carry else []))
+    rows = docs.select(F.struct(*docs.columns).alias("row")) if carry else docs.select(F.col(id_col).alias("id"), F.encode(F.col(text_col), "UTF-8").alias("text"))
     known = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, content double, kept boolean"
-    schema = T.StructType([rows.schema["id"], *T._parse_datatype_string(known).fields, *([rows.schema["row"]] if carry else [])])
+    schema = T.StructType([docs.select(F.col(id_col).alias("id")).schema["id"], *T._parse_datatype_string(known).fields, *([rows.schema["row"]] if carry else [])])
     return in_arrow(rows, schema, run)
 
 
