@@ -19,10 +19,11 @@ CALL_TYPES = {
 # Kinds of nodes that declare a symbol.
 DECLARATIONS = ("parameter", "constant", "datum", "sketch", "feature", "reference", "material", "assembly", "pmi", "tolerance")
 # Names that need no declaration.
-BUILTINS = tuple(
-    "world origin x y z xy xz yz true false null unique one many missing solid surface face edge vertex profile blind "
-    "through_all symmetric new_body join subtract intersect observed certain hypothesis ambiguous inferred unknown".split()
-)
+BUILTINS = (
+    "world", "origin", "x", "y", "z", "xy", "xz", "yz", "true", "false", "null", "unique", "one", "many", "missing", "solid", "surface",
+    "face", "edge", "vertex", "profile", "blind", "through_all", "symmetric", "new_body", "join", "subtract", "intersect", "observed",
+    "certain", "hypothesis", "ambiguous", "inferred", "unknown",
+)
 # The four tolerance types.
 TOLERANCES = ("kernel_tolerance", "measurement_uncertainty", "dimensional_tolerance", "gdt_zone")
 # Operations that each profile adds to the ones before it.
@@ -60,7 +61,7 @@ EXECUTION_CONTRACT = {
     "explicit_result_required": True,
     "ambiguity_policy": "error-or-human-decision",
     "numeric_mode": "backend-profile-locked",
-    "step_anchor": [f"ISO-10303-{n}" for n in (42, 55, 108, 109, 111, 112, 113, 242)],
+    "step_anchor": ["ISO-10303-42", "ISO-10303-55", "ISO-10303-108", "ISO-10303-109", "ISO-10303-111", "ISO-10303-112", "ISO-10303-113", "ISO-10303-242"],
 }
 
 

@@ -81,7 +81,7 @@ class Reader:
     def document(self) -> dict:
         head = self.name("the language's name")
         if self.next.kind not in ("number", "string", "name"):
-            raise self.fail("expected language version")
+            raise self.fail(f"no version of the language before {self.next.text!r}")
         out = {"language": head.text, "version": self.take().value, "namespace": None, "imports": [], "models": []}
         self.need(";")
         if self.accept("namespace"):
@@ -89,7 +89,7 @@ class Reader:
             self.need(";")
         while start := self.accept("import"):
             if self.next.kind != "string":
-                raise self.fail("import requires a quoted URI or path")
+                raise self.fail("what is imported must stand in quotes")
             found = {"source": self.take().value, "alias": self.name().text if self.accept("as") else None}
             out["imports"].append(found | {"span": join(start.span, self.need(";").span)})
         while self.next.kind != "end":
@@ -107,7 +107,7 @@ class Reader:
         body = []
         while not self.sees("}"):
             if self.next.kind == "end":
-                raise self.fail("unterminated block")
+                raise self.fail("the text ends inside a block")
             body.append(self.statement())
         self.deeper(-1)
         return body, self.take().span

@@ -72,9 +72,9 @@ def scan(text: str) -> list[Token]:
 
 def _unreadable(text: str, at: int, places: Places) -> SourceError:
     if text.startswith("/*", at):
-        return SourceError("E000", "unterminated block comment", places.span(at, at + 2))
+        return SourceError("E000", "a comment has no end", places.span(at, at + 2))
     if text[at] == '"':
         stop = re.compile(r'(?:[^"\\\n]|\\.)*', re.S).match(text, at + 1).end()
-        said = "newline in string literal" if text[stop : stop + 1] == "\n" else "unterminated string literal"
+        said = "a string ends on another line" if text[stop : stop + 1] == "\n" else "a string has no end"
         return SourceError("E000", said, places.span(at, stop))
-    return SourceError("E000", f"unexpected character {text[at]!r}", places.span(at, at + 1))
+    return SourceError("E000", f"no token begins with {text[at]!r}", places.span(at, at + 1))

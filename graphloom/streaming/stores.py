@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import pickle
+import json
 from collections.abc import Iterator
 
 import pandas as pd
@@ -11,27 +11,34 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions.constants import BLOCKING
-from ..operators.ledger import replay_store
+from ..operators.ledger import EVENT, OUTCOMES, Revision, Store, fold
 
-_EVENT = ["store_id", "seq", "txn_id", "action", "message", "graph_json"]
+
+def _spelled(store: Store | None) -> str:
+    row = lambda r: [r.number, r.semantic_sha256, r.graph_json, r.message]
+    return json.dumps(None if store is None else [[row(r) for r in store.revisions], store.position, {k: row(r) for k, r in store.drafts.items()}])
+
+
+def _read(text: str) -> Store | None:
+    if (found := json.loads(text)) is None:
+        return None
+    revisions, position, drafts = found
+    return Store(tuple(Revision(*r) for r in revisions), position, {k: Revision(*r) for k, r in drafts.items()})
 
 
 def _advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    new = pd.concat(list(batches))
-    past = pickle.loads(state.get[0]) if state.exists else pd.DataFrame(columns=_EVENT)
-    rows = pd.concat([past, new[_EVENT]]) if len(past) else new[_EVENT]
-    state.update((pickle.dumps(rows),))
-    out = replay_store(rows)
-    yield out[out["seq"].isin(set(new["seq"]))]
+    store, out = fold(_read(state.get[0]) if state.exists else None, pd.concat(list(batches))[EVENT])
+    state.update((_spelled(store),))
+    yield out
 
 
 def replay_stream(events: DataFrame) -> DataFrame:
-    """Outcomes of each batch's events, with the store's earlier events as its state.
+    """Outcomes of each batch's events. A store's state is its revisions, cursor and open transactions, so a batch
+    costs its own events, however many came before.
 
     Events of a store must come in order of seq over batches; in a batch they may come in any order.
     """
-    schema = "store_id string, seq long, outcome string, number int, position int, semantic_sha256 string"
-    return events.groupBy("store_id").applyInPandasWithState(_advance, schema, "events binary", "append", GroupStateTimeout.NoTimeout)
+    return events.groupBy("store_id").applyInPandasWithState(_advance, OUTCOMES, "store string", "append", GroupStateTimeout.NoTimeout)
 
 
 def loss_windows(records: DataFrame, width: str = "1 hour", late: str = "10 minutes") -> DataFrame:

@@ -36,51 +36,46 @@ def test_resolver(spark):
 
 
 def test_history():
-    h = ledger.History({"format": "test", "value": 1})
+    h = ledger.Ledger({"format": "test", "value": 1})
     t = h.begin()
-    t.graph["value"] = 2
-    assert t.commit("two").number == 1 and h.current.graph["value"] == 2 and len(h.current.graph["semantic_sha256"]) == 64
+    assert h.commit(t, "two", {"format": "test", "value": 2}).number == 1 and h.current.graph["value"] == 2 and len(h.current.graph["semantic_sha256"]) == 64
     assert "semantic_sha256" not in h.undo().graph and h.current.graph["value"] == 1
     assert h.redo().graph["value"] == 2
-    with pytest.raises(ledger.TransactionError):
+    with pytest.raises(ledger.LedgerError):
         h.redo()
-    with pytest.raises(ledger.TransactionError):
-        t.commit("again")
+    with pytest.raises(ledger.LedgerError):
+        h.commit(t, "again")
 
 
 def test_conflicts_and_validators():
-    h = ledger.History({"v": 0})
+    h = ledger.Ledger({"v": 0})
     one, two = h.begin(), h.begin()
-    one.commit("first")
-    with pytest.raises(ledger.RevisionConflict):
-        two.commit("second")
+    h.commit(one, "first")
+    with pytest.raises(ledger.StaleBase):
+        h.commit(two, "second")
     t = h.begin()
 
     def refuse(graph):
         raise ValueError("no")
 
     with pytest.raises(ValueError):
-        t.commit("x", [refuse])
-    assert h.current.number == 1 and not t.closed
-    with pytest.raises(ledger.TransactionError):
-        t.commit("  ")
-    t.rollback()
-    with pytest.raises(ledger.TransactionError):
-        t.commit("late")
+        h.commit(t, "x", checks=[refuse])
+    assert h.current.number == 1 and t in h.store.drafts
+    with pytest.raises(ledger.LedgerError):
+        h.commit(t, "  ")
+    h.rollback(t)
+    with pytest.raises(ledger.LedgerError):
+        h.commit(t, "late")
 
 
 def test_same_number_other_revision():
-    h = ledger.History({"v": 0})
-    a = h.begin()
-    a.graph["v"] = 1
-    a.commit("one")
+    h = ledger.Ledger({"v": 0})
+    h.commit(h.begin(), "one", {"v": 1})
     stale = h.begin()
     h.undo()
-    b = h.begin()
-    b.graph["v"] = 2
-    b.commit("other one")
-    with pytest.raises(ledger.RevisionConflict):
-        stale.commit("onto the abandoned")
+    h.commit(h.begin(), "other one", {"v": 2})
+    with pytest.raises(ledger.StaleBase):
+        h.commit(stale, "onto the abandoned")
 
 
 EVENTS = [
@@ -94,8 +89,8 @@ WANT = {("s", 1): "ok", ("s", 2): "ok", ("s", 3): "ok", ("s", 4): "ok", ("s", 5)
 def test_replay(spark):
     rows = ledger.replay(spark.createDataFrame(EVENTS[::-1], E)).collect()
     assert {(r["store_id"], r["seq"]): r["outcome"] for r in rows} == WANT
-    h = ledger.History({"v": 0})
-    h.begin().commit("m")
+    h = ledger.Ledger({"v": 0})
+    h.commit(h.begin(), "m")
     revisions = ledger.revisions_frame(spark, {"s": h})
     now = ledger.current_revisions(revisions, spark.createDataFrame([("s", 0)], "store_id string, cursor int")).collect()
     assert [(r["number"], r["message"]) for r in now] == [(0, "initial")]
@@ -173,10 +168,13 @@ def test_backend_and_command_line(spark, tmp_path, capsys):
     assert main(["compile", str(source), "-o", str(tmp_path / "o" / "g.json")], spark) == 0
     graph_json = (tmp_path / "o" / "g.json").read_text(encoding="utf-8")
     backend = JsonBackend(str(tmp_path / "graphs"))
-    result = backend.execute(parse_documents(documents_of(spark, {"p": PLATE})))
-    written = "\n".join(r["value"] for r in spark.read.text(str(tmp_path / "graphs")).collect())
+    result = backend.run(parse_documents(documents_of(spark, {"p": PLATE})))
+    written = spark.read.parquet(str(tmp_path / "graphs")).first()["value"]
     assert result.validation_properties["semantic_sha256"] == json.loads(graph_json)["semantic_sha256"] == json.loads(written)["semantic_sha256"]
-    assert backend.capabilities().operations == ("serialization",)
+    assert backend.describe().operations == ["serialization"] and result.losses == []
+    both = backend.run(parse_documents(documents_of(spark, {"p": PLATE, "q": "lang 0.1; model q { }", "bad": "("})))
+    again = JsonBackend(str(tmp_path / "more")).run(parse_documents(documents_of(spark, {"q": "lang 0.1; model q { }", "p": PLATE}).repartition(2)))
+    assert both.validation_properties == again.validation_properties != result.validation_properties
     source.write_text("lang 0.1; model m { tolerance t = 1; }", encoding="utf-8")
     assert main(["validate", str(source), "--json"], spark) == 1
     assert main(["compile", str(source), "-o", str(tmp_path / "no.json")], spark) == 1 and not (tmp_path / "no.json").exists()

@@ -53,7 +53,7 @@ def test_validity(checked):
 def test_cycle_message_and_order(spark):
     text = M("parameter a: length = b; parameter a: length = 1; parameter b: length = a + q.x; feature f: weld { x = q.y; }")
     rows = validate_texts(spark, {"d": text}).diagnostics.collect()
-    assert [r["code"] for r in rows] == [f"LANG-{c}" for c in ("E101", "E110", "E102", "E110", "E102", "E120", "E103")] or [r["code"] for r in rows][0] == "LANG-E101"
+    assert [r["code"] for r in rows] == [f"LANG-{c}" for c in ("E101", "E102", "E102", "E120", "E103")]
     assert rows[-1]["message"].endswith("a -> b -> a")
 
 
