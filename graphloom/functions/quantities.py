@@ -9,6 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .constants import UNITS
+from .identity import content_digest
 
 # How many base units (metre, radian, kilogram, second, newton, pascal) a unit is.
 FACTORS = {
@@ -36,3 +37,10 @@ def in_base_units(literal: Column) -> Column:
     known = {u: format(Decimal(f), "f") for u, f in FACTORS.items()}
     factor = F.when(unit.isNull(), F.lit("1").cast(EXACT)).otherwise(_lookup(known, unit, EXACT))
     return F.when(F.get_json_object(literal, "$.kind") == "literal", F.try_multiply(value, factor))
+
+
+def value_digest(literal: Column) -> Column:
+    """A digest of a literal's dimension and value in base units: the same for 10 mm and 1 cm, and for 0.1 and 0.10.
+    Null for what is no number with a known unit or none."""
+    plain = F.regexp_replace(in_base_units(literal).cast("string"), r"(\.[0-9]*?)0+$", "$1")
+    return F.when(in_base_units(literal).isNotNull(), content_digest(F.coalesce(dimension(literal), F.lit("scalar")), F.rtrim(plain, F.lit("."))))

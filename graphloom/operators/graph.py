@@ -56,3 +56,21 @@ def affected(edges: DataFrame, changed: DataFrame) -> DataFrame:
     paths = closure(edges)
     needing = paths.join(changed.select(F.col("node").alias("dst")), "dst", "left_semi").select(F.col("src").alias("node"))
     return needing.unionByName(changed.select("node")).distinct()
+
+
+def commit_order(edges: DataFrame, ids: DataFrame) -> DataFrame:
+    """(node, level, id) in the order in which a graph's nodes are committed: by level, then by id (an extension)."""
+    return levels(edges).join(ids, "node").select("node", "level", "id").orderBy("level", "id")
+
+
+def successors(lineage: DataFrame) -> DataFrame:
+    """(origin, status, n_candidates) of entities that were changed: what they have become (an extension).
+
+    lineage: source, target; one row per modified, merged or split entity, target null for a deleted one. An origin
+    with one successor that lives on is unique, with several ambiguous (none is picked), with none missing.
+    """
+    changes = lineage.select(F.col("source").alias("src"), F.col("target").alias("dst"))
+    ended = changes.select(F.col("src").alias("dst")).distinct()
+    alive = closure(changes).join(ended, "dst", "left_anti").groupBy(F.col("src").alias("origin")).agg(F.count("*").alias("n"))
+    found = changes.select(F.col("src").alias("origin")).distinct().join(alive, "origin", "left").withColumn("n_candidates", F.coalesce("n", F.lit(0)))
+    return found.select("origin", F.when(F.col("n_candidates") == 0, "missing").when(F.col("n_candidates") == 1, "unique").otherwise("ambiguous").alias("status"), "n_candidates")

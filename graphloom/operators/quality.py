@@ -68,3 +68,8 @@ def differences(left: DataFrame, right: DataFrame, key: list[str], value: str, t
 def too_large(documents: DataFrame, most_chars: int) -> DataFrame:
     """(doc_id, n_chars) of source texts over a limit, to be kept from parsing."""
     return documents.select("doc_id", F.length("source_text").alias("n_chars")).where(F.col("n_chars") > most_chars)
+
+
+def too_many_nodes(parsed: DataFrame, most_nodes: int) -> DataFrame:
+    """(doc_id, n_nodes) of documents with more nodes, at any depth, than a limit."""
+    return parsed.select("doc_id", F.size("nodes").alias("n_nodes")).where(F.col("n_nodes") > most_nodes)

@@ -13,8 +13,9 @@ from pyspark.sql import functions as F
 
 from ..functions.constants import BUILTINS, EXECUTION_CONTRACT, TOLERANCES, UNITS, profile_operations
 from ..functions.identity import is_digest, stable_uuid
-from ..operators import contracts, graph, quality, resolve, rules, scenarios, trust
-from ..sources.documents import parse_documents, tokens
+from ..functions.quantities import value_digest
+from ..operators import contracts, graph, ledger, quality, resolve, rules, scenarios, trust
+from ..sources.documents import parse_documents, part, tokens
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -337,6 +338,137 @@ def document_graphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contracts.check_graphs(parsed).select("doc_id", "semantic_sha256", F.array_join("violations", ",").alias("violations"))
 
 
+# Faults: a document with each, and the code, line and column of each diagnostic that it must have
+
+_FAULTS = [
+    ('lang 0.1;\nmodel m {\n  a = "x\n; }', [("E000", 3, 7)]), ("lang 0.1;\nmodel m {\n  parameter size length;\n}", [("E010", 3, 18)]),
+    ("lang 0.2;\nmodel m { }", [("E001", 1, 1)]), ('lang 0.1;\nmodel m [profile = "P0"] { }', [("E100", 2, 1)]),
+    ("lang 0.1;\nmodel m {\n  constant a = 1;\n  datum a = 2;\n}", [("E101", 4, 3)]), ("lang 0.1;\nmodel m {\n  feature f: hole { x = missing.top; }\n}", [("E102", 3, 25)]),
+    ("lang 0.1;\nmodel m {\n  constant a = b;\n  constant b = a;\n}", [("E103", 4, 3)]), ("lang 0.1;\nmodel m {\n  parameter a: length = 3 deg;\n}", [("E110", 3, 25)]),
+    ("lang 0.1;\nmodel m {\n  feature f: thread { }\n}", [("E120", 3, 3)]), ("lang 0.1;\nmodel m {\n  reference r: face = 3;\n}", [("E130", 3, 3)]),
+    ('lang 0.1;\nmodel m {\n  reference r: face = select(z, role = "a", area = 1);\n}', [("E131", 3, 23)]),
+    ('lang 0.1;\nmodel m {\n  reference r: face = select(role = "a", area = 1, cardinality = one);\n}', [("E132", 3, 23)]),
+    ("lang 0.1;\nmodel m {\n  reference r: face = select(z, area = 1, cardinality = one);\n}", [("E133", 3, 23)]),
+    ('lang 0.1;\nmodel m {\n  reference r: face = select(z, role = "a", cardinality = one);\n}', [("E134", 3, 23)]),
+    ("lang 0.1;\nmodel m {\n  tolerance t = 1 mm;\n}", [("E140", 3, 3)]), ("lang 0.1;\nmodel m {\n  material a [status = inferred];\n}", [("E150", 3, 3)]),
+    ("lang 0.1;\n/* all is well */ model m { // here too\n  constant a = -2.5e1 * 3;\n}", []),
+    ("lang 0.1;\nmodel m {\n  parameter a: length = b;\n  parameter a: length = 1;\n  feature f: weld { x = q.y; }\n}", [("E101", 4, 3), ("E102", 3, 25), ("E102", 5, 25), ("E120", 5, 3)]),
+]
+_FAULT_ROWS = [(k, code, line, column) for k, (_, found) in enumerate(_FAULTS) for code, line, column in found]
+
+
+def _faulty(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A document for each order, with one fault or several by its key."""
+    texts = F.array(*(F.lit(text) for text, _ in _FAULTS))
+    return _table(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("doc_id"), F.lit(None).cast("string").alias("uri"), F.get(texts, (F.col("p_partkey") % len(_FAULTS)).cast("int")).alias("source_text"))
+
+
+@_query(f"""SELECT CAST(p_partkey AS VARCHAR) AS doc_id, CASE WHEN code IN ('E000', 'E010') THEN 'SOURCE-' ELSE 'LANG-' END || code AS code, line, "column"
+FROM part JOIN (VALUES {_VALUES(_FAULT_ROWS)}) x(k, code, line, "column") ON p_partkey % {len(_FAULTS)} = k""")
+def rule_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All sixteen codes, with their places."""
+    found = rules.diagnostics(parse_documents(_faulty(spark, sf_dir)))
+    return found.select("doc_id", "code", F.col("span.line").alias("line"), F.col("span.column").alias("column"))
+
+
+@_query(f"""SELECT code, count(*) AS n FROM (SELECT CASE WHEN code IN ('E000', 'E010') THEN 'SOURCE-' ELSE 'LANG-' END || code AS code
+FROM part JOIN (VALUES {_VALUES(_FAULT_ROWS)}) x(k, code, line, "column") ON p_partkey % {len(_FAULTS)} = k) GROUP BY 1""")
+def rule_code_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.diagnostics(parse_documents(_faulty(spark, sf_dir))).groupBy("code").agg(F.count("*").alias("n"))
+
+
+# The ledger: a store for each customer, and what must come of each event (seq, transaction, action, message, what the
+# graph holds beyond the customer's key; outcome, number, position, what the current graph holds)
+_SCRIPT = [
+    (1, "", "init", "", 0, "ok", 0, 0, 0), (2, "t1", "begin", "", -1, "ok", 0, 0, 0), (3, "t2", "begin", "", -1, "ok", 0, 0, 0), (4, "t1", "commit", "one", 1, "ok", 1, 1, 1),
+    (5, "t2", "commit", "two", 5, "conflict", 1, 1, 1), (6, "", "undo", "", -1, "ok", 0, 0, 0), (7, "", "undo", "", -1, "error", 0, 0, 0), (8, "", "redo", "", -1, "ok", 1, 1, 1),
+    (9, "t3", "begin", "", -1, "ok", 1, 1, 1), (10, "", "undo", "", -1, "ok", 0, 0, 0), (11, "t4", "begin", "", -1, "ok", 0, 0, 0), (12, "t4", "commit", "other", 2, "ok", 1, 1, 2),
+    (13, "", "redo", "", -1, "error", 1, 1, 2), (14, "t3", "commit", "stale", 6, "conflict", 1, 1, 2), (15, "t3", "rollback", "", -1, "ok", 1, 1, 2), (16, "t3", "rollback", "", -1, "error", 1, 1, 2),
+    (17, "t9", "commit", "unknown", 7, "error", 1, 1, 2), (18, "t5", "begin", "", -1, "ok", 1, 1, 2), (19, "t5", "commit", "  ", 8, "error", 1, 1, 2), (20, "t5", "commit", "kept", -1, "ok", 2, 2, 2),
+]
+
+
+@_query(f"""WITH s(seq, txn, act, msg, held, outcome, num, pos, now) AS (VALUES {_VALUES(_SCRIPT)}), e AS (SELECT * FROM customer, s WHERE NOT (seq = 1 AND c_custkey % 5 = 0))
+SELECT CAST(c_custkey AS VARCHAR) AS store_id, CAST(seq AS BIGINT) AS seq, CASE WHEN c_custkey % 5 = 0 THEN 'error' ELSE outcome END AS outcome, CASE WHEN c_custkey % 5 <> 0 THEN num END AS number,
+CASE WHEN c_custkey % 5 <> 0 THEN pos END AS position, CASE WHEN c_custkey % 5 <> 0 THEN sha256('{{"v":' || (c_custkey + now) || '}}') END AS semantic_sha256 FROM e""")
+def ledger_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stores of customers whose key 5 divides have no first event."""
+    kinds = "seq long, txn_id string, action string, message string, held int, outcome string, number int, position int, now int"
+    script = F.broadcast(spark.createDataFrame(_SCRIPT, kinds).select("seq", "txn_id", "action", "message", "held"))
+    stores = _table(spark, sf_dir, "customer").select("c_custkey", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(len(_SCRIPT)).cast("long"))).alias("seq"))
+    graph_json = F.when(F.col("held") >= 0, F.format_string('{"v": %d}', F.col("c_custkey") + F.col("held")))
+    events = stores.join(script, "seq").where("not (seq = 1 and c_custkey % 5 = 0)").withColumn("graph_json", graph_json)
+    return ledger.replay(events.select(F.col("c_custkey").cast("string").alias("store_id"), *ledger.EVENT[1:]))
+
+
+# Contracts with faults
+
+
+def _varied(key: str, texts: list[str]):
+    return F.get(F.array(*map(F.lit, texts)), (F.col(key) % len(texts)).cast("int"))
+
+
+def _register(records: list[dict], blocks: object = False, **more) -> str:
+    return json.dumps({"schema": "lang.loss-register/0.1", "operation": "export", "source_backend": "a", "target_backend": "b", "blocks_commit": blocks, "records": records} | more)
+
+
+_LOSS = {"code": "LOSS.X", "category": "geometry", "severity": "warning", "subject": "s", "message": "m", "source_capability": None, "target_capability": None, "mitigation": None, "reversible": True}
+_REGISTERS = [
+    (_register([]), ""), (_register([_LOSS, _LOSS | {"severity": "fatal"}], True), ""), (_register([_LOSS | {"severity": "error"}]), "blocks"), (_register([], extra=1), "unknown,shape"),
+    (_register([_LOSS | {"more": 1}]), "shape"), (_register([{k: v for k, v in _LOSS.items() if k != "reversible"}]), "shape"), (_register([_LOSS | {"code": "x"}]), "records"),
+    (_register([_LOSS | {"category": "weather"}]), "records"), (_register([_LOSS | {"reversible": "no"}], None), "shape"), ('{"records": []}', "missing,shape"),
+]
+
+
+@_query(f"SELECT o_orderkey, violations FROM orders JOIN (VALUES {_VALUES([(k, v) for k, (_, v) in enumerate(_REGISTERS)])}) x(k, violations) ON o_orderkey % {len(_REGISTERS)} = k")
+def register_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "orders").select("o_orderkey", _varied("o_orderkey", [t for t, _ in _REGISTERS]).alias("json"))
+    return contracts.check_registers(rows).select("o_orderkey", F.array_join("violations", ",").alias("violations"))
+
+
+def _graph(contract: dict | None = None, expression: dict | None = None, order: tuple[str, ...] = ("a",), node: dict | None = None, **more) -> str:
+    value = expression or {"kind": "unary", "operator": "-", "operand": {"kind": "literal", "value": 1, "unit": "mm"}}
+    declared = {"id": "n", "kind": "feature", "name": "a", "body": [{"id": "i", "kind": "assign", "name": "x", "value": value}]} | (node or {})
+    model = {"id": "m", "name": "m", "attributes": {}, "dependency_order": list(order), "declarations": [declared]}
+    whole = {"format": "lang.canonical-construction-graph", "format_version": "0.1", "source_language": "lang/0.1", "namespace": "local", "imports": [{"source": "x"}], "models": [model]}
+    return json.dumps(whole | {"execution_contract": contract or EXECUTION_CONTRACT, "semantic_sha256": "0" * 64} | more)
+
+
+_DEEP: dict = {"kind": "literal", "value": 1}
+for _ in range(40):
+    _DEEP = {"kind": "list", "items": [{"kind": "binary", "operator": "+", "left": _DEEP, "right": {"kind": "reference", "path": "p"}}]}
+_GRAPHS = [
+    (_graph(), ""), (_graph(expression=_DEEP), ""), (_graph(expression={"kind": "guess"}), "shape"), (_graph(expression={"kind": "unary", "operator": "-", "operand": {"value": 1}}), "shape"),
+    (_graph(node={"extra": 1}), "shape"), (_graph(node={"body": [{"kind": "assign"}]}), "shape"), (_graph(EXECUTION_CONTRACT | {"numeric_mode": "any"}), "contract"),
+    (_graph(EXECUTION_CONTRACT | {"more": 1}), "contract"), (_graph(order=("a", "a")), "order"), (_graph(models=[]), "models"), (_graph(semantic_sha256="A" * 64), "digest"),
+    (_graph(format_version="0.2"), "version"), (_graph(imports=[{"alias": "y"}]), "shape"), ("not json", "missing,version,digest,models,contract,shape"),
+]
+
+
+@_query(f"SELECT s_suppkey, violations FROM supplier JOIN (VALUES {_VALUES([(k, v) for k, (_, v) in enumerate(_GRAPHS)])}) x(k, violations) ON s_suppkey % {len(_GRAPHS)} = k")
+def graph_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "supplier").select("s_suppkey", _varied("s_suppkey", [t for t, _ in _GRAPHS]).alias("canonical_json"))
+    return contracts.check_graphs(rows).select("s_suppkey", F.array_join("violations", ",").alias("violations"))
+
+
+def _manifest(entry: dict, qualification: dict, operations: tuple = ()) -> str:
+    return json.dumps(dict.fromkeys(contracts.MANIFEST_FIELDS, 1) | {"entrypoint": entry, "qualification": qualification, "operations": list(operations)})
+
+
+_WORKER, _DRAFT = {"mode": "worker", "command": ["x"]}, {"status": "draft"}
+_MANIFESTS = [
+    (_manifest(_WORKER, _DRAFT), ""), (_manifest({"mode": "worker"}, _DRAFT), "entry"), (_manifest({"mode": "in_process", "native_library": "l"}, _DRAFT), ""), (_manifest({"mode": "in_process", "command": []}, _DRAFT), "entry"),
+    (_manifest({"mode": "service", "endpoint": "e"}, {"status": "candidate", "suite_version": "1", "report_uri": "u"}), "qualification"), (_manifest({"mode": "service"}, {"status": "candidate", "suite_version": "1", "report_uri": "u", "tested_at": "t"}), "entry"),
+    (_manifest(_WORKER, _DRAFT, ({"support": "fallback"}, {"support": "exact"})), "loss code"), (_manifest(_WORKER, _DRAFT, ({"support": "approximate", "loss_code": "LOSS.X"},)), ""),
+]
+
+
+@_query(f"SELECT c_custkey, violations FROM customer JOIN (VALUES {_VALUES([(k, v) for k, (_, v) in enumerate(_MANIFESTS)])}) x(k, violations) ON c_custkey % {len(_MANIFESTS)} = k")
+def manifest_violations_ext(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "customer").select("c_custkey", _varied("c_custkey", [t for t, _ in _MANIFESTS]).alias("json"))
+    return contracts.check_manifests(rows).select("c_custkey", F.array_join("violations", ",").alias("violations"))
+
+
 # Beyond the reference
 
 
@@ -424,3 +556,39 @@ def parameter_values_ext(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("SELECT CAST(p_partkey AS VARCHAR) AS doc_id, '' AS scenario, CASE WHEN 2 * p_size + 10 < 90 THEN 'pass' ELSE 'fail' END AS verdict FROM part UNION ALL SELECT CAST(p_partkey AS VARCHAR), 'Large', 'pass' FROM part")
 def scenario_verdicts_ext(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scenarios.run_scenarios(_scenario_sources(spark, sf_dir)).select("doc_id", F.coalesce("scenario", F.lit("")).alias("scenario"), "verdict")
+
+
+@_query(_EDGES + f""", w AS (SELECT dst AS node, 0 AS level FROM e WHERE dst NOT IN (SELECT src FROM e) UNION SELECT e.src, w.level + 1 FROM w JOIN e ON e.dst = w.node), l AS (SELECT node, max(level) AS level FROM w GROUP BY node),
+h AS (SELECT *, sha1(unhex('22b8aa1ea0375d7b89f8b7af0c8fc2ad') || encode(node)) AS h FROM l), u AS (SELECT node, level, {_UUID} AS id FROM h) SELECT node, level, id FROM u""")
+def commit_order_ext(spark: SparkSession, sf_dir: str) -> DataFrame:
+    edges = _edges(spark, sf_dir)
+    ids = edges.select(F.explode(F.array("src", "dst")).alias("node")).distinct().withColumn("id", stable_uuid(F.col("node")))
+    return graph.commit_order(edges, ids)
+
+
+@_query("""WITH v AS (SELECT p_partkey, rtrim(rtrim(CAST(CAST(p_size * CAST(0.001 AS DECIMAL(4, 3)) AS DECIMAL(38, 20)) AS VARCHAR), '0'), '.') AS v FROM part), x AS (SELECT p_partkey, unnest(['a', 'b']) AS name, v FROM v)
+SELECT CAST(p_partkey AS VARCHAR) AS doc_id, name, sha256('6:length;' || length(v) || ':' || v || ';') AS digest FROM x""")
+def value_digests_ext(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same length in millimetres and in centimetres has one digest."""
+    text = F.format_string("lang 0.1;\nmodel m { constant a = %d.0 mm; constant b = %s cm; }\n", "p_size", (F.col("p_size").cast("decimal(10,0)") / 10).cast("decimal(10,1)").cast("string"))
+    docs = _table(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("doc_id"), text.alias("source_text"))
+    return part(parse_documents(docs), "nodes").select("doc_id", "name", value_digest(F.col("value")).alias("digest"))
+
+
+@_query("""WITH p AS (SELECT (event_id % 100) / 100.0 AS c, CASE WHEN user_id % 3 = 0 THEN 1 ELSE 0 END AS a FROM events), b AS (SELECT least(floor(c * 10), 9) AS bin, count(*) AS m, avg(c) AS c, avg(a) AS a FROM p GROUP BY 1)
+SELECT round(sum(m * abs(c - a)) / sum(m), 6) AS ece, CAST(sum(m) AS BIGINT) AS n FROM b""")
+def calibration_error_ext(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "events").select(((F.col("event_id") % 100) / 100).alias("confidence"), (F.col("user_id") % 3 == 0).alias("correct"))
+    return quality.calibration_error(rows).select(F.round("ece", 6).alias("ece"), "n")
+
+
+@_query("""WITH RECURSIVE c AS (SELECT p_partkey AS src, p_partkey + 1 AS dst FROM part WHERE p_partkey % 3 = 0 OR p_partkey % 5 = 0 UNION SELECT p_partkey, p_partkey + 2 FROM part WHERE p_partkey % 5 = 0), s AS (SELECT src FROM c UNION SELECT p_partkey FROM part WHERE p_partkey % 11 = 0),
+p AS (SELECT src, dst FROM c UNION SELECT p.src, c.dst FROM p JOIN c ON c.src = p.dst), n AS (SELECT s.src AS origin, count(DISTINCT p.dst) AS n FROM s LEFT JOIN p ON p.src = s.src AND p.dst NOT IN (SELECT src FROM s) GROUP BY 1)
+SELECT origin, CASE n WHEN 0 THEN 'missing' WHEN 1 THEN 'unique' ELSE 'ambiguous' END AS status, n AS n_candidates FROM n""")
+def lineage_successors_ext(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entities that were changed, split in two, or deleted."""
+    key, rows = F.col("p_partkey"), _table(spark, sf_dir, "part")
+    to = F.when(key % 5 == 0, F.array(key + 1, key + 2)).when(key % 3 == 0, F.array(key + 1))
+    changed = rows.where(to.isNotNull()).select(key.alias("source"), F.explode(to).alias("target"))
+    gone = rows.where(key % 11 == 0).select(key.alias("source"), F.lit(None).cast(dict(changed.dtypes)["target"]).alias("target"))
+    return graph.successors(changed.unionByName(gone))

@@ -149,9 +149,9 @@ def test_contracts(spark):
     parsed = parse_documents(documents_of(spark, {"p": PLATE}))
     assert contracts.check_graphs(parsed).first()["violations"] == []
     bad = spark.createDataFrame([('{"format": "x", "extra": 1}',)], "canonical_json string")
-    assert contracts.check_graphs(bad).first()["violations"] == ["missing", "unknown", "version", "digest", "models", "contract"]
+    assert contracts.check_graphs(bad).first()["violations"] == ["missing", "unknown", "version", "digest", "models", "contract", "shape"]
     regs = [('{"schema":"s","operation":"o","source_backend":"a","target_backend":"b","blocks_commit":false,"records":[{"code":"ABC","severity":"fatal"}]}',)]
-    assert contracts.check_registers(spark.createDataFrame(regs, "json string")).first()["violations"] == ["blocks"]
+    assert contracts.check_registers(spark.createDataFrame(regs, "json string")).first()["violations"] == ["shape", "records", "blocks"]
     full = {k: 1 for k in contracts.MANIFEST_FIELDS} | {"operations": [{"support": "fallback"}]}
     assert contracts.check_manifests(spark.createDataFrame([(json.dumps(full),)], "json string")).first()["violations"] == ["loss code"]
 
