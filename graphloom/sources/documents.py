@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -75,8 +76,27 @@ def _node_rows(tree: dict, m: int, model: dict) -> Iterator[dict]:
         number += 1
 
 
+#: Calls that reading and lowering may be deep: over ten for each level of nesting, and some for each term of a long sum.
+_CALLS = 40_000
+
+
 def parse_text(doc_id: str, text: str | None) -> dict:
-    """One document's row: its parts, or the error that ended reading it (a null text is empty)."""
+    """One document's row: its parts, or the error that ended reading it (a null text is empty).
+
+    Nesting beyond DEEPEST is E010, and so is what else needs more than _CALLS calls, such as a sum of thousands
+    of terms.
+    """
+    limit = sys.getrecursionlimit()
+    sys.setrecursionlimit(max(limit, _CALLS))
+    try:
+        return _parsed(doc_id, text)
+    except RecursionError:
+        return dict.fromkeys(_FIELDS) | {"doc_id": doc_id, "imports": [], "models": [], "nodes": [], "refs": [], "cycles": [], "error": {"code": "E010", "message": "expressions are too long or too deep", "span": _span((1, 1, 1, 1))}}
+    finally:
+        sys.setrecursionlimit(limit)
+
+
+def _parsed(doc_id: str, text: str | None) -> dict:
     row: dict = dict.fromkeys(_FIELDS)
     row |= {"doc_id": doc_id, "imports": [], "models": [], "nodes": [], "refs": [], "cycles": []}
     try:

@@ -8,7 +8,8 @@ from itertools import chain
 from ..functions.constants import STRENGTH
 from .scanner import SourceError, Span, Token, scan
 
-DEEPEST = 150
+#: Blocks and expressions may be nested so deep, all in all.
+DEEPEST = 1000
 
 # Steps of each keyword's statement. "?" marks a step that may be left out.
 _SIMPLE = ("name", "type?", "value?", "attributes", "block or end")

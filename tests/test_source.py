@@ -109,3 +109,11 @@ def test_graph_is_canonical():
 def test_numbers_keep_their_writing():
     assert expr("123456789012345678901234567890")["value"] == 123456789012345678901234567890
     assert canonical.lowered(expr("1e3"))["value"] == "1000" and canonical.lowered(expr("0.10"))["value"] == "0.10"
+
+
+def test_deep_texts():
+    from graphloom.sources.documents import parse_text
+
+    read = lambda value: parse_text("d", "lang 0.1; model m { constant a = " + value + "; }")
+    assert all(read(v)["error"] is None for v in ("(" * 990 + "1" + ")" * 990, "[" * 600 + "]" * 600, "-" * 900 + "1", "1+" * 3000 + "1"))
+    assert all(read(v)["error"]["code"] == "E010" for v in ("(" * 1100 + "1" + ")" * 1100, "1+" * 60_000 + "1"))
