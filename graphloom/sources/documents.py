@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import sys
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -15,7 +14,7 @@ from ..functions.constants import DECLARATIONS, PROFILES
 from ..functions.partitions import spread
 from ..functions.typing import infer, plain_type
 from . import canonical
-from .grammar import expressions, read_source, references
+from .grammar import deep_calls, expressions, read_source, references
 from .scanner import SourceError, Span, scan
 
 _SPAN = "struct<line: int, column: int, end_line: int, end_column: int>"
@@ -76,34 +75,20 @@ def _node_rows(tree: dict, m: int, model: dict) -> Iterator[dict]:
         number += 1
 
 
-#: Calls that reading and lowering may be deep: over ten for each level of nesting, and some for each term of a long sum.
-_CALLS = 40_000
-
-
 def parse_text(doc_id: str, text: str | None) -> dict:
-    """One document's row: its parts, or the error that ended reading it (a null text is empty).
-
-    Nesting beyond DEEPEST is E010, and so is what else needs more than _CALLS calls, such as a sum of thousands
-    of terms.
-    """
-    limit = sys.getrecursionlimit()
-    sys.setrecursionlimit(max(limit, _CALLS))
+    """One document's row: its parts, or the error that ended reading it (a null text is empty)."""
     try:
-        return _parsed(doc_id, text)
-    except RecursionError:
-        return dict.fromkeys(_FIELDS) | {"doc_id": doc_id, "imports": [], "models": [], "nodes": [], "refs": [], "cycles": [], "error": {"code": "E010", "message": "expressions are too long or too deep", "span": _span((1, 1, 1, 1))}}
-    finally:
-        sys.setrecursionlimit(limit)
+        with deep_calls():
+            return _parsed(doc_id, text)
+    except SourceError as e:
+        return dict.fromkeys(_FIELDS) | {"doc_id": doc_id, "imports": [], "models": [], "nodes": [], "refs": [], "cycles": [], "error": {"code": e.code, "message": e.message, "span": _span(e.span)}}
 
 
 def _parsed(doc_id: str, text: str | None) -> dict:
     row: dict = dict.fromkeys(_FIELDS)
     row |= {"doc_id": doc_id, "imports": [], "models": [], "nodes": [], "refs": [], "cycles": []}
-    try:
-        tree = read_source(text or "")
-        graph = canonical.graph_of(tree)
-    except SourceError as e:
-        return row | {"error": {"code": e.code, "message": e.message, "span": _span(e.span)}}
+    tree = read_source(text or "")
+    graph = canonical.graph_of(tree)
     row |= {"language": tree["language"], "version": tree["version"], "namespace": tree["namespace"], "span": _span(tree["span"])}
     row["imports"] = [{"ord": k, "source": i["source"], "alias": i["alias"], "span": _span(i["span"])} for k, i in enumerate(tree["imports"])]
     for m, model in enumerate(tree["models"]):

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import sys
+from collections.abc import Iterator
+from contextlib import contextmanager
 from decimal import Decimal
 from itertools import chain
 
@@ -10,6 +13,8 @@ from .scanner import SourceError, Span, Token, scan
 
 #: Blocks and expressions may be nested so deep, all in all.
 DEEPEST = 1000
+#: Calls that reading and lowering may be deep: over ten for each level of nesting, and some for each term of a long sum.
+CALLS = 40_000
 
 # Steps of each keyword's statement. "?" marks a step that may be left out.
 _SIMPLE = ("name", "type?", "value?", "attributes", "block or end")
@@ -250,11 +255,31 @@ class Reader:
         }
 
 
-def read_source(text: str) -> dict:
+@contextmanager
+def deep_calls() -> Iterator[None]:
+    """Room for the calls of deep texts; E010 where it isn't enough, as for a sum of thousands of terms."""
+    limit = sys.getrecursionlimit()
+    sys.setrecursionlimit(max(limit, CALLS))
+    try:
+        yield
+    except RecursionError as e:
+        raise SourceError("E010", "expressions are too long or too deep", (1, 1, 1, 1)) from e
+    finally:
+        sys.setrecursionlimit(limit)
+
+
+def _read(text: str) -> dict:
     """The tree of a source text; SourceError if it has none."""
     return Reader(scan(text)).document()
 
 
+def read_source(text: str) -> dict:
+    """The tree of a text; SourceError where it can't be read."""
+    with deep_calls():
+        return _read(text)
+
+
+
 def children(expr: dict) -> list[dict]:
     """Parts of an expression in which names may stand; a call's own name isn't one."""
     match expr["kind"]:

@@ -75,7 +75,7 @@ def test_calls_and_lists():
     assert expr('"not"')["value"] == "not"  # a string is never a keyword
 
 
-@pytest.mark.parametrize("text", ["", "lang 0.1;", "lang 0.1; model m {", "lang 0.1; model m { a = 1 }", "lang 0.1; model m [a=1,] { }", "lang 0.1; model m { let a = f(1,); }", "lang 0.1; model m { occurrence left = instance(a); }", "lang 0.1; model m { let a = " + "(" * 400 + "1" + ")" * 400 + "; }"])
+@pytest.mark.parametrize("text", ["", "lang 0.1;", "lang 0.1; model m {", "lang 0.1; model m { a = 1 }", "lang 0.1; model m [a=1,] { }", "lang 0.1; model m { let a = f(1,); }", "lang 0.1; model m { occurrence left = instance(a); }", "lang 0.1; model m { let a = " + "(" * 1100 + "1" + ")" * 1100 + "; }"])
 def test_broken_structure(text):
     with pytest.raises(SourceError) as e:
         read_source(text)
