@@ -37,7 +37,7 @@ SHARD_BYTES = 1 << 19
 #: Bytes of contexts that are held at once: a bucket's, on average.
 BUCKET_BYTES = 16 << 20
 #: Longer texts are searched in slices of so many bytes.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 #: Places of one gram that lie in one shard.
 SHARD_PLACES = 4_000
 _PLACE = np.uint64((1 << 28) - 1)
@@ -78,7 +78,7 @@ class Runs:
             self.key = np.zeros(0, np.uint64)
             self.prefix = self.inverse = np.ones(1, np.uint64)
             return
-        size = 1 << max(21, (n + 1).bit_length())
+        size = 1 << max(20, (n + 1).bit_length())
         powers, self.inverse = _powers(size)
         self.prefix = np.zeros(n + 1, np.uint64)
         np.cumsum(_BYTE_KEYS[raw] * powers[:n], out=self.prefix[1:])
@@ -318,7 +318,7 @@ def _runs_of(length: int, gram: int, hot=None, slice_bytes: int = SLICE_BYTES):
 
     def run(batch: pa.RecordBatch):
         known, parts = hot.value if hot else (np.zeros(0, np.int64), np.zeros(0, np.uint64))
-        for part in pieces(batch, "text", 1 << 20):
+        for part in pieces(batch, "text", 1 << 19):
             for rows, starts, raws in _sliced(part, length, slice_bytes):
                 runs = Runs(raws, length, gram)
                 if not len(runs.key):
@@ -351,7 +351,7 @@ def _hot_grams(rows: DataFrame, length: int, gram: int, one_in: int = 32, least:
     sample = rows.where(F.pmod(F.xxhash64("doc", "hash"), F.lit(one_in)) == 0)
 
     def keys(batch: pa.RecordBatch):
-        for part in pieces(batch, "text", 1 << 20):
+        for part in pieces(batch, "text", 1 << 19):
             for _, _, raws in _sliced(part, length, SLICE_BYTES):
                 runs = Runs(raws, length, gram)
                 pairs = np.unique(np.stack([runs.key.view(np.int64), runs.text], 1), axis=0)
@@ -433,7 +433,7 @@ def _fetch(length: int, buckets: int):
 
     def run(batch: pa.RecordBatch):
         unpack = zstandard.ZstdDecompressor().decompress
-        for part in pieces(batch, "packed", 2 << 20):
+        for part in pieces(batch, "packed", 1 << 20):
             counts = pc.list_value_length(part.column("runs")).to_numpy()
             place, key, state = (c.to_numpy() for c in part.column("runs").flatten().flatten())
             first = _first(place)
@@ -599,8 +599,9 @@ def dedup(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_co
 
     def pack(batch: pa.RecordBatch):
         press = zstandard.ZstdCompressor(level=3).compress
-        packed = pa.array([press(t) for t in batch.column("text").to_pylist()], pa.binary())
-        yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("doc"), batch.column("hash"), packed], names=["id", "doc", "hash", "packed"])
+        for part in pieces(batch, "text", 1 << 20):
+            packed = pa.array([press(t) for t in part.column("text").to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([part.column("id"), part.column("doc"), part.column("hash"), packed], names=["id", "doc", "hash", "packed"])
 
     kind = dict(docs.dtypes)[id_col]
     packed = in_arrow(rows.select("id", "doc", "hash", "text"), f"id {kind}, doc long not null, hash long not null, packed binary not null", pack)
