@@ -51,6 +51,13 @@ class PieceMerges:
         self.keys = np.append(keys, np.iinfo(np.int64).max)
         self.ranks = np.array([triples[k][0] for k in keys.tolist()] + [_NEVER], np.int64)
         self.made = np.array([triples[k][1] for k in keys.tolist()] + [0], np.int64)
+        # A piece is steady if no piece that begins or ends with it goes before it: once merged, it waits for all
+        # pairs of its own rank.
+        self.steady = np.ones(n, bool)
+        for key, (rank, _) in triples.items():
+            for part in divmod(key, self.width):
+                if part < n and rank <= rank_of.get(part, -1):
+                    self.steady[part] = False
         self.single = {p: i for p, i in by_name.items() if len(p) == 1}
         self.n = n
 
@@ -66,8 +73,9 @@ class PieceMerges:
     def count(self, words: list[str]) -> np.ndarray:
         """The number of tokens of each word, all words merged in step.
 
-        Each round merges, in every word at once, the leftmost of its pairs of lowest rank, which is
-        the order of one merge at a time. Words without pairs to merge leave the arrays.
+        Each round merges, in every word at once, its pairs of lowest rank that don't overlap from the left, or,
+        where they make a piece that isn't steady, the leftmost alone: the order of one merge at a time. So a
+        long word takes a round for each rank rather than for each merge. Words without pairs to merge leave the arrays.
         """
         out = np.zeros(len(words), np.int64)
         lengths = np.array([len(w) for w in words], np.int64)
@@ -91,7 +99,12 @@ class PieceMerges:
                 if not len(sym):
                     break
             hits = np.flatnonzero(rank == least)
-            hits = hits[np.append(True, word[hits][1:] != word[hits][:-1])]  # the leftmost of each word
+            first = np.append(True, word[hits][1:] != word[hits][:-1])  # the leftmost of each word
+            if not first.all():
+                place = np.arange(len(hits))
+                run = np.maximum.accumulate(np.where(first | np.append(True, hits[1:] != hits[:-1] + 1), place, 0))
+                steady = np.minimum.reduceat(self.steady[made[hits]], np.flatnonzero(first))[np.cumsum(first) - 1]
+                hits = hits[first | (steady & ((place - run) % 2 == 0))]
             # Two symbols become one. A part that is no piece (a lone unknown character) costs its bytes
             # at first; once merged, the pair costs what one piece costs.
             gone = self._cost(sym[hits]) + self._cost(sym[hits + 1]) - 1
@@ -161,7 +174,8 @@ def _counter(model_file: str) -> TokenCounter:
 def count_tokens(docs: DataFrame, model_file: str, limit: int = 4096, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: id, n_bytes (UTF-8), n_tokens by the piece vocabulary at model_file, over_limit (n_tokens > limit).
 
-    Null text counts as empty: 0 bytes, 0 tokens. A narrow map: no shuffle, a batch of texts in memory.
+    Null text counts as empty: 0 bytes, 0 tokens; repeated rows count each. A narrow map: no shuffle, a batch of
+    texts in memory. Long texts are counted whole; a word takes a round for each rank that is merged in it.
     """
 
     def run(batch: pa.RecordBatch):

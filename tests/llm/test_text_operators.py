@@ -67,6 +67,8 @@ def test_tokens_of_odd_strings():
     lib, ours = sentencepiece.SentencePieceProcessor(model_file=PIECES), tokens.TokenCounter(PIECES, memory=50)
     r = random.Random(1)
     texts = ["".join(r.choice("aab  ▁\n\tz0é中😀<s>　́thei") for _ in range(r.randint(0, 60))) for _ in range(800)] + ["aaaa" * 300, " " * 50, "<s></s>", "x"]
+    texts += ["".join(r.choice(letters) for _ in range(n)) for letters in ("ab", "etaoin", "abcdefghij", "thé中") for n in (200, 3000, 20_000)]
+    texts += ["ab" * 5000, "aab" * 3000, "0" * 9999, "=" * 777, "thethe" * 1000]
     assert ours.counts(texts) == [len(x) for x in lib.encode(texts)]
 
 
