@@ -34,7 +34,9 @@ def format_chats(turns: DataFrame, target: str = "assistant") -> DataFrame:
     all its turns, with nothing to train (loss_start = loss_end), so that no turn is lost; whole marks the
     example with all turns. turns has conv_id, turn, role, text. Turns go by (turn, role, text), nulls
     first; null texts and roles are empty; repeated rows are turns each. One shuffle brings a
-    conversation together; examples are made from it row by row, so a task holds one conversation.
+    conversation together; examples are made from it row by row, so a task holds one conversation. Long texts
+    are formatted whole; as each example repeats the turns before it, a conversation's examples grow with the
+    square of its turns.
     """
     told = turns.select(
         "conv_id", F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")).alias("t"))

@@ -78,7 +78,7 @@ def token_pieces(docs: DataFrame, tokenizer_file: str, capacity: int = 2048, end
 
     ids holds little-endian unsigned 32-bit numbers. A document of more than `capacity` ids is cut into
     pieces of that length, of which the first may be shorter; others are one piece. Null text is empty:
-    one piece, which holds end_id alone.
+    one piece, which holds end_id alone. Long texts are encoded whole. Repeated rows give their pieces each.
     """
     end = np.array([end_id], "<u4").tobytes()
 

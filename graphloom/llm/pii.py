@@ -158,7 +158,8 @@ def find_personal(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """(id, text_hash, base, learned): the spans of each row's text, in code points, end exclusive.
 
     base and learned are arrays of (start, rank, kind, end) by start; learned ones have the kind "id" and
-    overlap no base span. Null text is empty. Rows with the same id and text have the same spans.
+    overlap no base span. Null text is empty. Rows with the same id and text have the same spans. Long texts are
+    searched whole; a text with n matches takes n to the power 1.5 small steps.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     found = _candidates(find_base(rows), "text").select("id", F.xxhash64("text").alias("text_hash"), F.col("_base").alias("base"), "_tokens")

@@ -271,7 +271,7 @@ def judge(docs: DataFrame, field: LineField | None, id_col: str = "doc_id", text
 
     content is the share of words in lines that the field labels as content; kept if it is at least the
     field's `least` and no base rule failed. Without a field the base rules alone decide. Null and empty
-    texts have no words and fail. Repeated rows each give a row; only id and text are read, unless all
+    texts have no words and fail. Long texts are judged whole, a few at a time. Repeated rows each give a row; only id and text are read, unless all
     columns are to be carried along, in a struct `row`.
     """
     shared = docs.sparkSession.sparkContext.broadcast(field)

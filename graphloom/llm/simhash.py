@@ -387,7 +387,7 @@ def near_duplicates(
     Texts without words, and null texts, have fingerprint zero and are linked like any other. Rows with
     the same id count as one document; a row with a null id takes its fingerprint's component (null if
     no row with that fingerprint has an id). Copies meet by equal fingerprints first, so a group of
-    copies costs one node.
+    copies costs one node. A long text is hashed whole, by itself: a task holds its words and their hashes.
     """
     if wide is not None:
         rows = settled(_profiles(docs, words, id_col, text_col))

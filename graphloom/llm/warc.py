@@ -195,6 +195,7 @@ def decided(pages: DataFrame, least: int = REVISIT_BYTES) -> DataFrame:
 def write_archives(pages: DataFrame, folder: str | None = None, least: int = REVISIT_BYTES, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
     """Writes a record per row of pages (page_id, url, html) and returns the packages' paths (path).
 
+    Null html is an empty payload; repeated rows are records each; a long payload is one record, which a task holds.
     The folder is in the shared folder unless given. A task writes its packages under its own names, each
     moved into place once complete, so a task that is run again replaces them.
     """
