@@ -35,6 +35,8 @@ class PieceMerges:
         if any(lib.is_unused(i) for i in normal):
             raise ValueError("a vocabulary with unused pieces is not supported")
         by_name = {lib.id_to_piece(i): i for i in normal}
+        if any(SPACE in name.lstrip(SPACE) for name in by_name):
+            raise ValueError("a vocabulary with pieces that go on over a space is not supported")
         scores = np.array([lib.get_score(i) for i in normal])
         rank_of = dict(zip(normal, np.unique(-scores, return_inverse=True)[1].tolist(), strict=True))
         self.width = 2 * n + 0x110000
